@@ -1,8 +1,8 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source's documents are shuffled and queued up to three times. A queued copy finishes at the virtual time
-(source tokens up to its end) / weight. All copies are range-sorted by that time and the order is cut at the total
-budget. A source that has sent all its copies leaves the others to share the rest by weight.
+(source tokens up to its end) / weight. All copies are range-sorted by that time, less half of the copy's own service
+so that the cut rounds to the nearer document, and the order is cut at the total budget. A source that has sent all its copies leaves the others to share the rest by weight.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, ws: Workspace, seed: int = 17, max
     """docs (doc_id, text, source): (sizes, taken).
 
     sizes: a row for each document: rid, doc_id, source, key, size, source_size, weight, target.
-    taken: the mix, a row for each copy: rid, epoch, finish, size; its place in the order is (finish, source, epoch, ...).
+    taken: the mix, a row for each copy: rid, epoch, finish, due, size; its place in the order is (due, source, epoch, ...).
     A null text has size 0, a null source is a source of its own, repeated rows are queued apart, an empty table gives
     empty results. Documents are taken whole, so a source ends within one document of its target.
     """
@@ -72,16 +72,17 @@ def mix(spark: SparkSession, docs: DataFrame, ws: Workspace, seed: int = 17, max
     most = queued.agg(F.max("size")).collect()[0][0] or 0
     copies = queued.select("rid", "doc_id", "source", "key", "size", "level", "budget", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))).alias("epoch"), "sent", "source_size", "weight")
     copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("sent")) / F.col("weight"))
+    copies = copies.withColumn("due", F.col("finish") - F.col("size") / (2 * F.col("weight")))
     # Past this time every source has had its share, whatever the sizes of its documents: nothing later can be taken.
-    copies = copies.filter(F.col("finish") <= F.col("level") + F.lit(most)).select("rid", "doc_id", "source", "key", "size", "budget", "epoch", "finish")
-    order = ["finish", F.col("source").asc_nulls_last(), "epoch", "key", "doc_id", "size", "rid"]
+    copies = copies.filter(F.col("due") <= F.col("level") + F.lit(most)).select("rid", "doc_id", "source", "key", "size", "budget", "epoch", "finish", "due")
+    order = ["due", F.col("source").asc_nulls_last(), "epoch", "key", "doc_id", "size", "rid"]
     ranged = copies.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     ranged = ws.table(ranged, "ranged")
     parts = ranged.groupBy("part").agg(F.sum("size").alias("part_size"))
     parts = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("part_size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     here = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     taken = ranged.withColumn("upto", F.sum("size").over(here)).join(parts, F.col("part") == F.col("of"))
-    taken = taken.filter(F.col("base") + F.col("upto") - F.col("size") / 2 <= F.col("budget")).select("rid", "epoch", "finish", "size")
+    taken = taken.filter(F.col("base") + F.col("upto") - F.col("size") / 2 <= F.col("budget")).select("rid", "epoch", "finish", "due", "size")
     return queued.drop("level", "budget", "sent"), taken
 
 
