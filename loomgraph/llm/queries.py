@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_wfq_mixing": mixing.op9_wfq_mixing}
+    return {
+        "op2_trigram_secrets": secrets.op2_trigram_secrets,
+        "op8_simhash_components": simhash.op8_simhash_components,
+        "op9_wfq_mixing": mixing.op9_wfq_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
