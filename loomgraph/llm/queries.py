@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, simhash
+from . import mixing, pii, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_trigram_secrets": secrets.op2_trigram_secrets,
+        "op6_boosted_pii": pii.op6_boosted_pii,
         "op8_simhash_components": simhash.op8_simhash_components,
         "op9_wfq_mixing": mixing.op9_wfq_mixing,
     }
