@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, secrets, simhash
+from . import idstore, mixing, packing, pii, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_trigram_secrets": secrets.op2_trigram_secrets,
+        "op3_mph_idstore": idstore.op3_mph_idstore,
+        "op4_hilbert_packing": packing.op4_hilbert_packing,
         "op6_boosted_pii": pii.op6_boosted_pii,
+        "op7_line_quality": quality.op7_line_quality,
         "op8_simhash_components": simhash.op8_simhash_components,
         "op9_wfq_mixing": mixing.op9_wfq_mixing,
     }
