@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idstore, mixing, packing, pii, quality, secrets, simhash
+from . import idstore, mixing, packing, phrases, pii, quality, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_quality": quality.op7_line_quality,
         "op8_simhash_components": simhash.op8_simhash_components,
         "op9_wfq_mixing": mixing.op9_wfq_mixing,
+        "op10_phrase_fingerprints": phrases.op10_phrase_fingerprints,
     }
 
 
