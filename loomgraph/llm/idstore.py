@@ -159,10 +159,10 @@ def write(docs: DataFrame, ws: Workspace, path: str | None = None, end: int = EN
         with fs.open_output_stream(f"{draft}.bin") as f:
             b = first
             while b is not None:
-                texts = b.column(1).to_pylist()
+                texts = b.column(1)
                 ids += b.column(0).to_pylist()
-                for i, j in tokens.slices(texts):
-                    flat, offsets = encoder.encode(texts[i:j], end)
+                for i, j in tokens.slices(tokens.sizes(texts)):
+                    flat, offsets = encoder.encode(texts.slice(i, j - i), end)
                     f.write(flat.astype("<u2").tobytes())
                     counts.append(np.diff(offsets))
                 b = next(batches, None)

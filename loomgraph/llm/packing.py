@@ -77,9 +77,9 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, encoder = TaskContext.get().partitionId() << 33, tokens.encoder(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for i, j in tokens.slices(texts):
-                flat, offsets = encoder.encode(texts[i:j], end)
+            texts = b.column(1)
+            for i, j in tokens.slices(tokens.sizes(texts)):
+                flat, offsets = encoder.encode(texts.slice(i, j - i), end)
                 raw = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((2 * offsets).astype(np.int32)), pa.py_buffer(flat.astype("<u2"))])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + j - i)), b.column(0).slice(i, j - i), pa.array(curve_keys(flat, offsets)), pa.array(np.diff(offsets)), raw], ["rid", "doc_id", "curve", "n", "ids"])
                 rid += j - i

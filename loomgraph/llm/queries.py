@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idstore, mixing, packing, phrases, pii, quality, secrets, simhash
+from . import idstore, mixing, packing, phrases, pii, quality, secrets, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_string_kernel_toxicity": toxicity.op1_string_kernel_toxicity,
         "op2_trigram_secrets": secrets.op2_trigram_secrets,
         "op3_mph_idstore": idstore.op3_mph_idstore,
         "op4_hilbert_packing": packing.op4_hilbert_packing,

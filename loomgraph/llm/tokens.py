@@ -1,13 +1,14 @@
 """Token ids of texts by the tokenizers library, with each word's ids kept per worker.
 
 A byte-level BPE splits a text before every space that stands between two other characters, so what lies between such
-spaces is encoded once and looked up afterwards. Texts with a space next to other white space are encoded whole.
+spaces is encoded once and looked up afterwards. Words that aren't known yet go to the library together, in one call
+of its BPE model, with a NUL between them that no such word holds. Texts with a space next to other white space, and
+words that hold white space or NUL themselves, are encoded by the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from functools import lru_cache
 
@@ -16,9 +17,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Words that a worker keeps; at the bound it starts afresh, which changes no result.
-CACHE_WORDS = 400_000
-_UNSAFE = re.compile(r" \s|\s ")
+#: Words that a worker keeps; beyond the bound it keeps those that the last texts use twice, which changes no result.
+CACHE_WORDS = 1_600_000
+_WHITE = r"[\x{1c}-\x{1f}\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ENDS = ".,;:!?"
 
 
 def default_path() -> str:
@@ -27,40 +29,97 @@ def default_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         assert self.tokenizer.get_vocab_size() <= 1 << 16
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.letters = _byte_letters()
+        self.nul = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        assert len(self.nul) == 1
+        self.ends = dict(zip(_ENDS, self._whole(list(_ENDS))))
         self.words: dict[str, bytes] = {}
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, words: list[str]) -> None:
+        """Finds the ids of words as they are after a space."""
+        parts: list[str] = []
+        odd: list[str] = []
+        known: list[str] = []
+        # A word of letters and a mark after it are split for sure: the letters' ids may be known, or are found first.
+        ended = [w for w in words if w and w[-1] in self.ends and w[:-1].isalpha()]
+        if ended:
+            done = set(ended)
+            have = self.words
+            words = [w for w in words if w not in done]
+            words += {v for w in ended if (v := w[:-1]) not in have}.difference(words)
+        mark, letters, pieces = self.letters[0], self.letters, self.pieces
+        for w in words:
+            if w.isalpha():
+                parts += ("Ġ" + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)), mark)
+            elif not w or "\0" in w or any(x.split() != [x] for x in w.split("\n") if x):
+                odd.append(w)
+                continue
+            else:
+                parts += [p.encode().decode("latin-1").translate(letters) for p in pieces(f" {w}")]
+                parts.append(mark)
+            known.append(w)
+        if odd:
+            self.words.update(zip(odd, self._whole([f" {w}" for w in odd])))
+        words = known
+        for i, j in _spans(parts, mark, 40_000):
+            ids = np.array(self.bare.encode_batch_fast([parts[i:j]], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint16)
+            ends = np.nonzero(ids == self.nul[0])[0]
+            raw = ids.tobytes()
+            begins = np.append(0, ends[:-1] + 1)
+            self.words.update(zip(words[: len(ends)], [raw[a:b] for a, b in zip((2 * begins).tolist(), (2 * ends).tolist())]))
+            words = words[len(ends) :]
+        assert not words
+        have, ends = self.words, self.ends
+        have.update([(w, have[w[:-1]] + ends[w[-1]]) for w in ended])
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids as uint16, offsets): the ids of text i and then `end` are ids[offsets[i]:offsets[i + 1]]."""
-        texts = [t or "" for t in texts]
-        whole = np.array([_UNSAFE.search(t) is not None for t in texts], bool)
-        parts = pc.split_pattern(pa.array(["" if u else t for t, u in zip(texts, whole)], pa.large_string()), " ")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        unsafe = pc.match_substring_regex(texts, f" {_WHITE}|{_WHITE} ")
+        parts = pc.split_pattern(pc.if_else(unsafe, "", texts), " ")
         starts = parts.offsets.to_numpy().astype(np.int64)
-        coded = parts.flatten().dictionary_encode()
+        flat_parts = parts.flatten()
+        coded = flat_parts.dictionary_encode()
         index = coded.indices.to_numpy().astype(np.int64)
         # A text's first part has no space before it; so has a text that is encoded whole, as one part.
-        firsts = [t if u else t.split(" ", 1)[0] for t, u in zip(texts, whole)]
+        firsts = pc.if_else(unsafe, texts, flat_parts.take(pa.array(starts[:-1]))).to_pylist()
         unique = coded.dictionary.to_pylist()
-        words = self.words
-        missing = [w for w in unique if w not in words]
-        if len(words) + len(missing) > CACHE_WORDS:
-            words.clear()
-            missing = unique
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            words.update(zip(some, self._plain([f" {w}" for w in some])))
-        table = [words[w] for w in unique] + self._plain(firsts) + [array("H", [end]).tobytes()]
-        index[starts[:-1]] = len(unique) + np.arange(len(texts))
+        table = list(map(self.words.get, unique))
+        missing = [w for w, v in zip(unique, table) if v is None]
+        if missing:
+            self._learn(missing)
+            table = list(map(self.words.__getitem__, unique))
+            if len(self.words) > CACHE_WORDS:
+                often = np.nonzero(np.bincount(index, minlength=len(unique)) > 1)[0].tolist()
+                self.words = {unique[i]: table[i] for i in often}
+        table += self._whole(firsts)
+        table.append(array("H", [end]).tobytes())
+        index[starts[:-1]] = len(unique) + np.arange(n)
         index = np.insert(index, starts[1:], len(table) - 1)
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // 2
         flat = np.frombuffer(b"".join(table), np.uint16)
@@ -69,8 +128,19 @@ class Encoder:
         ends = np.cumsum(lengths)
         take = np.repeat(begins[index] - ends + lengths, lengths)
         take += np.arange(len(take))
-        last = starts[1:] + np.arange(len(texts))
-        return flat[take], np.concatenate([[0], ends[last]]) if len(texts) else np.zeros(1, np.int64)
+        last = starts[1:] + np.arange(n)
+        return flat[take], np.append(0, ends[last])
+
+
+def _spans(parts: list[str], mark: str, size: int):
+    """Ranges of parts that end with the mark."""
+    i = 0
+    while i < len(parts):
+        j = min(i + size, len(parts))
+        while parts[j - 1] != mark:
+            j += 1
+        yield i, j
+        i = j
 
 
 @lru_cache(maxsize=2)
@@ -78,13 +148,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: list, chars: int = 4_000_000):
-    """Ranges of texts of about so many characters, so that one batch of long texts stays small in memory."""
+def slices(sizes: list[int], chars: int = 8_000_000):
+    """Ranges of texts of about so many characters, so that a batch of long texts stays small in memory."""
     begin, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
+    for i, n in enumerate(sizes):
+        held += n or 0
         if held >= chars:
             yield begin, i + 1
             begin, held = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def sizes(texts: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
