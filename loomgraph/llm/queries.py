@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idstore, mixing, packing, phrases, pii, quality, secrets, simhash, toxicity
+from . import idstore, mixing, packing, phrases, pii, quality, secrets, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_trigram_secrets": secrets.op2_trigram_secrets,
         "op3_mph_idstore": idstore.op3_mph_idstore,
         "op4_hilbert_packing": packing.op4_hilbert_packing,
+        "op5_two_stage_suffix_dedup": suffixes.op5_two_stage_suffix_dedup,
         "op6_boosted_pii": pii.op6_boosted_pii,
         "op7_line_quality": quality.op7_line_quality,
         "op8_simhash_components": simhash.op8_simhash_components,
