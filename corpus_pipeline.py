@@ -1,8 +1,26 @@
-"""The corpus pipeline; filled in stage by stage."""
+"""A corpus pipeline from the training-data operators: from documents to packed sequences."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from loomgraph.llm import common, stages
+
+STAGES = [
+    ("toxicity", stages.drop_toxic),
+    ("near_copies", stages.drop_near_copies),
+    ("personal_data", stages.redact),
+    ("mix", stages.mix_sources),
+    ("pack", stages.pack),
+]
+#: No SQL says what a trained machine or a tokenizer does; the tests compare with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written as Parquet and read as the next one's input."""
+    ws = common.Workspace(spark, "pipeline")
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = ws.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
