@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Column functions on sequences; `sequence.register` also offers them to SQL."""
