@@ -65,14 +65,19 @@ def build_mph(h: np.ndarray) -> np.ndarray:
         if len(keys) == 1:
             singles.append(int(b))
             continue
-        d = 0
-        while True:
-            s = _slot(keys, d, n)
-            if not used[s].any() and len(set(s.tolist())) == len(s):
-                break
-            d += 1
-        used[s] = True
-        out[b] = d
+        tries, d = 16, 0
+        while True:  # a row a displacement, more of them at a time as slots get scarce
+            s = _slot(keys[None, :], np.arange(d, d + tries)[:, None], n)
+            good = ~used[s].any(axis=1)
+            for k in np.nonzero(good)[0].tolist():
+                if len(set(s[k].tolist())) == len(keys):
+                    break
+            else:
+                d, tries = d + tries, min(4 * tries, 4_096)
+                continue
+            used[s[k]] = True
+            out[b] = d + k
+            break
     out[singles] = -np.nonzero(~used)[0][: len(singles)] - 1
     return out
 

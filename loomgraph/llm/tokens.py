@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker keeps; beyond the bound it keeps those that the last texts use twice, which changes no result.
-CACHE_WORDS = 1_600_000
+CACHE_WORDS = 1_000_000
 _WHITE = r"[\x{1c}-\x{1f}\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ENDS = ".,;:!?"
 
@@ -110,10 +110,12 @@ class Encoder:
         firsts = pc.if_else(unsafe, texts, flat_parts.take(pa.array(starts[:-1]))).to_pylist()
         unique = coded.dictionary.to_pylist()
         table = list(map(self.words.get, unique))
-        missing = [w for w, v in zip(unique, table) if v is None]
-        if missing:
+        absent = [i for i, v in enumerate(table) if v is None]
+        if absent:
+            missing = [unique[i] for i in absent]
             self._learn(missing)
-            table = list(map(self.words.__getitem__, unique))
+            for i, v in zip(absent, map(self.words.__getitem__, missing)):
+                table[i] = v
             if len(self.words) > CACHE_WORDS:
                 often = np.nonzero(np.bincount(index, minlength=len(unique)) > 1)[0].tolist()
                 self.words = {unique[i]: table[i] for i in often}
@@ -148,7 +150,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(sizes: list[int], chars: int = 8_000_000):
+def slices(sizes: list[int], chars: int = 4_000_000):
     """Ranges of texts of about so many characters, so that a batch of long texts stays small in memory."""
     begin, held = 0, 0
     for i, n in enumerate(sizes):
