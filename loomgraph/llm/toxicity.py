@@ -25,10 +25,12 @@ from .common import documents
 
 #: Labelled documents that the machine is fitted to: the first so many by hash. The bound of the fitting sample.
 SAMPLE_DOCS = 4_000
-LANDMARKS, DECAY, SPAN = 160, 0.6, 6
+LANDMARKS, DECAY, SPAN = 448, 0.6, 6
 #: Longest term; longer ones are scored in overlapping pieces of this length.
 PIECE = 24
-ROUNDS, C, EPOCHS = 3, 4.0, 12
+ROUNDS, C, STEPS = 3, 8.0, 40
+#: Terms whose margins are found at a time.
+BATCH = 10_000
 #: Symbols of the kernel's alphabet: letters from 1 on, then the mark that begins a term. 0 is every other character.
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 _MARK, _LETTERS = "\x02", 64
@@ -84,17 +86,32 @@ def features(terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, key % _LETTERS**3, value / norm[row]
 
 
-def kernel(terms: list[str], landmarks: list[str]) -> np.ndarray:
-    row, col, value = features(landmarks)
-    table = np.zeros((_LETTERS**3, len(landmarks)))
-    table[col, row] = value
-    out = np.zeros((len(terms), len(landmarks)))
-    for i in range(0, len(terms), 500):
-        row, col, value = features(terms[i : i + 500])
-        some, at = np.unique(row, return_index=True)
-        if len(some):
-            out[some + i] = np.add.reduceat(value[:, None] * table[col], at, axis=0)
-    return out
+class Landmarks:
+    """Landmark terms by the triples that occur in any of them."""
+
+    def __init__(self, terms: list[str]):
+        row, col, value = features(terms)
+        self.n, (self.triples, at) = len(terms), np.unique(col, return_inverse=True)
+        self.table = np.zeros((len(self.triples), len(terms)))
+        self.table[at, row] = value
+
+    def kernel(self, terms: list[str]) -> np.ndarray:
+        out = np.zeros((len(terms), self.n))
+        for i in range(0, len(terms), 500):
+            row, col, value = features(terms[i : i + 500])
+            at = np.minimum(np.searchsorted(self.triples, col), len(self.triples) - 1)
+            known = self.triples[at] == col
+            row, at, value = row[known], at[known], value[known]
+            some, first = np.unique(row, return_index=True)
+            if len(some):
+                out[some + i] = np.add.reduceat(value[:, None] * self.table[at], first, axis=0)
+        return out
+
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """A weight for each triple that gives the same values as weights of the landmarks."""
+        out = np.zeros(_LETTERS**3)
+        out[self.triples] = self.table @ weights
+        return out
 
 
 def pieces(term: str) -> list[str]:
@@ -124,6 +141,8 @@ class Machine:
 
         A bound that ignores equal triples of a term comes first; only terms that may matter get their exact length.
         """
+        if len(terms) > BATCH:
+            return np.concatenate([self.margins(terms[i : i + BATCH]) for i in range(0, len(terms), BATCH)])
         if not terms:
             return np.zeros(0)
         letters, begins = fold(terms)
@@ -144,18 +163,26 @@ class Machine:
         return 1 / (1 + np.exp(-(self.scale * np.maximum(margin, -2.0) + self.shift)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the hinge loss, the bias as a constant feature."""
+def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Finite Newton steps for the squared hinge loss, the bias as a constant feature."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    q, alpha, w = (x**2).sum(axis=1), np.zeros(len(x)), np.zeros(x.shape[1])
-    r = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
-        for i in r.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1
-            new = min(max(alpha[i] - g / q[i], 0.0), C * weight[i])
-            if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
-                alpha[i] = new
+    w = np.zeros(x.shape[1])
+
+    def loss(v: np.ndarray) -> float:
+        return float(v @ v / 2 + C * (weight * np.maximum(0.0, 1 - y * (x @ v)) ** 2).sum())
+
+    for _ in range(STEPS):
+        slack = 1 - y * (x @ w)
+        on = slack > 0
+        xs, ws = x[on], 2 * C * weight[on]
+        gradient = w - xs.T @ (ws * y[on] * slack[on])
+        step = np.linalg.solve(np.eye(len(w)) + xs.T @ (ws[:, None] * xs), gradient)
+        size, now = 1.0, loss(w)
+        while loss(w - size * step) > now and size > 1e-6:
+            size /= 2
+        w = w - size * step
+        if abs(step).max() < 1e-7:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -191,14 +218,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Machine:
     r = np.random.default_rng(seed)
     common = sorted(clean)
     others = [common[i] for i in r.choice(len(common), min(len(common), LANDMARKS * 4), replace=False)]
-    landmarks = [t for t in dict.fromkeys([*ranked[: LANDMARKS * 5 // 8], *others]) if len(features([t])[0])][:LANDMARKS]
+    landmarks = [t for t in dict.fromkeys([*ranked[: LANDMARKS * 3 // 4], *others]) if len(features([t])[0])][:LANDMARKS]
     if not landmarks:
         return Machine(np.zeros(_LETTERS**3), -1.0, 0.0, float(np.log(n1 / n0)))
-    value, vector = np.linalg.eigh(kernel(landmarks, landmarks))
+    base = Landmarks(landmarks)
+    value, vector = np.linalg.eigh(base.kernel(landmarks))
     half = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    row, col, val = features(landmarks)
-    folded = np.zeros((_LETTERS**3, len(landmarks)))
-    folded[col, row] = val
     # Witnesses: terms that bear the label by themselves, and the strongest term of each toxic document; against them
     # terms of clean documents, those that the machine finds hardest above all.
     evident = {t for t, k in toxic.items() if k >= 3 and odds[t] > 2.5}
@@ -213,8 +238,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Machine:
         terms = [*plus, *negative]
         sign = np.array([1.0] * len(plus) + [-1.0] * len(negative))
         weight = np.array([float(min(toxic[t], 50)) for t in plus] + [1.0 + min(clean[t], 20) / 4 for t in negative])
-        v, bias = _svm(kernel(terms, landmarks) @ half, sign, weight, seed + k)
-        machine = Machine(folded @ (half @ v), bias, 1.0, 0.0)
+        v, bias = _svm(base.kernel(terms) @ half, sign, weight)
+        machine = Machine(base.folded(half @ v), bias, 1.0, 0.0)
         margin = dict(zip(every, machine.margins(every).tolist()))
         witness = [max(bag, key=lambda t: (margin[t], t)) for bag, label in zip(bags, labels) if label and bag]
         hard = sorted(clean, key=lambda t: (-margin[t], t))[:2_000]
