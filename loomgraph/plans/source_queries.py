@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import measure
-from ..sources import fasta, gfa, synth, tables
+from ..operators import layout, measure, walks, windows
+from ..sources import container, fasta, gfa, synth, tables
 from . import sql as Q
 from .adapters import orders, table
 from .measure_queries import _CODERS, _coder_rows, _named
@@ -101,11 +102,88 @@ def _significant(s, d):
 
 
 def _synth(s, d):
-    t = synth.generate(s, synth.Parameters()).tables()
+    t = _made(s).tables()
     return reduce(lambda a, b: a.union(b), (df.agg(F.count("*").alias("n")).select(F.lit(k).alias("table"), "n") for k, df in t.items()))
 
 
+def _folder(s, name):
+    """A fresh folder that the driver and the executors share."""
+    at = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _made(s):
+    return synth.generate(s, synth.Parameters())
+
+
+def _packed(s):
+    t = synth.rows(synth.Parameters())
+    return container.pack(t | {"contamination": [("sample00#1", 3, "phage")]})
+
+
+def _container(s, d):
+    """The sections of a container: their tags, places and sizes, as its index has them."""
+    data = _packed(s)
+    c = container.Cursor(data, int.from_bytes(data[-16:-8], "little") + 12)
+    rows = [(c.take(4).decode(), c.number(8), c.number(8)) for _ in range(c.varint())]
+    return s.createDataFrame(rows, "tag STRING, place BIGINT, size BIGINT")
+
+
+def _unpacked(s, d):
+    t = container.unpack(_packed(s))
+    return s.createDataFrame([(k, len(v)) for k, v in t.items()], "table STRING, n BIGINT")
+
+
+def _errors(s, d):
+    """What reading damaged containers raises."""
+    data, out = _packed(s), []
+    bad = {"cut": data[:30], "header": b"????" + data[4:], "version": data[:4] + b"\x07\x00" + data[6:], "footer": data[:-8] + b"????" + data[-4:], "section": data.replace(b"SAMP", b"SAMX")}
+    for name, damaged in bad.items():
+        try:
+            container.unpack(damaged)
+            out.append((name, "none"))
+        except container.FormatError as e:
+            out.append((name, type(e).__name__))
+    return s.createDataFrame(out, "damage STRING, error STRING")
+
+
+def _varints(s, d):
+    n = [0, 1, 127, 128, 300, 16384, 2**32 - 1, 2**63 - 1]
+    rows = [(v, container.varint(v).hex(), container.Cursor(container.varint(v)).varint()) for v in n]
+    return s.createDataFrame(rows, "n BIGINT, coded STRING, again BIGINT").withColumn("size", S.varint_length("n"))
+
+
+def _appended(s, d):
+    """Two ledger records, appended one after the other and read back."""
+    path = _folder(s, "ledger")
+    record = s.createDataFrame([('{"total_bases":10,"total_bits":20,"provenance":{"dataset":"d"}}',)], "json STRING")
+    tables.append_ledger(record, path)
+    tables.append_ledger(record, path)
+    return s.read.json(path, schema="total_bases BIGINT, total_bits BIGINT, provenance MAP<STRING, STRING>").select("total_bases", "total_bits", F.col("provenance")["dataset"].alias("dataset"))
+
+
+def _report(s, d):
+    best = measure.best(_coder_rows(s, d)).orderBy("section").collect()
+    text = tables.report([(r["section"], 1_000, r["best_bits"]) for r in best], [("2bit_percopy", 9_000)], 1_000)
+    return s.createDataFrame(list(enumerate(text.splitlines())), "line INT, text STRING")
+
+
+def _tile_files(s, d):
+    """The tile pyramid of the synthetic graph, written as files and read back."""
+    b, path = _made(s), _folder(s, "tiles")
+    windows.write_tiles(layout.lanes(layout.positions(b)), b.segments, b.edges, walks.span(b).first()[0], "chr6", 0, path)
+    t = s.read.json(f"{path}/tiles")
+    return t.select("level", "tile", F.size("nodes").alias("nodes"), F.size("edges").alias("edges"))
+
+
 QUERIES = {
+    "s12_container_write": (_container, None),
+    "s13_container_read": (_unpacked, None),
+    "s14_container_errors": (_errors, None),
+    "s15_varints": (_varints, None),
+    "s17_ledger_append": (_appended, "SELECT CAST(10 AS BIGINT) AS total_bases, CAST(20 AS BIGINT) AS total_bits, 'd' AS dataset FROM range(2)"),
+    "s19_report": (_report, None),
+    "s20_tile_files": (_tile_files, None),
     "s1_records": (_records, _LINES + "SELECT f[1] AS tag, count(*) AS n FROM rec WHERE f[1] IN ('S', 'L', 'P', 'W') GROUP BY 1"),
     "s2_segments": (lambda s, d: gfa.segment_lines(gfa.records(_lines(s, d))).select("name", "seq"), _LINES + "SELECT f[2] AS name, f[3] AS seq FROM rec WHERE f[1] = 'S'"),
     "s3_links": (lambda s, d: gfa.link_lines(gfa.records(_lines(s, d))), _LINES + "SELECT line_no, f[2] AS from_name, f[3] AS from_strand, f[4] AS to_name, f[5] AS to_strand FROM rec WHERE f[1] = 'L' AND f[3] IN ('+', '-')"),
