@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,20 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(11).standard_normal((BUCKETS, DIMENSIONS))
 
 
+@lru_cache(maxsize=1)
+def _bins() -> np.ndarray:
+    """Of each id: twice its bucket, and one more where its sign is negative."""
+    h = np.arange(1 << 16, dtype=np.uint32) * np.uint32(2_654_435_761)
+    return ((h >> np.uint32(26)) * 2 + (h >> np.uint32(25) & np.uint32(1))).astype(np.int64)
+
+
 def vectors(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Signed hashed counts of each document's ids, of length one."""
-    n = len(offsets) - 1
-    h = np.arange(1 << 16, dtype=np.uint32) * np.uint32(2_654_435_761)
-    bucket, sign = (h >> np.uint32(26)).astype(np.int64), np.where(h >> np.uint32(25) & np.uint32(1), 1.0, -1.0)
-    row = np.repeat(np.arange(n) * BUCKETS, np.diff(offsets))
-    x = np.bincount(row + bucket[ids], weights=sign[ids], minlength=n * BUCKETS).reshape(n, BUCKETS)
+    n, width = len(offsets) - 1, 2 * BUCKETS
+    at = np.repeat(np.arange(n) * width, np.diff(offsets))
+    at += _bins()[ids]
+    counts = np.bincount(at, minlength=n * width).reshape(n, BUCKETS, 2)
+    x = (counts[:, :, 0] - counts[:, :, 1]).astype(np.float64)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker keeps; beyond the bound it keeps those that the last texts use twice, which changes no result.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_200_000
 _WHITE = r"[\x{1c}-\x{1f}\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ENDS = ".,;:!?"
 
@@ -69,17 +69,27 @@ class Encoder:
             have = self.words
             words = [w for w in words if w not in done]
             words += {v for w in ended if (v := w[:-1]) not in have}.difference(words)
-        mark, letters, pieces = self.letters[0], self.letters, self.pieces
+        mark, pieces = self.letters[0], self.pieces
+        raw: list[int] = []
         for w in words:
             if w.isalpha():
-                parts += ("Ġ" + (w if w.isascii() else w.encode().decode("latin-1").translate(letters)), mark)
+                if w.isascii():
+                    parts += ("Ġ" + w, mark)
+                else:
+                    raw.append(len(parts))
+                    parts += (f" {w}", mark)
             elif not w or "\0" in w or any(x.split() != [x] for x in w.split("\n") if x):
                 odd.append(w)
                 continue
             else:
-                parts += [p.encode().decode("latin-1").translate(letters) for p in pieces(f" {w}")]
+                some = pieces(f" {w}")
+                raw += range(len(parts), len(parts) + len(some))
+                parts += some
                 parts.append(mark)
             known.append(w)
+        # What isn't in byte letters yet is turned to them together, NUL between.
+        for i, p in zip(raw, "\0".join(map(parts.__getitem__, raw)).encode().decode("latin-1").translate(self.letters).split(mark)):
+            parts[i] = p
         if odd:
             self.words.update(zip(odd, self._whole([f" {w}" for w in odd])))
         words = known
