@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker keeps; beyond the bound it keeps those that the last texts use twice, which changes no result.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
 _WHITE = r"[\x{1c}-\x{1f}\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ENDS = ".,;:!?"
 

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from .common import documents
 
 #: Labelled documents that the machine is fitted to: the first so many by hash. The bound of the fitting sample.
-SAMPLE_DOCS = 4_000
-LANDMARKS, DECAY, SPAN = 448, 0.6, 6
+SAMPLE_DOCS = 3_000
+LANDMARKS, DECAY, SPAN = 320, 0.6, 6
 #: Longest term; longer ones are scored in overlapping pieces of this length.
 PIECE = 24
 ROUNDS, C, STEPS = 3, 8.0, 40
+#: Decision values below it all count alike: the classes lie about 1 and -1.
+FLOOR = -0.5
 #: Terms whose margins are found at a time.
 BATCH = 10_000
 #: Symbols of the kernel's alphabet: letters from 1 on, then the mark that begins a term. 0 is every other character.
@@ -137,9 +139,10 @@ class Machine:
     shift: float
 
     def margins(self, terms: list[str]) -> np.ndarray:
-        """Decision values. A term without letters has that of the zero vector.
+        """Decision values, FLOOR at least.
 
-        A bound that ignores equal triples of a term comes first; only terms that may matter get their exact length.
+        The length that ignores equal triples of a term is not above its true one, so it bounds positive values from
+        above; only terms whose bound is over FLOOR need the true length.
         """
         if len(terms) > BATCH:
             return np.concatenate([self.margins(terms[i : i + BATCH]) for i in range(0, len(terms), BATCH)])
@@ -151,16 +154,17 @@ class Machine:
             dot += w * self.weights[t]
             square += np.where(t > 0, w * w, 0.0)
         top, length = np.add.reduceat(dot, begins), np.sqrt(np.add.reduceat(square, begins))
-        out = top / np.maximum(length, 1e-9)
-        likely = np.nonzero(out + self.bias > -1)[0]
+        bound = np.maximum(top, 0.0) / np.maximum(length, 1e-9) + self.bias
+        out = np.full(len(terms), FLOOR)
+        likely = np.nonzero(bound > FLOOR)[0]
         if len(likely):
             some = [terms[i] for i in likely]
             row, col, value = features(some)
-            out[likely] = np.bincount(row, value * self.weights[col], len(some))
-        return out + self.bias
+            out[likely] = np.maximum(np.bincount(row, value * self.weights[col], len(some)) + self.bias, FLOOR)
+        return out
 
     def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * np.maximum(margin, -2.0) + self.shift)))
+        return 1 / (1 + np.exp(-(self.scale * np.maximum(margin, FLOOR) + self.shift)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -174,9 +178,10 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
     for _ in range(STEPS):
         slack = 1 - y * (x @ w)
         on = slack > 0
-        xs, ws = x[on], 2 * C * weight[on]
+        xs, ws = x[on], np.sqrt(2 * C * weight[on])
+        xs *= ws[:, None]
         gradient = w - xs.T @ (ws * y[on] * slack[on])
-        step = np.linalg.solve(np.eye(len(w)) + xs.T @ (ws[:, None] * xs), gradient)
+        step = np.linalg.solve(np.eye(len(w)) + xs.T @ xs, gradient)
         size, now = 1.0, loss(w)
         while loss(w - size * step) > now and size > 1e-6:
             size /= 2
@@ -189,7 +194,7 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
 def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic fit of labels to margins by Newton steps, lightly penalised."""
     a, b = 1.0, 0.0
-    m = np.maximum(margin, -2.0)
+    m = np.maximum(margin, FLOOR)
     for _ in range(50):
         p = 1 / (1 + np.exp(-(a * m + b)))
         g = np.array([((p - y) * m).sum() + 0.01 * a, (p - y).sum()])
@@ -228,7 +233,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Machine:
     # terms of clean documents, those that the machine finds hardest above all.
     evident = {t for t, k in toxic.items() if k >= 3 and odds[t] > 2.5}
     witness = [max(bag, key=lambda t: (odds[t] * toxic[t] ** 0.5, t)) for bag, label in zip(bags, labels) if label and bag]
-    negative = sorted({common[i] for i in r.choice(len(common), min(len(common), 6_000), replace=False)} - evident)
+    negative = sorted({common[i] for i in r.choice(len(common), min(len(common), 4_000), replace=False)} - evident)
     every = sorted({*toxic, *clean})
     margin: dict[str, float] = {}
     machine = Machine(np.zeros(_LETTERS**3), 0.0, 1.0, 0.0)
@@ -242,15 +247,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Machine:
         machine = Machine(base.folded(half @ v), bias, 1.0, 0.0)
         margin = dict(zip(every, machine.margins(every).tolist()))
         witness = [max(bag, key=lambda t: (margin[t], t)) for bag, label in zip(bags, labels) if label and bag]
-        hard = sorted(clean, key=lambda t: (-margin[t], t))[:2_000]
+        hard = sorted(clean, key=lambda t: (-margin[t], t))[:1_500]
         negative = sorted({*negative, *hard} - evident)
-    best = np.array([max((margin[t] for t in bag), default=-2.0) for bag in bags])
+    best = np.array([max((margin[t] for t in bag), default=FLOOR) for bag in bags])
     machine.scale, machine.shift = _calibrated(best, y)
     return machine
 
 
 def greatest_margins(machine: Machine, texts: list[str]) -> np.ndarray:
-    """Each text's greatest margin over its terms; -2 for a text without any. Each term of the batch is scored once."""
+    """Each text's greatest margin over its terms; FLOOR for a text without any. Each term of the batch is scored once."""
     low = pc.utf8_lower(pa.array(texts, pa.large_string()))
     parts = pc.utf8_split_whitespace(low)
     offsets = parts.offsets.to_numpy().astype(np.int64)
@@ -261,7 +266,7 @@ def greatest_margins(machine: Machine, texts: list[str]) -> np.ndarray:
     out = machine.margins([w if len(w) <= PIECE else "" for w in words])
     for i in long:
         out[i] = machine.margins(pieces(words[i])).max()
-    best = np.full(len(texts), -2.0)
+    best = np.full(len(texts), FLOOR)
     full = np.nonzero(np.diff(offsets))[0]
     if len(full):
         best[full] = np.maximum.reduceat(out[index], offsets[full])
@@ -295,8 +300,9 @@ def trained(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Mac
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id").alias("id"), "text").filter("text is not null")
-    rows = known.join(texts, F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
+    # One text an id, so that an id that comes often adds no rows.
+    rows = known.join(texts, F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
     return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
 
 
