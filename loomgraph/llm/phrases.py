@@ -24,6 +24,8 @@ from .common import documents, text_or_empty
 KEPT = 64
 #: Levels whose names are used; texts shorter than SHORT use the first one too.
 LEVELS, SHORT = (2, 3), 256
+#: Characters that are parsed at a time: small enough for a core's cache.
+CHUNK = 100_000
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,6 +83,7 @@ def parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     labels = _labels(x, begin)
     top = np.zeros(len(x), bool)
     top[1:-1] = (labels[1:-1] > labels[:-2]) & (labels[1:-1] >= labels[2:])
+    top[begin[1:] - 1] = False  # a text's last name looks at no other text's
     top |= head
     cuts = np.nonzero(top)[0]
     sizes = np.diff(np.append(cuts, len(x)))
@@ -170,12 +173,12 @@ def in_sequence(spark: SparkSession, docs: DataFrame, schema: str, work) -> Data
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(nothing)).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("bucket", bucket)
     if earlier:
-        also = F.create_map(*(F.lit(x) for pair in earlier.items() for x in pair))[F.col("id")]
+        also = F.create_map(*(x for head, b in earlier.items() for x in (F.lit(head).cast("long"), F.lit(b))))[F.col("id")]
         places = F.array_compact(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("after")), F.when(also.isNotNull(), F.struct(also.alias("b"), F.lit(1).alias("after")))))
     else:
         places = F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("after")))
     rows = rows.select("id", "doc_id", "text", F.explode(places).alias("place")).select("id", "doc_id", "text", "place.*")
-    spot = F.element_at(F.array(*(F.lit(spots.get(k, k)) for k in range(parts))), F.least(F.col("b"), F.lit(parts - 1)) + 1)
+    spot = F.element_at(F.array(*(F.lit(spots.get(k, k)).cast("long") for k in range(parts))), F.least(F.col("b"), F.lit(parts - 1)) + 1)
     rows = rows.withColumn("spot", spot).repartition(parts, "spot").sortWithinPartitions("b", "after", F.col("id").desc(), F.xxhash64("text"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +196,7 @@ def in_sequence(spark: SparkSession, docs: DataFrame, schema: str, work) -> Data
                         yield work(held, text)
                     held, chars = [], 0
                     continue
-                if chars > 2_000_000:
+                if chars > CHUNK:
                     yield work(held, text)
                     held, chars = [], 0
                 held.append((doc_id, text))
