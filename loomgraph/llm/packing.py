@@ -79,11 +79,11 @@ def curve_keys(ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return hilbert(np.minimum((1 / (1 + np.exp(-1.7 * z)) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
+def encoded(docs: DataFrame, path: str, end: int, most_words: int = tokens.CACHE_WORDS) -> DataFrame:
     """docs (doc_id, text): (rid, doc_id, curve, n, ids), ids as little-endian unsigned 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid, encoder = TaskContext.get().partitionId() << 33, tokens.encoder(path)
+        rid, encoder = TaskContext.get().partitionId() << 33, tokens.encoder(path, most_words)
         for b in batches:
             texts = b.column(1)
             for i, j in tokens.slices(tokens.sizes(texts)):
@@ -118,13 +118,13 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("doc_id", "ids", "at").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, ws: Workspace, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, ws: Workspace, path: str | None = None, length: int = LENGTH, end: int = END, most_words: int = tokens.CACHE_WORDS) -> DataFrame:
     """docs (doc_id, text): a row for each piece of a document in a sequence.
 
     Null and empty texts have the end id alone; null doc_ids and repeated rows are packed each by itself; ties on the
-    curve go by doc_id; an empty table gives no pieces.
+    curve go by doc_id; an empty table gives no pieces. most_words bounds what a worker remembers, not what it packs.
     """
-    rows = ws.table(encoded(docs, path or tokens.default_path(), end), "encoded")
+    rows = ws.table(encoded(docs, path or tokens.default_path(), end, most_words), "encoded")
     order = ["curve", F.col("doc_id").asc_nulls_first(), "rid"]
     small = rows.select("rid", "doc_id", "curve", "n").repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     small = ws.table(small, "order")

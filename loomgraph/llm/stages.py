@@ -10,6 +10,8 @@ from .common import Workspace, text_or_empty
 
 #: Columns of documents; a stage passes these on and no others.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words that a worker remembers here, where it holds what earlier stages left as well.
+STAGE_WORDS = 600_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,4 +58,4 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 tokens along a Hilbert curve."""
-    return packing.pack(docs, Workspace(spark, "pack"))
+    return packing.pack(docs, Workspace(spark, "pack"), most_words=STAGE_WORDS)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker keeps; beyond the bound it keeps those that the last texts use twice, which changes no result.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 _WHITE = r"[\x{1c}-\x{1f}\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _ENDS = ".,;:!?"
 
@@ -37,7 +37,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         import regex
@@ -53,6 +53,7 @@ class Encoder:
         assert len(self.nul) == 1
         self.ends = dict(zip(_ENDS, self._whole(list(_ENDS))))
         self.words: dict[str, bytes] = {}
+        self.most_words = most_words
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -126,7 +127,7 @@ class Encoder:
             self._learn(missing)
             for i, v in zip(absent, map(self.words.__getitem__, missing)):
                 table[i] = v
-            if len(self.words) > CACHE_WORDS:
+            if len(self.words) > self.most_words:
                 often = np.nonzero(np.bincount(index, minlength=len(unique)) > 1)[0].tolist()
                 self.words = {unique[i]: table[i] for i in often}
         table += self._whole(firsts)
@@ -156,8 +157,8 @@ def _spans(parts: list[str], mark: str, size: int):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most_words: int = CACHE_WORDS) -> Encoder:
+    return Encoder(path, most_words)
 
 
 def slices(sizes: list[int], chars: int = 4_000_000):
