@@ -30,6 +30,8 @@ CHUNK = 1 << 18
 SEGMENT = 1 << 23
 #: Bytes of one suffix array, and blocks of a class beyond which it is dealt out by window.
 ARRAY_BYTES, CLASS_BLOCKS = 1 << 20, 4_096
+#: Blocks that a task compares before they are dealt out.
+TASK_BLOCKS = 1_000_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -208,15 +210,29 @@ _MARK_NAMES, _MARK_TYPES = ["doc", "start", "stop", "class", "contested"], [pa.i
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to (class, own, doc, start, n)."""
+    """(doc, text) to (done, class, own, doc, start, n).
 
-    def emit(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    Of equal blocks among the task's last TASK_BLOCKS only the first can be the first of all; the others are done here,
+    so a passage that many documents share is a row a task where its class meets.
+    """
+    gathered: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+
+    def hashed(held: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
         kind, own, text, start, n = blocks([s for _, _, s in held])
         doc, base = np.array([d for d, _, _ in held], np.int64), np.array([b for _, b, _ in held], np.int64)
-        return _batch([kind.view(np.int64), own.view(np.int64), doc[text], (base[text] + start).astype(np.int32), n.astype(np.int32)], ["class", "own", "doc", "start", "n"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+        return kind.view(np.int64), own.view(np.int64), doc[text], (base[text] + start).astype(np.int32), n.astype(np.int32)
 
+    def emit() -> Iterator[pa.RecordBatch]:
+        columns = [np.concatenate(c) for c in zip(*gathered)]
+        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        done = np.r_[False, (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])]
+        for i in range(0, len(done), 65_536):
+            yield _batch([done[i : i + 65_536], *(c[i : i + 65_536] for c in columns)], ["done", "class", "own", "doc", "start", "n"], [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+
+    held, size = [], 0
     for b in batches:
-        held, size = [], 0
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             raw = _raw(text)
             for at in range(0, max(len(raw) - WINDOW + 1, 0), SEGMENT):
@@ -224,14 +240,20 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((doc, at, piece))
                 size += len(piece)
                 if size >= CHUNK:
-                    yield emit(held)
+                    gathered.append(hashed(held))
+                    rows += len(gathered[-1][0])
                     held, size = [], 0
-        if held:
-            yield emit(held)
+                    if rows >= TASK_BLOCKS:
+                        yield from emit()
+                        gathered, rows = [], 0
+    if held:
+        gathered.append(hashed(held))
+    if gathered and sum(len(g[0]) for g in gathered):
+        yield from emit()
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (class, own, doc, start, n) sorted by all of these, to marks.
+    """Rows (done, class, own, doc, start, n) sorted by all of these, done ones last, to marks.
 
     A block that isn't the first of its kind is removed; the first of its kind is contested if its class has another
     kind. Only the last block and the last first one are held from batch to batch.
@@ -240,7 +262,12 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        kind, own, doc, start, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        done, kind, own, doc, start, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        if done.any():
+            yield _batch([doc[done], start[done], start[done] + n[done] + WINDOW - 1, kind[done], np.zeros(done.sum(), bool)], _MARK_NAMES, _MARK_TYPES)
+            if done.all():
+                continue
+            kind, own, doc, start, n = (c[~done] for c in (kind, own, doc, start, n))
         new_kind = np.r_[last_kind is None or kind[0] != last_kind, kind[1:] != kind[:-1]]
         first = new_kind | np.r_[own[0] != last_own, own[1:] != own[:-1]]
         at = np.nonzero(first)[0]
@@ -320,15 +347,17 @@ def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hashed = Hashed(x[w["start"] : w["stop"]])
                 at = np.arange(w["stop"] - w["start"] - WINDOW + 1)
                 one, two = (_mix(hashed(at, at + WINDOW, k)).view(np.int64) for k in (0, 1))
-                yield _batch([one, two, np.full(len(at), doc), (at + w["start"]).astype(np.int32), np.ones(len(at), np.int32)], ["class", "own", "doc", "start", "n"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+                yield _batch([np.zeros(len(at), bool), one, two, np.full(len(at), doc), (at + w["start"]).astype(np.int32), np.ones(len(at), np.int32)], ["done", "class", "own", "doc", "start", "n"], [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
 
-ROWS = "class long, own long, doc long, start int, n int"
+ROWS = "done boolean, class long, own long, doc long, start int, n int"
 BLOCKS = "class long, doc long, start int, block binary"
 
 
 def _settled(rows: DataFrame) -> DataFrame:
-    return rows.repartition("class").sortWithinPartitions("class", "own", "doc", "start").mapInArrow(_settle, MARKS)
+    # Rows that are done go anywhere, so that no class draws them together.
+    deal = F.when(F.col("done"), F.xxhash64("doc", "start")).otherwise(F.col("class"))
+    return rows.repartition(deal).sortWithinPartitions("done", "class", "own", "doc", "start").mapInArrow(_settle, MARKS)
 
 
 def numbered(docs: DataFrame, ws: Workspace) -> DataFrame:
