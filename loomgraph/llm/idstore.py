@@ -194,8 +194,9 @@ def read(manifest: DataFrame, doc_id_type: str = "bigint") -> DataFrame:
                 for i in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 10_000])], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
+    # A task a shard: the manifest is so small that its own size would put all of them into one.
     shards = manifest.select("path", "base", "shard")
-    return shards.repartition("shard").select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(max(1, manifest.count()), "shard").select("path", "base").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_mph_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:

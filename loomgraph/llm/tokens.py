@@ -8,6 +8,7 @@ words that hold white space or NUL themselves, are encoded by the library whole.
 
 from __future__ import annotations
 
+import gc
 import os
 from array import array
 from functools import lru_cache
@@ -106,7 +107,19 @@ class Encoder:
         have.update([(w, have[w[:-1]] + ends[w[-1]]) for w in ended])
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids as uint16, offsets): the ids of text i and then `end` are ids[offsets[i]:offsets[i + 1]]."""
+        """(ids as uint16, offsets): the ids of text i and then `end` are ids[offsets[i]:offsets[i + 1]].
+
+        The many short lists hold no cycles, so the cycle collector, which would go through them again and again, waits.
+        """
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts, end)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint16), np.zeros(1, np.int64)
