@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, simhash, toxicity
+from . import copies, mixing, packing, pii, toxicity
 from .common import Workspace, text_or_empty
 
 #: Columns of documents; a stage passes these on and no others.
@@ -24,17 +24,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the smallest doc_id, null only if all are; one of equal rows.
+    """One document of each component of near copies: that of the smallest doc_id, null only if all are; one of equal rows.
 
-    Texts without words say nothing of one another and all stay.
+    Near copies share 80 % of their five-word shingles. Texts without words say nothing of one another and all stay.
     """
     ws = Workspace(spark, "near-copies")
     rid = F.monotonically_increasing_id().alias("rid")
     rows = ws.table(docs.select(*COLUMNS, rid), "rows")
-    worded = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("doc_id"), "text").filter(F.rlike(text_or_empty(), F.lit("[^ \\t-\\r]")))
-    found = simhash.components(worded, ws).select("doc_id", F.col("component_id").alias("first"))
-    later = found.filter("doc_id.rid <> first.rid").select(F.col("doc_id.rid").alias("of"))
-    return rows.join(later, rows["rid"] == later["of"], "left_anti").select(COLUMNS)
+    worded = F.rlike(text_or_empty(), F.lit("[^ \\t-\\r]"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("place")
+    first = copies.firsts(rows.filter(worded).select("rid", place, "text"), ws)
+    kept = rows.join(first.select(F.col("rid").alias("of")), F.col("rid") == F.col("of"), "left_semi")
+    return kept.union(rows.filter(~worded)).select(COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
