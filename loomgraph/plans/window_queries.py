@@ -24,6 +24,11 @@ def _window(most=None, seq=True):
     return plan
 
 
+def _overview(s, d):
+    lay = plain_layout(s, d)
+    return W.window(lay, part_segments(s, d), 0, _span(s, d), True)
+
+
 def _kind(seq):
     t = " OR ".join(f"(length({seq}) >= {4 * p} AND len(list_filter(range({p}, greatest(length({seq}), {p})), lambda i: substr({seq}, CAST(i + 1 AS INTEGER), 1) = substr({seq}, CAST(i - {p} + 1 AS INTEGER), 1))) / nullif(CAST(length({seq}) - {p} AS DOUBLE), 0) > 0.82)" for p in range(1, 7))
     return f"CASE WHEN backbone THEN 'backbone' WHEN coalesce(length({seq}) >= 6 AND ({t}), false) THEN 'tandem' WHEN strlen({seq}) >= 250 THEN 'large' WHEN strlen({seq}) <= 4 THEN 'snp' ELSE 'indel' END"
@@ -68,6 +73,7 @@ QUERIES = {
     "q7_window": (_window(), Q.LAYOUT + _SG + f"SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, substr(seq, 1, 4000) AS seq, false AS truncated FROM lay JOIN sg USING (node_id) WHERE {_IN}"),
     "q8_window_top": (_window(MOST, False), Q.LAYOUT + _SG + f", top AS (SELECT * FROM lay WHERE {_IN} ORDER BY len DESC, x, node_id LIMIT {MOST}) SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, '' AS seq, (SELECT count(*) FROM lay WHERE {_IN}) > {MOST} AS truncated FROM top JOIN sg USING (node_id)"),
     "q9_overview": (lambda s, d: W.overlapping(plain_layout(s, d), 0, 60_000).select("node_id", "x", "len"), Q.LAYOUT + "SELECT node_id, x, len FROM lay WHERE x + len > 0 AND x < 60000"),
+    "q9_overview_whole": (_overview, Q.LAYOUT + _SG + f"SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, substr(seq, 1, 4000) AS seq, false AS truncated FROM lay JOIN sg USING (node_id) WHERE x + len > 0 AND x < (SELECT max(x + len) FROM lay)"),
     "q9_window_edges": (lambda s, d: W.window_edges(orders(s, d, True).edges, W.overlapping(plain_layout(s, d), START, END)), Q.ORDERS + ", lay AS (SELECT p_partkey AS node_id, p_partkey * 50 AS x, p_size * 40 AS len FROM part), w AS (SELECT node_id FROM lay WHERE " + _IN + ") SELECT edge_idx, from_id, to_id FROM ed WHERE from_id IN (SELECT node_id FROM w) AND to_id IN (SELECT node_id FROM w)"),
     "q10_density": (lambda s, d: W.density(plain_layout(s, d), START, END, BINS), _DENSITY + "SELECT CAST(e.bin AS INTEGER) AS bin, coalesce(n_variants, 0) AS n_variants, coalesce(max_len, 0) AS max_len FROM e LEFT JOIN b USING (bin)"),
     "q11_tile_nodes": (_tiles, Q.LAYOUT + _SPAN + ", t AS (SELECT level, width, span, unnest(range(1 << level)) AS tile FROM lv WHERE width <= 50000), m AS (SELECT level, tile, width, node_id, row_number() OVER (PARTITION BY level, tile ORDER BY len DESC, x, node_id) AS r FROM t JOIN lay ON x + len > tile * width AND x < least(tile * width + width, span)) SELECT CAST(level AS INTEGER) AS level, tile, node_id, width <= 8000 AS with_seq FROM m WHERE r <= 8000"),
