@@ -125,10 +125,12 @@ QUERIES = {
 pr AS (SELECT *, len(list_filter(range(1, least(length(ref), length(target)) + 1), lambda i: substr(ref, 1, CAST(i AS INTEGER)) = substr(target, 1, CAST(i AS INTEGER)))) AS prefix FROM cn), rs AS (SELECT *, substr(ref, prefix + 1) AS r2, substr(target, prefix + 1) AS t2 FROM pr)
 SELECT count(*) AS instances, CAST(sum(length(t2) - len(list_filter(range(1, least(length(r2), length(t2)) + 1), lambda i: right(r2, CAST(i AS INTEGER)) = right(t2, CAST(i AS INTEGER))))) AS BIGINT) AS literal_bases FROM rs""",
     ),
+    "m8_results": (lambda s, d: measure.results(_bundle(s, d)), None),
     "m9_walk_bits": (lambda s, d: measure.walks_raw(orders(s, d)), Q.ORDERS + f", z AS (SELECT {_ZZ} AS z FROM (SELECT node_id - lag(node_id, 1, 0) OVER (PARTITION BY walk_idx ORDER BY step_idx) AS v FROM st WHERE walk_idx NOT IN (SELECT walk_idx FROM bbw))) SELECT (SELECT count(*) FROM st) AS steps, CAST(sum(8 * (1 + CASE WHEN z < 128 THEN 1 WHEN z < 16384 THEN 2 WHEN z < 2097152 THEN 3 WHEN z < 268435456 THEN 4 ELSE 5 END)) AS BIGINT) AS bits FROM z"),
     "m10_best": (lambda s, d: measure.best(_coder_rows(s, d)), _CODERS + "SELECT section, best_coder, best_bits FROM best"),
     "m11_totals": (_totals, _CODERS + "SELECT (SELECT CAST(sum(p_size) AS BIGINT) FROM part) AS total_bases, CAST(sum(best_bits) AS BIGINT) AS total_bits, round(sum(best_bits) / CAST((SELECT sum(p_size) FROM part) AS DOUBLE), 8) AS bits_per_char FROM best"),
     "m12_baselines": (_baselines, _SPELLED + f", h AS (SELECT count(*) AS n FROM {_hist('sp')} GROUP BY byte), t AS (SELECT CAST(sum(n) AS DOUBLE) AS s FROM h) SELECT '2bit_percopy' AS name, CAST(sum({Q.twobit('seq')}) AS BIGINT) AS bits FROM sp UNION ALL SELECT 'shannon0', CAST(round(max(s) * sum(-(n / s) * log2(n / s))) AS BIGINT) FROM h, t"),
+    "m12_baselines_whole": (lambda s, d: measure.baselines(orders(s, d)), None),
     "m13_anchored_diff": (_edits, _EDITS + "SELECT a, CAST(prefix AS INTEGER) AS prefix, CAST(suffix AS INTEGER) AS suffix, CAST(length(r2) - suffix AS INTEGER) AS cut, substr(t2, 1, CAST(length(t2) - suffix AS INTEGER)) AS put FROM sf"),
     "m14_apply_edits": (_apply, _SGONLY + f"p AS (SELECT * FROM {_P}) SELECT a, target, target AS made FROM p"),
     "m15_literal_bases": (lambda s, d: _pairs(s, d).select("a", F.aggregate(F.filter(S.edit_script(F.col("ref"), F.col("target")), lambda x: x["op"].isin("sub", "ins")), F.lit(0).cast("long"), lambda n, x: n + x["len"]).alias("n")), _EDITS + "SELECT a, CAST(length(t2) - suffix AS BIGINT) AS n FROM sf"),

@@ -1,5 +1,8 @@
 """Queries that look at the whole of their input."""
 
+import lzma
+import re
+
 from pyspark.sql import functions as F
 
 from loomgraph.plans import registry
@@ -33,3 +36,20 @@ def test_codons_of_whole_texts(spark, tmp_path):
     assert got["f5_codon_whole"] == {(1, a): loose.count(a) for a in set(loose)} == got["f21_amino_class_whole"]
     kinds = {r["aa"]: r["kind"] for r in registry.queries()["f21_amino_class_whole"](spark, str(tmp_path)).collect()}
     assert kinds["M"] == "hydrophobic" and kinds["X"] == "other"
+
+
+def test_all_baselines_and_results(spark, tmp_path):
+    _parts(spark, tmp_path)
+    steps = [(1, 1, 1, 7, "N"), (1, 2, 1200, 7, "R"), (2, 1, 5000, 7, "N")]
+    spark.createDataFrame(steps, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(i, f"N{i}") for i in range(25)], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    # Of each part's name the letters ACGT; the last part of order 1 is reversed and complemented.
+    seq = re.sub("[^ACGT]", "", "ACGT1 PARTTTA BOXBRAND#C")
+    back = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    cohort = [seq + back, seq]
+    got = {r["name"]: r["bits"] for r in registry.queries()["m12_baselines_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == 4 and any(n.startswith("order") and n.endswith("_concat_nograph") for n in got)
+    assert got["2bit_percopy"] == 2 * sum(map(len, cohort))
+    assert got["percopy_xz"] == sum(8 * len(lzma.compress(c.encode(), preset=9)) for c in cohort)
+    coders = {(r["section"], r["coder"]) for r in registry.queries()["m8_results"](spark, str(tmp_path)).collect()}
+    assert ("repeats", "dict-factored") in coders and ("walks", "raw") in coders
