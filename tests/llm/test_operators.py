@@ -204,10 +204,25 @@ def ids_of(texts):
 def test_encoder_is_the_library():
     r = random.Random(5)
     texts = ["", " ", "  a b", "a  b", "a \n b ", "it's we'll 12ab <|endoftext|> x", "é🙂 a\x00b c", "　 a", "x  y", None] + ["".join(r.choice(" ab,.\n1é'\t日!") for _ in range(r.randrange(50))) for _ in range(800)]
-    e = tokens.Encoder(tokens.default_path())
-    for _ in range(2):  # the second time from memory
-        ids, offsets = e.encode(pa.array(texts, pa.string()), 2)
-        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [x + [2] for x in ids_of(texts)]
+    texts += ["".join(r.choice(["'", "s", "re", "ll", "V", " ", "\n", "!", "7", "é", "\u2003", "\u0301"]) for _ in range(r.randrange(12))) for _ in range(3000)]
+    texts += ["".join(chr(c) for c in range(a, a + 500) if not 0xD800 <= c < 0xE000) for a in range(0, 0x3500, 500)]
+    want = [x + [2] for x in ids_of(texts)]
+    for most in (tokens.CACHE_PIECES, 100):
+        e = tokens.Encoder(tokens.default_path(), most)
+        for _ in range(2):  # the second time from memory
+            ids, offsets = e.encode(pa.array(texts, pa.string()), 2)
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
+        cut = e.encode(pa.array(texts, pa.string()).slice(5, 700), 2)
+        assert np.array_equal(cut[0], np.concatenate(want[5:705]))
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    r = random.Random(6)
+    texts = ["", words(r, 3000), "x" * 9000, None, words(r, 2000).replace(" ", "\n"), "日本 é " * 900, words(r, 40), ""]
+    want = [x + [2] for x in ids_of(texts)]
+    monkeypatch.setattr(tokens, "CHUNK", 500)
+    ids, offsets = tokens.Encoder(tokens.default_path()).encode(pa.array(texts, pa.string()), 2)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == want
 
 
 def test_idstore(spark, sf):
@@ -218,7 +233,7 @@ def test_idstore(spark, sf):
     from pyspark.sql import functions as F
 
     done = idstore.write(spark.read.parquet(f"{sf}/documents.parquet"), ws)
-    got = sorted(idstore.read(done).collect(), key=lambda r: r["start"])
+    got = sorted(idstore.read(done, spark.read.parquet(f"{sf}/documents.parquet")).collect(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in got] == [rows[i][0] for i in order]
     at = 0
     for r in got:
@@ -226,21 +241,38 @@ def test_idstore(spark, sf):
         at += r["n_tokens"]
     crc = lambda x: zlib.crc32(np.array(x + [2], "<u4").tobytes())
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == Counter((rows[i][0], len(ids[i]) + 1, crc(ids[i])) for i in range(len(rows)))
-    seen = 0
-    for s in done.orderBy("shard").collect():
-        shard = idstore.Shard(s["path"])
-        for doc_id, _, own in shard.documents():
-            found = [shard.get(doc_id, k) for k in range(3)]
-            assert any(f is not None and f.tolist() == own.tolist() for f in found)
-            seen += 1
-        assert shard.get(10**12) is None
-    assert seen == len(rows)
+    store = idstore.Store(done)
+    for key in {i for i, *_ in rows}:
+        want = Counter(tuple(ids[k] + [2]) for k in range(len(rows)) if rows[k][0] == key)
+        assert Counter(tuple(x.tolist()) for x in store.get(key)) == want
+    assert store.get(10**12) == [] == store.get(1)
+    some = spark.createDataFrame([(3,), (6,), (3,), (None,)], "doc_id BIGINT")
+    assert Counter(r["doc_id"] for r in idstore.read(done, some).collect()) == Counter([3, 6, 6, None])
+    with pytest.raises(Exception, match="holds 0 of 1 documents|no shard holds"):
+        idstore.read(done, spark.createDataFrame([(1,)], "doc_id BIGINT")).collect()
+
+
+def test_a_key_of_very_many_rows(spark):
+    """A third of the rows and more have one id, over several shards."""
+    rows = [(5, f"a{i}") for i in range(300)] + [(None, "n")] * 100 + [(i, "x") for i in range(6, 60)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        done = idstore.write(docs, common.Workspace(spark, "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["least"] == 5 or r["greatest"] == 5 for r in done.collect()) > 1
+    assert Counter(r["doc_id"] for r in idstore.read(done, docs).collect()) == Counter(i for i, _ in rows)
+    assert len(idstore.Store(done).get(5)) == 300
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000])
 def test_perfect_hash(n):
     h = idstore.key_hash(np.arange(n) * 7, np.zeros(n, bool), np.zeros(n, int))
     assert sorted(idstore.look_up(h, idstore.build_mph(h), n).tolist()) == list(range(n))
+    if n > 1:
+        with pytest.raises(ValueError, match="distinct"):
+            idstore.build_mph(np.append(h[1:], h[1]))
 
 
 def test_packing(spark, sf):
