@@ -92,19 +92,39 @@ def amino_strict(codon: Column | str) -> Column:
 
 
 def codons(seq: Column | str, frame: int = 0) -> Column:
-    """Whole codons from the frame on."""
-    s = _col(seq)
-    n = F.floor((F.char_length(s) - frame) / 3).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.substr(s, i * 3 + (frame + 1), F.lit(3)))
+    """Whole codons from the frame on, in one pass."""
+    return F.regexp_extract_all(_from(_col(seq), frame), F.lit("(?s).{3}"), F.lit(0))
+
+
+def _from(s: Column, frame: int) -> Column:
+    return F.substr(s, F.lit(frame + 1)) if frame else s
+
+
+def _amino_table(strict: bool) -> str:
+    """Amino acids by codon, its bases as the digits of a decimal number: T, C, A, G are 0 to 3 and anything else 4."""
+    out = ["X"] * 445
+    for i in range(125):
+        a, b, c = i // 25, i // 5 % 5, i % 5
+        known = max(a, b) < 4 and (c < 4 or not strict and "TCAG"[a] + "TCAG"[b] in FOURFOLD)
+        if known:
+            out[100 * a + 10 * b + c] = AMINO_TCAG[16 * a + 4 * b + c % 4]
+    return "".join(out)
+
+
+def aminos(seq: Column | str, frame: int = 0, strict: bool = False) -> Column:
+    """Amino acids of the whole codons from the frame on, as an array: a look-up a codon, bases told apart once for all."""
+    s = _from(_col(seq) if strict else upper(seq), frame)
+    digits = F.translate(F.regexp_replace(s, "[^TCAG]", "N"), "TCAGN", "01234")
+    table = F.split(F.lit(_amino_table(strict)), "")
+    return F.transform(F.regexp_extract_all(digits, F.lit(".{3}"), F.lit(0)), lambda x: F.get(table, x.cast("int")))
 
 
 def translate(seq: Column | str, frame: int = 0) -> Column:
-    return F.array_join(F.transform(codons(seq, frame), amino), "")
+    return F.array_join(aminos(seq, frame), "")
 
 
 def translate_strict(seq: Column | str, frame: int = 0) -> Column:
-    return F.array_join(F.transform(codons(seq, frame), amino_strict), "")
+    return F.array_join(aminos(seq, frame, True), "")
 
 
 def amino_class(acid: Column | str) -> Column:
@@ -267,13 +287,49 @@ def edit_apply(reference: Column, script: Column) -> Column:
 
 def register(spark: SparkSession) -> None:
     """Offers the scalar functions to SQL, as SQL functions without Python."""
-    bases = f"'[^{BASES}]'"
+    fold = f"translate(s, '{LOWER}', '{UPPER}')"
+    comp = f"translate(regexp_replace({fold}, '[^{BASES}]', 'N'), '{BASES}', '{COMPLEMENTS}')"
+    plain = "octet_length(regexp_replace(s, '[^ACGT]', ''))"
+    at = "filter(CASE WHEN q <> '' AND char_length(s) >= char_length(q) THEN sequence(0, char_length(s) - char_length(q)) ELSE cast(array() AS array<int>) END, i -> substr(s, i + 1, char_length(q)) = q)"
+    digits = "regexp_extract_all(translate(regexp_replace({0}, '[^TCAG]', 'N'), 'TCAGN', '01234'), '.{{3}}', 0)"
+    acids = "array_join(transform({0}, x -> substr('{1}', cast(x AS int) + 1, 1)), '')"
+    loose = acids.format(digits.format(f"substr({fold}, frame + 1)"), _amino_table(False))
+    strict = acids.format(digits.format("substr(s, frame + 1)"), _amino_table(True))
+    classes = " ".join(f"WHEN {' OR '.join(f'a = {x!r}' for x in acids_)} THEN '{name}'" for name, acids_ in AMINO_CLASSES.items())
+    tandem = " OR ".join(
+        f"(char_length(s) >= {max(4 * p, TANDEM_LEAST)} AND size(filter(sequence({p}, greatest(char_length(s) - 1, {p})), i -> substr(s, i + 1, 1) = substr(s, i - {p} + 1, 1))) / greatest(char_length(s) - {p}, 1) > {TANDEM_SHARE})"
+        for p in range(1, TANDEM_PERIODS + 1)
+    )
+    kinds = f"CASE WHEN backbone THEN 'backbone' WHEN {tandem} THEN 'tandem' WHEN octet_length(s) >= {LARGE} THEN 'large' WHEN octet_length(s) <= {SMALL} THEN 'snp' ELSE 'indel' END"
+    rest = "regexp_extract(substring_index(s, '#', -1), '^[^:]*:([^-]*)', 1)"
+    significant = " ".join(f"WHEN lower(s) RLIKE '{p}'" + (f" AND NOT lower(s) RLIKE '{no}'" if no else "") + f" THEN '{name}'" for name, p, no in SIGNIFICANCE)
+    query = "regexp_replace(upper(trim(s)), '[^ACGTN]', '')"
     for name, args, body in [
-        ("seq_upper", "s STRING", f"translate(s, '{LOWER}', '{UPPER}')"),
-        ("seq_complement", "s STRING", f"translate(regexp_replace(translate(s, '{LOWER}', '{UPPER}'), {bases}, 'N'), '{BASES}', '{COMPLEMENTS}')"),
-        ("seq_revcomp", "s STRING", f"reverse(translate(regexp_replace(translate(s, '{LOWER}', '{UPPER}'), {bases}, 'N'), '{BASES}', '{COMPLEMENTS}'))"),
-        ("seq_twobit", "s STRING", "2 * octet_length(regexp_replace(s, '[^ACGT]', '')) + 8 * (octet_length(s) - octet_length(regexp_replace(s, '[^ACGT]', '')))"),
-        ("seq_zigzag", "v BIGINT", "shiftleft(v, 1) ^ shiftright(v, 63)"),
+        ("seq_upper", "s STRING", fold),
+        ("seq_complement", "s STRING", comp),
+        ("seq_revcomp", "s STRING", f"reverse({comp})"),
+        ("seq_flip", "s STRING", "CASE WHEN s = '-' THEN '+' ELSE '-' END"),
+        ("seq_sign", "s STRING", "CASE WHEN s = '' OR left(s, 1) = '+' THEN '+' WHEN left(s, 1) = '-' THEN '-' END"),
+        ("seq_translate", "s STRING, frame INT", loose),
+        ("seq_translate_strict", "s STRING, frame INT", strict),
+        ("seq_codons", "s STRING, frame INT", "regexp_extract_all(substr(s, frame + 1), '(?s).{3}', 0)"),
+        ("seq_amino_class", "a STRING", f"CASE {classes} ELSE 'other' END"),
+        ("seq_find", "s STRING, q STRING", "CASE WHEN q <> '' AND position(q, s) > 0 THEN cast(position(q, s) - 1 AS bigint) END"),
+        ("seq_offsets", "s STRING, q STRING", at),
+        ("seq_count", "s STRING, q STRING", f"cast(size({at}) AS bigint)"),
+        ("seq_tandem", "s STRING", tandem),
+        ("seq_kind", "s STRING, backbone BOOLEAN", kinds),
+        ("seq_preview", "s STRING", "CASE WHEN char_length(s) <= 24 THEN s ELSE concat(left(s, 12), '…', right(s, 8)) END"),
+        ("seq_chromosome", "s STRING", "substring_index(substring_index(s, '#', -1), ':', 1)"),
+        ("seq_region_start", "s STRING", f"coalesce(CASE WHEN {rest} RLIKE '^[+]?[0-9]+$' THEN try_cast({rest} AS bigint) END, 0)"),
         ("seq_sample", "s STRING", "substring_index(s, '#', 2)"),
+        ("seq_commas", "n BIGINT", "format_number(n, 0)"),
+        ("seq_significance", "s STRING", f"CASE {significant} ELSE 'other' END"),
+        ("seq_query_text", "s STRING", f"CASE WHEN char_length({query}) >= 2 THEN {query} END"),
+        ("seq_twobit", "s STRING", f"2 * {plain} + 8 * (octet_length(s) - {plain})"),
+        ("seq_zigzag", "v BIGINT", "shiftleft(v, 1) ^ shiftright(v, 63)"),
+        ("seq_varint_length", "v BIGINT", "1" + "".join(f" + cast(v >= {1 << 7 * k} AS int)" for k in range(1, 9))),
+        ("seq_bits_for", "n BIGINT", "CASE WHEN n <= 1 THEN 1 ELSE char_length(bin(n - 1)) END"),
+        ("seq_effective_order", "k INT, bits INT", f"CASE WHEN bits = 0 THEN 0 ELSE least(k, {CONTEXT_BITS} div bits) END"),
     ]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURN {body}")

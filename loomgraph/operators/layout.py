@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..bundle import Bundle
 from ..functions import sequence as S
+from ..workspace import before, ranged
 from .traverse import anchors
 from .walks import backbone_nodes, backbone_offsets
 
@@ -48,10 +49,10 @@ def lanes(placed: DataFrame) -> DataFrame:
     lanes are free, so the islands between such places are packed apart.
     """
     variants = placed.filter(~F.col("backbone")).withColumn("stop", F.col("x") + F.greatest("len", F.lit(1)) + GAP)
-    order = Window.orderBy("x", "node_id")
-    top = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = variants.withColumn("fresh", F.when(top.isNull() | (F.col("x") >= top), 1).otherwise(0))
-    marked = marked.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["x", "node_id"]
+    marked = before(ranged(variants, order), F.max, F.col("stop"), order, "top")
+    marked = marked.withColumn("fresh", F.when(F.col("top").isNull() | (F.col("x") >= F.col("top")), 1).otherwise(0))
+    marked = before(marked, F.sum, F.col("fresh"), order, "islands").withColumn("island", F.coalesce("islands", F.lit(0)) + F.col("fresh"))
     packed = marked.select("node_id", "x", "stop", "island").groupBy("island").applyInPandas(lambda g: _first_fit(g), "node_id long, k int")
     out = placed.join(packed, "node_id", "left")
     return out.select("node_id", "x", "len", "backbone", F.when(F.col("backbone"), 0).otherwise(alternating(F.col("k"))).alias("lane"))

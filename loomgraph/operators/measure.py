@@ -20,10 +20,15 @@ def twobit(seqs: DataFrame, seq: str = "seq") -> DataFrame:
     return seqs.agg(F.coalesce(F.sum(S.twobit_bits(seq)), F.lit(0)).alias("bits"))
 
 
+PLAIN = "ACGT"
+
+
 def histogram(seqs: DataFrame, seq: str = "seq") -> DataFrame:
-    """(byte, n) over all sequences, through one map of counts a row, so rows don't multiply by their letters first."""
-    letters = F.explode(F.split(F.col(seq), ""))
-    return seqs.filter(F.length(seq) > 0).select(letters.alias("byte")).filter("byte <> ''").groupBy("byte").agg(F.count("*").alias("n"))
+    """(byte, n) over all sequences. Plain bases are counted by lengths, so only other letters become rows."""
+    counts = seqs.agg(*(F.coalesce(F.sum(F.length(seq) - F.length(F.translate(seq, c, ""))), F.lit(0)).cast("long").alias(c) for c in PLAIN))
+    plain = counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("byte"), F.col(c).alias("n")) for c in PLAIN))).alias("x")).select("x.*").filter("n > 0")
+    rest = seqs.select(F.explode(F.split(F.translate(seq, PLAIN, ""), "")).alias("byte")).filter("byte <> ''").groupBy("byte").agg(F.count("*").alias("n"))
+    return plain.union(rest)
 
 
 def shannon(seqs: DataFrame, seq: str = "seq") -> DataFrame:
@@ -96,6 +101,16 @@ def literals(b: Bundle) -> DataFrame:
     return joined.select("node_id", S.edit_parts(S.oriented("consensus", "strand"), F.col("seq"))["put"].alias("put"))
 
 
+def shared_cost(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(total_bases, shared_bases, percopy_bits, shared_bits): every line spelled out, against each distinct one once.
+
+    One count a distinct line, summed on both sides of the shuffle, so a line that is everywhere is no burden.
+    """
+    per = lines.groupBy(line).agg(F.count("*").alias("n")).withColumn("seq", S.upper(line)).select(S.length("seq").alias("len"), S.twobit_bits("seq").alias("bits"), "n")
+    sums = {"total_bases": F.col("len") * F.col("n"), "shared_bases": F.col("len"), "percopy_bits": F.col("bits") * F.col("n"), "shared_bits": F.col("bits")}
+    return per.agg(*(F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(k) for k, v in sums.items()))
+
+
 def best(results: DataFrame) -> DataFrame:
     """results (section, coder_ord, coder, bits): (section, best_coder, best_bits), the first added of the least."""
     m = F.min(F.struct("bits", "coder_ord", "coder"))
@@ -106,8 +121,8 @@ def order_cost(streams: DataFrame, order: int) -> DataFrame:
     """streams (stream, ord, seq): (stream, symbols, letters, bits), the adaptive coder's cost by relational means.
 
     A probability of the coder depends only on the bits that its own cell, a context and a node of the bit tree, has
-    seen, in order. So symbols are dealt out by cell, each cell folds its own bits, and the costs are summed: no
-    stream is coded in one task. A cell's bits are packed and folded in runs of its own; the sum of -log2 of the
+    seen, in order. So symbols are dealt out by cell, each cell folds its own bits, and the costs are summed; finding
+    the contexts goes over a stream in order, in one task a stream. A cell's bits are packed and folded in runs of its own; the sum of -log2 of the
     probabilities differs from the coder's bytes by rounding only.
     """
     letters = streams.filter(F.length("seq") > 0).select("stream", "ord", F.posexplode(F.split("seq", "")).alias("i", "c")).filter("c <> ''")

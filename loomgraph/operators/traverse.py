@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
+from ..workspace import cut, ordinals
 from .walks import adjacency, backbone_offsets
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that all executors share; the session names it, tests get one of their own."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
-    return df.checkpoint()
-
-
 def anchors(b: Bundle) -> DataFrame:
     """(node_id, anchor): the backbone offset of the node that a search from all backbone nodes reaches each node from.
 
@@ -34,12 +27,10 @@ def anchors(b: Bundle) -> DataFrame:
     while True:
         reached = level.select(F.col("node_id").alias("at"), "anchor", "rank").join(both, "at").select(F.col("to").alias("node_id"), F.struct("rank", "key", "anchor").alias("by"))
         fresh = reached.join(found.select("node_id"), "node_id", "left_anti").groupBy("node_id").agg(F.min("by").alias("by"))
-        # Only the order within a level matters, so a sparse rank serves as well as a dense one.
-        level = cut(fresh.select("node_id", F.col("by.anchor").alias("anchor"), F.col("by").alias("order")))
+        level = fresh.select("node_id", F.col("by.anchor").alias("anchor"), F.col("by.rank").alias("by"), F.col("by.key").alias("key"))
+        level = cut(ordinals(level, ["by", "key"], "rank").select("node_id", "anchor", "rank"))
         if level.isEmpty():
             return found
-        by = Window.orderBy("order.rank", "order.key")
-        level = cut(level.select("node_id", "anchor", F.row_number().over(by).cast("long").alias("rank")))
         found = cut(found.union(level.select("node_id", "anchor")))
 
 

@@ -25,8 +25,8 @@ def window(nodes: DataFrame, segments: DataFrame, start: int, end: int, with_seq
     """(node_id, x, lane, len, backbone, kind, seq, truncated); the longest `most` nodes if there are more."""
     inside = overlapping(nodes, start, end)
     if most is not None:
-        total = F.count("*").over(Window.partitionBy())
-        inside = inside.withColumn("truncated", total > most).orderBy(F.col("len").desc(), "x", "node_id").limit(most)
+        total = inside.agg((F.count("*") > most).alias("truncated"))
+        inside = inside.orderBy(F.col("len").desc(), "x", "node_id").limit(most).crossJoin(total)  # one row
     else:
         inside = inside.withColumn("truncated", F.lit(False))
     full = inside.join(segments.select("node_id", "seq"), "node_id")
@@ -46,6 +46,19 @@ def bin_of(x: Column, start: Column | int, width: Column | int, bins: int) -> Co
     return F.least(F.greatest(F.floor((x - s) * bins / w), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
+def ruler_step(raw: Column) -> Column:
+    """The least of 1, 2, 5 and 10 times the power of ten below `raw` that is not below it."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(raw, F.lit(1.0))))).cast("long")
+    return F.when(power >= raw, power).when(2 * power >= raw, 2 * power).when(5 * power >= raw, 5 * power).otherwise(10 * power)
+
+
+def ruler_ticks(origin: Column, left: Column, per_pixel: Column, width: int) -> Column:
+    """Places of a ruler's ticks, about ten, in a view of `width` pixels that begins `left` after the origin."""
+    lo, step = origin + left, ruler_step(per_pixel * (width / 10))
+    first, last = (F.ceil(lo / step) * step).cast("long"), F.floor(lo + per_pixel * width).cast("long")
+    return F.when(first <= last, F.sequence(first, last, step)).otherwise(F.array().cast("array<bigint>"))
+
+
 def density(nodes: DataFrame, start: int, end: int, bins: int) -> DataFrame:
     """(bin, n_variants, max_len): variants that begin in [start, end), empty bins too."""
     bins, width = max(bins, 1), max(end - start, 1)

@@ -8,23 +8,16 @@ from pyspark.sql import functions as F
 from ..bundle import Bundle
 from ..functions import sequence as S
 from ..operators.walks import chain_edges
+from ..workspace import ordinals
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(values: DataFrame, value: str, out: str, prefix: int = 6) -> DataFrame:
-    """Distinct strings with dense numbers from 0 in byte order.
-
-    Strings that share a prefix are numbered in one task; only the prefixes' counts meet in one place.
-    """
-    each = values.select(value).distinct().withColumn("_p", F.substring(value, 1, prefix))
-    counts = each.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(value))
-    return each.withColumn("_r", own).join(counts, "_p").select(value, (F.col("_base") + F.col("_r") - 1).alias(out))
+def numbered(values: DataFrame, value: str, out: str) -> DataFrame:
+    """Distinct strings with dense numbers from 0 in byte order."""
+    return ordinals(values.select(value).distinct(), [value], out)
 
 
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +59,7 @@ def orders(spark: SparkSession, sf_dir: str, with_edges: bool = False) -> Bundle
     walks = sizes.crossJoin(top).select("walk_idx", name.alias("name"), (k == F.col("top")).alias("is_backbone"))
     parts = {"segments": part_segments(spark, sf_dir), "steps": steps, "walks": walks}
     if with_edges:
-        order = Window.orderBy("first")
-        parts["edges"] = chain_edges(steps).withColumn("edge_idx", (F.row_number().over(order) - 1).cast("long")).select("edge_idx", "from_id", "from_strand", "to_id", "to_strand")
+        parts["edges"] = ordinals(chain_edges(steps), ["first"], "edge_idx").select("edge_idx", "from_id", "from_strand", "to_id", "to_strand")
     return Bundle.of(spark, **parts)
 
 

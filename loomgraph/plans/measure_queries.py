@@ -7,18 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import coders, measure, walks
 from . import sql as Q
-from .adapters import corpus, dna, orders, part_segments, table
+from .adapters import corpus_lines, dna, orders, part_segments, table
 
 ORDERS = (2, 4)
 
 
 def _shared_cost(s, d):
     """Bases and 2-bit cost of the corpus: each document spelled out, against each distinct line once."""
-    b = corpus(s, d)
-    per = b.segments.select("node_id", "len", S.twobit_bits("seq").alias("bits"))
-    copies = b.steps.join(per, "node_id", "left").agg(F.sum(F.coalesce("len", F.lit(0))).alias("total_bases"), F.sum(F.coalesce("bits", F.lit(0))).alias("percopy_bits"))
-    shared = per.agg(F.sum("len").alias("shared_bases"), F.sum("bits").alias("shared_bits"))
-    return copies.crossJoin(shared).select("total_bases", "shared_bases", "percopy_bits", "shared_bits", F.round(F.col("percopy_bits") / F.col("shared_bits"), 6).alias("reduction"))
+    return measure.shared_cost(corpus_lines(s, d)).withColumn("reduction", F.round(F.col("percopy_bits") / F.col("shared_bits"), 6))
 
 
 def _entropy(s, d):

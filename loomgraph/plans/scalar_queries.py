@@ -61,25 +61,15 @@ _CLASS = "CASE WHEN a IN ('A','V','L','I','M','F','W','C') THEN 'hydrophobic' WH
 _STRICT = f"CASE WHEN length(c) < 3 THEN '' WHEN regexp_full_match(c, '[ACGT]{{3}}') THEN {Q.amino('c')} ELSE 'X' END"
 
 
-def _codon_rows(spark, d):
-    one = _docs(spark, d).select("doc_id", F.explode(F.array(*(F.lit(i) for i in (1, 4, 7, 40)))).alias("place"), S.upper("text").alias("t"))
-    return one.select("doc_id", "place", F.substr("t", F.col("place"), F.lit(3)).alias("c"))
-
-
-_CODON_ROWS = f"SELECT doc_id, place, substr({_TEXT}, place, 3) AS c FROM documents, (SELECT unnest([1, 4, 7, 40]) AS place)"
-
-
-def _all_codons(spark, d):
-    """Every codon of frame 0 of each whole text, whatever its letters."""
-    return _docs(spark, d).select("doc_id", F.explode(F.regexp_extract_all(S.upper("text"), F.lit("(?s).{3}"), F.lit(0))).alias("c"))
-
-
 _ALL_CODONS = f"SELECT doc_id, unnest({Q.codons('t', 0)}) AS c FROM (SELECT doc_id, {_TEXT} AS t FROM documents)"
 
 
-def _counts(acid, kind=False):
+def _counts(strict=False, kind=False):
+    """Amino acids of all codons of frame 0 of each whole text, whatever its letters."""
+
     def plan(s, d):
-        out = _all_codons(s, d).select("doc_id", acid("c").alias("aa")).groupBy("doc_id", "aa").agg(F.count("*").alias("n"))
+        # Letters are folded first, for the strict table too.
+        out = _docs(s, d).select("doc_id", F.explode(S.aminos(S.upper("text"), 0, strict)).alias("aa")).groupBy("doc_id", "aa").agg(F.count("*").alias("n"))
         return out.withColumn("kind", S.amino_class("aa")) if kind else out
 
     return plan
@@ -101,15 +91,13 @@ QUERIES = {
         lambda s, d: table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).select("l_returnflag", "l_linestatus", "n", S.flip(F.when(F.col("l_returnflag") == "R", "-").otherwise("+")).alias("flipped"), S.sign(F.when(F.col("l_returnflag") == "R", "-x").when(F.col("l_returnflag") == "A", "").otherwise("?")).alias("parsed")),
         "SELECT l_returnflag, l_linestatus, count(*) AS n, CASE WHEN l_returnflag = 'R' THEN '+' ELSE '-' END AS flipped, CASE WHEN l_returnflag = 'R' THEN '-' WHEN l_returnflag = 'A' THEN '+' END AS parsed FROM lineitem GROUP BY 1, 2",
     ),
-    "f5_codon": (lambda s, d: _codon_rows(s, d).select("doc_id", "place", S.amino("c").alias("aa")), f"SELECT doc_id, place, {Q.amino('c')} AS aa FROM ({_CODON_ROWS})"),
-    "f5_codon_whole": (_counts(S.amino), f"SELECT doc_id, {Q.amino('c')} AS aa, count(*) AS n FROM ({_ALL_CODONS}) GROUP BY 1, 2"),
+    "f5_codon": (_counts(), f"SELECT doc_id, {Q.amino('c')} AS aa, count(*) AS n FROM ({_ALL_CODONS}) GROUP BY 1, 2"),
     "f6_translate": (
         lambda s, d: _digest(dna(s, d), **{f"p{k}": F.md5(S.translate("seq", k)) for k in range(3)}),
         Q.DNA + "SELECT doc_id, " + ", ".join(f"md5(array_to_string(list_transform({Q.codons('seq', k)}, lambda c: {Q.amino('c')}), '')) AS p{k}" for k in range(3)) + " FROM dna",
     ),
     "f7_codons": (lambda s, d: _digest(dna(s, d), n=F.size(S.codons("seq", 1)), digest=F.md5(F.array_join(S.codons("seq", 1), ","))), Q.DNA + f"SELECT doc_id, CAST(len({Q.codons('seq', 1)}) AS INTEGER) AS n, md5(array_to_string({Q.codons('seq', 1)}, ',')) AS digest FROM dna"),
-    "f8_strict_codon": (lambda s, d: _codon_rows(s, d).select("doc_id", "place", S.amino_strict("c").alias("aa")), f"SELECT doc_id, place, {_STRICT} AS aa FROM ({_CODON_ROWS})"),
-    "f8_strict_codon_whole": (_counts(S.amino_strict), f"SELECT doc_id, {_STRICT} AS aa, count(*) AS n FROM ({_ALL_CODONS}) GROUP BY 1, 2"),
+    "f8_strict_codon": (_counts(True), f"SELECT doc_id, {_STRICT} AS aa, count(*) AS n FROM ({_ALL_CODONS}) GROUP BY 1, 2"),
     "f9_global_frame": (
         _global_frame,
         Q.DNA + f"SELECT doc_id, aa, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(list_filter(range(0, greatest(length(seq) - 2, 0)), lambda i: (doc_id + i) % 3 = 0), lambda i: {Q.amino('substr(seq, CAST(i + 1 AS INTEGER), 3)')})) AS aa FROM dna) GROUP BY 1, 2",
@@ -131,8 +119,7 @@ QUERIES = {
         _sig,
         f"WITH t AS (SELECT o_orderkey, {_SIG} AS sig FROM orders) SELECT o_orderkey, sig, CASE WHEN lower(sig) LIKE '%pathogenic%' AND lower(sig) NOT LIKE '%benign%' THEN 'pathogenic' WHEN regexp_matches(lower(sig), 'risk|association|protective|affects') THEN 'risk' WHEN lower(sig) LIKE '%drug%' THEN 'drug' WHEN regexp_matches(lower(sig), 'uncertain|conflicting|not provided') THEN 'uncertain' WHEN lower(sig) LIKE '%benign%' THEN 'benign' ELSE 'other' END AS bucket FROM t",
     ),
-    "f21_amino_class": (lambda s, d: _codon_rows(s, d).select(S.amino("c").alias("a")).groupBy("a").agg(F.count("*").alias("n")).select("a", "n", S.amino_class("a").alias("kind")), f"SELECT a, n, {_CLASS} AS kind FROM (SELECT {Q.amino('c')} AS a, count(*) AS n FROM ({_CODON_ROWS}) GROUP BY 1)"),
-    "f21_amino_class_whole": (_counts(S.amino, True), f"SELECT doc_id, a AS aa, n, {_CLASS} AS kind FROM (SELECT doc_id, {Q.amino('c')} AS a, count(*) AS n FROM ({_ALL_CODONS}) GROUP BY 1, 2)"),
+    "f21_amino_class": (_counts(False, True), f"SELECT doc_id, a AS aa, n, {_CLASS} AS kind FROM (SELECT doc_id, {Q.amino('c')} AS a, count(*) AS n FROM ({_ALL_CODONS}) GROUP BY 1, 2)"),
     "f22_query_text": (lambda s, d: table(s, d, "part").select("p_partkey", S.query_text(F.concat(F.lit(" "), "p_name", F.lit(" "))).alias("q")), "SELECT p_partkey, CASE WHEN length(q) >= 2 THEN q END AS q FROM (SELECT p_partkey, regexp_replace(upper(trim(p_name)), '[^ACGTN]', '', 'g') AS q FROM part)"),
     "f23_zigzag": (lambda s, d: table(s, d, "lineitem").select(S.zigzag(F.col("l_partkey") - F.col("l_suppkey")).alias("z")).groupBy("z").agg(F.count("*").alias("n")), "SELECT CAST(CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS BIGINT) AS z, count(*) AS n FROM (SELECT l_partkey - l_suppkey AS v FROM lineitem) GROUP BY 1"),
     "f24_bits_for": (lambda s, d: table(s, d, "part").select("p_partkey", S.bits_for("p_partkey").alias("bits")), "SELECT p_partkey, CASE WHEN p_partkey <= 1 THEN 1 ELSE length(bin(p_partkey - 1)) END AS bits FROM part"),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Window
@@ -11,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import layout, measure, walks, windows
 from ..sources import container, fasta, gfa, synth, tables
+from ..workspace import fresh_folder
 from . import sql as Q
 from .adapters import orders, table
 from .measure_queries import _CODERS, _coder_rows, _named
 
 
 def _lines(s, d):
-    """Graph text of the orders' graph with line numbers from 0, W lines for suppliers' parts, and lines to be ignored."""
+    """Graph text of the orders' graph, written to files and read back with line numbers from 0, W lines for suppliers' parts, and lines to be ignored."""
     b = orders(s, d, True)
     body = gfa.lines_of(b)
     t = "\t"
@@ -27,8 +27,9 @@ def _lines(s, d):
         F.concat_ws(t, F.lit("W"), "s_name", F.lit("1"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.lit("0"), F.lit("9"), F.concat(F.lit(">"), F.col("s_suppkey").cast("string"), F.lit("<x"), F.col("s_nationkey").cast("string"))),
     )
     bad = table(s, d, "region").select(F.lit(5), F.col("r_regionkey").cast("long"), F.concat_ws(t, F.lit("L"), F.col("r_name"), F.lit("?"), F.lit("0"), F.lit("+")))
-    order = Window.orderBy("kind", "ord")
-    return body.union(walks).union(bad).select((F.row_number().over(order) - 1).cast("long").alias("line_no"), "value")
+    path = freshfresh_folder(s, "lines")
+    gfa.write_lines(body.union(walks).union(bad), path)
+    return gfa.numbered_lines(s, path)
 
 
 _LINES = Q.ORDERS + """, raw AS (SELECT 0 AS kind, 0 AS ord, 'H' || chr(9) || 'VN:Z:1.0' AS value
@@ -106,12 +107,6 @@ def _synth(s, d):
     return reduce(lambda a, b: a.union(b), (df.agg(F.count("*").alias("n")).select(F.lit(k).alias("table"), "n") for k, df in t.items()))
 
 
-def _folder(s, name):
-    """A fresh folder that the driver and the executors share."""
-    at = s.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _made(s):
     return synth.generate(s, synth.Parameters())
 
@@ -155,7 +150,7 @@ def _varints(s, d):
 
 def _appended(s, d):
     """Two ledger records, appended one after the other and read back."""
-    path = _folder(s, "ledger")
+    path = fresh_folder(s, "ledger")
     record = s.createDataFrame([('{"total_bases":10,"total_bits":20,"provenance":{"dataset":"d"}}',)], "json STRING")
     tables.append_ledger(record, path)
     tables.append_ledger(record, path)
@@ -170,7 +165,7 @@ def _report(s, d):
 
 def _tile_files(s, d):
     """The tile pyramid of the synthetic graph, written as files and read back."""
-    b, path = _made(s), _folder(s, "tiles")
+    b, path = _made(s), fresh_folder(s, "tiles")
     windows.write_tiles(layout.lanes(layout.positions(b)), b.segments, b.edges, walks.span(b).first()[0], "chr6", 0, path)
     t = s.read.json(f"{path}/tiles")
     return t.select("level", "tile", F.size("nodes").alias("nodes"), F.size("edges").alias("edges"))

@@ -69,11 +69,20 @@ def _annotated(s, d):
     return W.annotated(a, plain_layout(s, d), 1_000).select("id", "pos", "offset", "node_id")
 
 
+def _ruler(s, d):
+    v = _views(s, d).select("o_orderkey", "x0", (F.col("vp") / 1000).alias("per"))
+    return v.select("o_orderkey", F.explode(W.ruler_ticks(F.lit(START), F.col("x0"), F.col("per"), 1000)).alias("at"))
+
+
+#: Steps of 1, 2 or 5 times a power of ten.
+_RULER = f"""WITH v AS (SELECT o_orderkey, {START} + o_orderkey * 10 AS lo, o_totalprice / 4000 AS per FROM orders), r AS (SELECT *, per * 100 AS raw, CAST(pow(10, floor(log10(greatest(per * 100, 1)))) AS BIGINT) AS p FROM v),
+t AS (SELECT *, CASE WHEN p >= raw THEN p WHEN 2 * p >= raw THEN 2 * p WHEN 5 * p >= raw THEN 5 * p ELSE 10 * p END AS step FROM r)
+SELECT o_orderkey, unnest(range(CAST(ceil(lo / CAST(step AS DOUBLE)) AS BIGINT) * step, CAST(floor(lo + per * 1000) AS BIGINT) + 1, step)) AS at FROM t"""
+
 QUERIES = {
     "q7_window": (_window(), Q.LAYOUT + _SG + f"SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, substr(seq, 1, 4000) AS seq, false AS truncated FROM lay JOIN sg USING (node_id) WHERE {_IN}"),
     "q8_window_top": (_window(MOST, False), Q.LAYOUT + _SG + f", top AS (SELECT * FROM lay WHERE {_IN} ORDER BY len DESC, x, node_id LIMIT {MOST}) SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, '' AS seq, (SELECT count(*) FROM lay WHERE {_IN}) > {MOST} AS truncated FROM top JOIN sg USING (node_id)"),
-    "q9_overview": (lambda s, d: W.overlapping(plain_layout(s, d), 0, 60_000).select("node_id", "x", "len"), Q.LAYOUT + "SELECT node_id, x, len FROM lay WHERE x + len > 0 AND x < 60000"),
-    "q9_overview_whole": (_overview, Q.LAYOUT + _SG + f"SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, substr(seq, 1, 4000) AS seq, false AS truncated FROM lay JOIN sg USING (node_id) WHERE x + len > 0 AND x < (SELECT max(x + len) FROM lay)"),
+    "q9_overview": (_overview, Q.LAYOUT + _SG + f"SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, substr(seq, 1, 4000) AS seq, false AS truncated FROM lay JOIN sg USING (node_id) WHERE x + len > 0 AND x < (SELECT max(x + len) FROM lay)"),
     "q9_window_edges": (lambda s, d: W.window_edges(orders(s, d, True).edges, W.overlapping(plain_layout(s, d), START, END)), Q.ORDERS + ", lay AS (SELECT p_partkey AS node_id, p_partkey * 50 AS x, p_size * 40 AS len FROM part), w AS (SELECT node_id FROM lay WHERE " + _IN + ") SELECT edge_idx, from_id, to_id FROM ed WHERE from_id IN (SELECT node_id FROM w) AND to_id IN (SELECT node_id FROM w)"),
     "q10_density": (lambda s, d: W.density(plain_layout(s, d), START, END, BINS), _DENSITY + "SELECT CAST(e.bin AS INTEGER) AS bin, coalesce(n_variants, 0) AS n_variants, coalesce(max_len, 0) AS max_len FROM e LEFT JOIN b USING (bin)"),
     "q11_tile_nodes": (_tiles, Q.LAYOUT + _SPAN + ", t AS (SELECT level, width, span, unnest(range(1 << level)) AS tile FROM lv WHERE width <= 50000), m AS (SELECT level, tile, width, node_id, row_number() OVER (PARTITION BY level, tile ORDER BY len DESC, x, node_id) AS r FROM t JOIN lay ON x + len > tile * width AND x < least(tile * width + width, span)) SELECT CAST(level AS INTEGER) AS level, tile, node_id, width <= 8000 AS with_seq FROM m WHERE r <= 8000"),
@@ -81,5 +90,6 @@ QUERIES = {
     "q12_level": (_levels, "SELECT o_orderkey, CAST(least(greatest(CAST(round(3 + log2(131072 / (o_totalprice / 4))) AS INTEGER), 0), 6) AS INTEGER) AS level FROM orders"),
     "q13_cull": (_cull, "SELECT o_orderkey, CAST(greatest((o_orderkey * 10) // 2048, 0) AS BIGINT) AS first, CAST(least(floor((o_orderkey * 10 + o_totalprice / 4) / 2048), 63) AS BIGINT) AS last FROM orders"),
     "q14_cnv": (lambda s, d: W.flagged(W.density(plain_layout(s, d), START, END, BINS)), _DENSITY + "SELECT CAST(bin AS INTEGER) AS bin, n_variants, max_len FROM b WHERE max_len > 1000"),
+    "q16_ruler": (_ruler, _RULER),
     "q15_annotations": (_annotated, Q.LAYOUT + "SELECT o_orderkey AS id, o_orderkey + 1000 AS pos, o_orderkey AS offset, node_id FROM orders JOIN lay ON backbone AND o_orderkey >= x AND o_orderkey < x + len"),
 }

@@ -7,14 +7,24 @@ from pyspark.sql import functions as F
 
 from ..bundle import Bundle
 from ..functions import sequence as S
+from ..workspace import cut, ordinals
 
 #: Parts of a walk's name that make it the backbone, in order of preference.
 BACKBONE_HINTS = ("grch38", "chm13", "t2t", "reference", "backbone", "_ref")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of a text file, in file order."""
-    return spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0])).toDF("line_no BIGINT, value STRING")
+    """(line_no, value) of text files, in order of path and place, read once.
+
+    A scan deals blocks of files out by size, but reads each block's lines in order; so a line's number is the number
+    of lines in the blocks before its own, and its place among the ids that its block's lines got.
+    """
+    at = F.col("_metadata")
+    raw = cut(spark.read.text(path).select(at["file_path"].alias("file"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"), "value"))
+    blocks = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return raw.join(blocks, ["file", "block"]).select((F.col("base") + F.col("id") - F.col("first")).alias("line_no"), "value")
 
 
 def records(lines: DataFrame) -> DataFrame:
@@ -64,17 +74,16 @@ def walk_lines(rows: DataFrame) -> DataFrame:
 
 
 def mentions(rows: DataFrame) -> DataFrame:
-    """(name, line_no, pos): every valid mention of a segment's name."""
-    links = link_lines(rows)
-    parts = [
-        rows.filter("tag = 'S'").select(F.col("f")[1].alias("name"), "line_no", F.lit(0).alias("pos")),
-        links.select(F.col("from_name").alias("name"), "line_no", F.lit(0).alias("pos")), links.select(F.col("to_name").alias("name"), "line_no", F.lit(1).alias("pos")),
-        path_steps(rows).select("name", "line_no", "pos"), walk_steps(rows).select("name", "line_no", "pos"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """(name, line_no, pos): every valid mention of a segment's name, in one pass over the lines."""
+    f, tag = F.col("f"), F.col("tag")
+    signed = F.filter(F.split(f[2], ","), lambda x: F.right(x, F.lit(1)).isin("+", "-"))
+    names = (
+        F.when(tag == "S", F.array(f[1]))
+        .when((tag == "L") & S.sign(f[2]).isNotNull() & S.sign(f[4]).isNotNull(), F.array(f[1], f[3]))
+        .when(tag == "P", F.transform(signed, lambda x: F.substr(x, F.lit(1), F.char_length(x) - 1)))
+        .when(tag == "W", F.transform(F.regexp_extract_all(f[6], F.lit("[<>][^<>]+"), F.lit(0)), lambda x: F.substr(x, F.lit(2))))
+    )
+    return rows.select("line_no", F.posexplode(names).alias("pos", "name")).select("name", "line_no", "pos")
 
 
 def interned(rows: DataFrame) -> DataFrame:
@@ -97,7 +106,7 @@ def _tag(f: Column, prefix: str) -> Column:
 
 def rank_tags(segments: DataFrame) -> DataFrame:
     """segment_lines(): (line_no, name, seq, rank, so, sn), rank and so null unless both parse."""
-    tags = F.slice("f", 4, 1_000_000)
+    tags = F.slice("f", F.lit(4), F.size("f"))
     out = segments.select("line_no", "name", "seq", _tag(tags, "SR:i:").try_cast("long").alias("rank"), _tag(tags, "SO:i:").try_cast("long").alias("so"), F.coalesce(_tag(tags, "SN:Z:"), F.lit("")).alias("sn"))
     both = F.col("rank").isNotNull() & F.col("so").isNotNull()
     return out.withColumn("rank", F.when(both, F.col("rank"))).withColumn("so", F.when(both, F.col("so")))
@@ -107,8 +116,7 @@ def spine(segments: DataFrame) -> DataFrame:
     """rank_tags() to (step_idx, name, walk): segments of rank 0 by offset, as one walk named after the first's sequence."""
     zero = segments.filter("rank = 0")
     named = zero.agg(F.concat(F.min_by("sn", F.struct("so", "line_no")), F.lit("#0#ref")).alias("walk"))
-    w = Window.orderBy("so", "line_no")
-    return zero.select((F.row_number().over(w) - 1).cast("long").alias("step_idx"), "name").crossJoin(named)
+    return ordinals(zero.select("so", "line_no", "name"), ["so", "line_no"], "step_idx").select("step_idx", "name").crossJoin(named)
 
 
 def backbone_pick(walks: DataFrame) -> DataFrame:
@@ -123,15 +131,15 @@ def backbone_pick(walks: DataFrame) -> DataFrame:
 def parse(lines: DataFrame) -> Bundle:
     """lines (line_no, value) to a bundle."""
     spark = lines.sparkSession
-    rows = records(lines)
-    ids = interned(rows)
+    rows = cut(records(lines))
+    ids = cut(interned(rows))
     s = segment_lines(rows)
     segments = s.join(ids, "name").select("node_id", "seq", S.length("seq").alias("len"))
     a, b = ids.select(F.col("name").alias("from_name"), F.col("node_id").alias("from_id")), ids.select(F.col("name").alias("to_name"), F.col("node_id").alias("to_id"))
     links = link_lines(rows)
-    order = Window.orderBy("line_no")
-    edges = links.join(a, "from_name").join(b, "to_name").select((F.row_number().over(order) - 1).cast("long").alias("edge_idx"), "from_id", "from_strand", "to_id", "to_strand")
-    walks = walk_lines(rows).withColumn("walk_idx", (F.row_number().over(order) - 1).cast("long"))
+    edges = links.join(a, "from_name").join(b, "to_name")
+    edges = ordinals(edges, ["line_no"], "edge_idx").select("edge_idx", "from_id", "from_strand", "to_id", "to_strand")
+    walks = ordinals(walk_lines(rows), ["line_no"], "walk_idx")
     steps = path_steps(rows).union(walk_steps(rows)).join(walks.select("line_no", "walk_idx"), "line_no").join(ids, "name").select("walk_idx", "step_idx", "node_id", "strand")
     if walks.isEmpty():
         row = spine(rank_tags(s))
@@ -157,5 +165,10 @@ def read(spark: SparkSession, path: str) -> Bundle:
     return parse(numbered_lines(spark, path))
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines (kind, ord, value) as text files whose names are in the order of what they hold."""
+    lines.repartitionByRange("kind", "ord").sortWithinPartitions("kind", "ord").select("value").write.mode("overwrite").text(path)
+
+
 def write(b: Bundle, path: str) -> None:
-    lines_of(b).repartitionByRange("kind", "ord").sortWithinPartitions("kind", "ord").select("value").write.mode("overwrite").text(path)
+    write_lines(lines_of(b), path)

@@ -17,7 +17,7 @@ def _parts(spark, d):
 
 def test_overview_has_every_part(spark, tmp_path):
     n = _parts(spark, tmp_path)
-    out = registry.queries()["q9_overview_whole"](spark, str(tmp_path))
+    out = registry.queries()["q9_overview"](spark, str(tmp_path))
     assert {"kind", "seq"} <= set(out.columns)
     assert sorted(r["node_id"] for r in out.collect()) == n
     assert out.filter(F.col("x") > 60_000).count() == 3
@@ -26,15 +26,15 @@ def test_overview_has_every_part(spark, tmp_path):
 def test_codons_of_whole_texts(spark, tmp_path):
     texts = {1: "atg" * 20 + "🙂\nTAA" * 5 + "GCNNNAC", 2: "AT", 3: None}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {q: {(r["doc_id"], r["aa"]): r["n"] for r in registry.queries()[q](spark, str(tmp_path)).collect()} for q in ("f5_codon_whole", "f8_strict_codon_whole", "f21_amino_class_whole")}
+    got = {q: {(r["doc_id"], r["aa"]): r["n"] for r in registry.queries()[q](spark, str(tmp_path)).collect()} for q in ("f5_codon", "f8_strict_codon", "f21_amino_class")}
     t = texts[1].upper()
     codons = [t[i : i + 3] for i in range(0, len(t) - 2, 3)]
     strict = [{"ATG": "M", "TAA": "*", "AGC": "S"}.get(c, "X") for c in codons]
     assert strict.count("M") == 20 and strict.count("*") >= 1
     loose = ["A" if c[:2] == "GC" else a for c, a in zip(codons, strict)]
-    assert got["f8_strict_codon_whole"] == {(1, a): strict.count(a) for a in set(strict)}
-    assert got["f5_codon_whole"] == {(1, a): loose.count(a) for a in set(loose)} == got["f21_amino_class_whole"]
-    kinds = {r["aa"]: r["kind"] for r in registry.queries()["f21_amino_class_whole"](spark, str(tmp_path)).collect()}
+    assert got["f8_strict_codon"] == {(1, a): strict.count(a) for a in set(strict)}
+    assert got["f5_codon"] == {(1, a): loose.count(a) for a in set(loose)} == got["f21_amino_class"]
+    kinds = {r["aa"]: r["kind"] for r in registry.queries()["f21_amino_class"](spark, str(tmp_path)).collect()}
     assert kinds["M"] == "hydrophobic" and kinds["X"] == "other"
 
 
