@@ -4,7 +4,7 @@ A level's sequence is first freed of runs. Deterministic coin tossing then label
 it differs from the name before it, four times over, until six labels are left; local maxima of the labels begin the
 phrases, and a phrase is named by a hash of the names in it. Where a phrase begins depends on a few names around it, so
 equal substrings have equal phrases inside, wherever they stand. A fingerprint is the least hashes of the phrase names
-of the middle levels (and of the first, for short texts), and likeness is estimated from them.
+of the middle levels, the same for texts of any length, and likeness is estimated from them.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from .common import documents, text_or_empty
 
 #: Names in a fingerprint, of eight hexadecimal digits each.
 KEPT = 64
-#: Levels whose names are used; texts shorter than SHORT use the first one too.
-LEVELS, SHORT = (2, 3), 256
+#: Levels whose names are used. Those of the first are of few characters, which unlike texts share.
+LEVELS = (2, 3)
 #: Characters that are parsed at a time: small enough for a core's cache.
 CHUNK = 100_000
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -107,11 +107,10 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     keys = []
     for level in range(1, max(LEVELS) + 1):
         names, first = parse(names, first)
-        if level in LEVELS or level == 1:
+        if level in LEVELS:
             text = np.repeat(np.arange(len(full)), np.diff(np.append(first, len(names))))
             value = _mix(names + np.uint64(level)) >> np.uint64(32)
-            keep = slice(None) if level in LEVELS else sizes[text] < SHORT
-            keys.append((text.astype(np.uint64) << np.uint64(32) | value)[keep])
+            keys.append(text.astype(np.uint64) << np.uint64(32) | value)
     key = np.unique(np.concatenate(keys))
     owner = (key >> np.uint64(32)).astype(np.int64)
     bounds = np.searchsorted(owner, np.arange(len(full) + 1))
@@ -226,7 +225,9 @@ def fingerprinted(rows: list[tuple], following: str) -> pa.RecordBatch:
 def op10_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: its fingerprint, that of its edited text, and their likeness.
 
-    A null text is empty; a lone document is followed by itself; an empty table gives no rows.
+    A null text is empty; a lone document is followed by itself; documents of equal ids, null ones too, follow each other
+    by hash of text, so repeated rows stay; a very long text is parsed whole, in a worker of its own batch; other columns are
+    not read; an empty table gives no rows.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_sequence(spark, documents(spark, sf_dir), schema, fingerprinted)
