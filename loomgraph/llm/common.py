@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workspace import fresh_folder
+
 #: Word separators of all contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\f\r"
 
@@ -15,38 +17,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", at) if _settable(spark) else None
-    return at.rstrip("/")
-
-
-def _settable(spark: SparkSession) -> bool:
-    return spark.conf.isModifiable("spark.checkpoint.dir")
-
-
 class Workspace:
     """Tables and files of one run in the shared folder.
 
-    Lineage is cut by writing a table and reading it back, so a lost executor costs only its running tasks.
+    Lineage is cut by writing a table and reading it back, so a lost executor costs only its running tasks. The folder goes
+    when the driver ends, or with sweep(), unless it is to be kept.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    opened: ClassVar[list["Workspace"]] = []
+
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
+        self.spark, self.path = spark, fresh_folder(spark, name, keep)
+        if not keep:
+            Workspace.opened.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Deletes tables, or with no names everything."""
         jvm = self.spark._jvm
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    @classmethod
+    def sweep(cls, since: int) -> None:
+        """Deletes the workspaces opened after the first `since`; for when what was computed from them has been written."""
+        while len(cls.opened) > since:
+            cls.opened.pop().drop()
+
 
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))

@@ -1,8 +1,10 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share one of BANDS keys, each of ROWS minhashes: a pair at 0.8 shares one with a chance of 1 - (1 - 0.8 ** 5) ** 24,
-over 0.9999, and the more alike, the surer. Every link is verified by the shingle sets themselves. Texts of equal sets are
-settled first. Of a key's texts those next to one another in order are compared first; what is not in one component
+Candidates come two ways. SimHash fingerprints of the shingles, linked by the generalised pigeonhole principle, give those
+that differ in few bits; but a pair at 0.8 differs in about ten bits of 64, further than any grouping of the bits can probe.
+So candidates also share one of BANDS keys, each of ROWS minhashes: a pair at 0.8 shares one with a chance of
+1 - (1 - 0.8 ** 5) ** 24, over 0.9999, and the more alike, the surer. Every link is verified by the shingle sets themselves.
+Texts of equal sets are settled first. Of a key's texts those next to one another in order are compared first; what is not in one component
 then is compared pair by pair, so a large group of near copies costs in proportion to its size and no candidate is left out.
 """
 
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
-from .simhash import _LOWER, SEED, connected
+from .simhash import _LOWER, SEED, connected, links, majority
 
 SHINGLE = 5
 #: Shared of all shingles of two texts, as a fraction.
@@ -53,21 +55,22 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """docs (rid, place, text): (rid, place, set, keys), set a digest of the shingles."""
+    """docs (rid, place, text): (rid, place, set, fp, keys), set a digest of the shingles, fp their SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
-            sets, out = [], []
+            sets, fps, out = [], [], []
             for t in b.column(2).to_pylist():
                 h = shingles(t)
                 sets.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                fps.append(majority(h))
                 out.append(keys(h).view(np.int64))
             ends = pa.array(np.arange(0, len(out) * BANDS + 1, BANDS, np.int32))
             listed = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), listed], ["rid", "place", "set", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(fps, pa.int64()), listed], ["rid", "place", "set", "fp", "keys"])
 
     kind = docs.schema["place"].dataType.simpleString()
-    return docs.select("rid", "place", "text").mapInArrow(run, f"rid long, place {kind}, set long, keys array<long>")
+    return docs.select("rid", "place", "text").mapInArrow(run, f"rid long, place {kind}, set long, fp long, keys array<long>")
 
 
 def neighbours(posted: DataFrame) -> DataFrame:
@@ -83,7 +86,19 @@ def neighbours(posted: DataFrame) -> DataFrame:
             key, last = key[-1:], last[-1:]
 
     ordered = posted.select("key", "set").repartitionByRange("key", "set").sortWithinPartitions("key", "set")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def by_fingerprint(of: DataFrame, ws: Workspace) -> DataFrame:
+    """of (set, fp): pairs (a, b) of sets of equal fingerprints, and of fingerprints within op8's distance.
+
+    A fingerprint's sets are paired with the least of them, which stands for it.
+    """
+    first = ws.table(of.groupBy("fp").agg(F.min("set").alias("first")), "fingerprints")
+    equal = of.join(first, "fp").filter("set <> first").select(F.col("first").alias("a"), F.col("set").alias("b"))
+    near = links(first.select("fp"), Workspace(ws.spark, "near-prints"))
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return equal.union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def verified(pairs: DataFrame, of: DataFrame, docs: DataFrame, ws: Workspace, name: str) -> DataFrame:
@@ -120,15 +135,15 @@ def apart(posted: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
 def firsts(docs: DataFrame, ws: Workspace) -> DataFrame:
     """docs (rid, place, text), rid unique: (rid), that of the least place of each component of near copies."""
     rows = sketches(docs)
-    of = ws.table(rows.groupBy("set").agg(F.min("place").alias("place"), F.min_by("rid", "place").alias("rid"), F.min_by("keys", "rid").alias("keys")), "firsts")
+    of = ws.table(rows.groupBy("set").agg(F.min("place").alias("place"), F.min_by("rid", "place").alias("rid"), F.first("fp").alias("fp"), F.min_by("keys", "rid").alias("keys")), "firsts")
     posted = ws.table(of.select("set", F.explode("keys").alias("key")), "posted")
-    pairs = ws.table(neighbours(posted), "pairs")
-    links = verified(pairs, of, docs, ws, "near")
-    labels = ws.table(connected(links, Workspace(ws.spark, "near-links")), "labels")
+    pairs = ws.table(neighbours(posted).union(by_fingerprint(of.select("set", "fp"), ws)).distinct(), "pairs")
+    found = verified(pairs, of, docs, ws, "near")
+    labels = ws.table(connected(found, Workspace(ws.spark, "near-links")), "labels")
     others = ws.table(apart(posted, labels, ws).join(pairs, ["a", "b"], "left_anti"), "others")
-    links = links.union(verified(others, of, docs, ws, "others"))
+    found = found.union(verified(others, of, docs, ws, "others"))
     ws.drop("posted", "mixed")
-    found = ws.table(connected(links, Workspace(ws.spark, "all-links")), "components")
+    found = ws.table(connected(found, Workspace(ws.spark, "all-links")), "components")
     labelled = of.select("set", "place", "rid").join(found, F.col("set") == F.col("node"), "left")
     least = labelled.groupBy(F.coalesce("label", "set").alias("label")).agg(F.min_by("rid", "place").alias("rid"))
     return ws.table(least.select("rid"), "least")

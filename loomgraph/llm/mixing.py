@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, documents, n_words, text_or_empty
 
-#: Documents of a source that one task orders.
+#: Most documents of a source that one task orders, about.
 BLOCK_ROWS = 20_000
 
 
@@ -46,24 +46,26 @@ def mix(spark: SparkSession, docs: DataFrame, ws: Workspace, seed: int = 17, max
     sizes: a row for each document: rid, doc_id, source, key, size, source_size, weight, target.
     taken: the mix, a row for each copy: rid, epoch, finish, due, size; its place in the order is (due, source, epoch, ...).
     A null text has size 0, a null source is a source of its own, repeated rows are queued apart, an empty table gives
-    empty results. Documents are taken whole, so a source ends within one document of its target.
+    empty results, other columns are not read. Ties in time go by source, epoch, key, doc_id, size and row. Documents are
+    taken whole, very long ones too, so a source ends within one document of its target.
     """
     text = text_or_empty()
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), F.col("source"), n_words(text).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id"), text).alias("key"),
+        F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), text).cast("binary")), 1, 15), 16, 10).cast("long").alias("key"),
     )
     rows = ws.table(rows, "sizes")
-    blocks = -(-rows.count() // BLOCK_ROWS) or 1
-    # The upper 31 bits of the key order the documents; a block is a range of them.
-    rows = rows.withColumn("block", F.floor(F.shiftrightunsigned("key", 33) * F.lit(blocks) / F.lit(2.0**31)).cast("long"))
+    # The key, a hash of 60 bits, orders the documents; a block is a range of its upper 31. A source has a block a task at
+    # least, for it may hold most rows, and no block grows with the table.
+    blocks = max(-(-rows.count() // BLOCK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("block", F.floor(F.shiftright("key", 29) * F.lit(blocks) / F.lit(2.0**31)).cast("long"))
     sums = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     shares = sources_with_targets(sums.groupBy("source").agg(F.sum("block_size").alias("source_size")), max_repeats)
     so_far = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("block_size").over(so_far), F.lit(0)))
     a, b = sums.alias("a"), shares.alias("b")
     sums = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "block", "base", "source_size", "weight", "level", "target", "budget")
-    inside = Window.partitionBy("source", "block").orderBy(F.shiftrightunsigned("key", 33), "key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, 0)
     a, b = rows.withColumn("sent", F.sum("size").over(inside)).alias("a"), sums.alias("b")
     queued = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.block") == F.col("b.block"))).select(
         "rid", "doc_id", "a.source", "key", "size", (F.col("base") + F.col("sent")).alias("sent"), "source_size", "weight", "level", "target", "budget"
@@ -92,3 +94,24 @@ def op9_wfq_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     times = taken.groupBy(F.col("rid").alias("of")).agg(F.count("*").alias("copies"))
     joined = sizes.join(times, F.col("rid") == F.col("of"), "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
     return joined.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "weight", "copies")
+
+
+#: What op9 returns, as DuckDB SQL. Equal rows may be queued in either order, which changes no row of the result.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    substr(md5(concat_ws(':', '17', CAST(doc_id AS VARCHAR), coalesce(text, ''))), 1, 15) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM s),
+f AS (SELECT *, 3 * source_size AS full_size, 3 * source_size / weight AS saturated, CAST(sum(source_size) OVER () AS BIGINT) AS budget FROM w),
+l AS (SELECT *, (budget - coalesce(sum(full_size) OVER (t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS here
+    FROM f WINDOW t AS (ORDER BY saturated, source NULLS LAST)),
+v AS (SELECT coalesce((SELECT here FROM l WHERE here <= saturated ORDER BY saturated, source NULLS LAST LIMIT 1), (SELECT max(saturated) FROM l)) AS level),
+g AS (SELECT source, source_size, CAST(weight AS BIGINT) AS weight, budget, least(CAST(full_size AS DOUBLE), weight * level) AS target FROM f, v),
+q AS (SELECT row_number() OVER () AS rid, d.doc_id, d.source, d.size, d.key, g.source_size, g.weight, g.budget, g.target FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size, rid) AS sent FROM q),
+c AS (SELECT *, (epoch * source_size + sent) / weight - size / (2 * weight) AS due FROM r, (SELECT unnest([0, 1, 2]) AS epoch)),
+o AS (SELECT rid, size, budget, sum(size) OVER (ORDER BY due, source NULLS LAST, epoch, key, doc_id NULLS FIRST, size, rid) AS upto FROM c),
+k AS (SELECT rid, count(*) AS copies FROM o WHERE upto - size / 2 <= budget GROUP BY rid)
+SELECT q.doc_id, q.size, q.source_size, q.target, CAST(q.size * coalesce(k.copies, 0) AS BIGINT) AS taken, q.source, q.weight, CAST(coalesce(k.copies, 0) AS BIGINT) AS copies
+FROM q LEFT JOIN k USING (rid)
+"""

@@ -122,7 +122,8 @@ def pack(docs: DataFrame, ws: Workspace, path: str | None = None, length: int =
     """docs (doc_id, text): a row for each piece of a document in a sequence.
 
     Null and empty texts have the end id alone; null doc_ids and repeated rows are packed each by itself; ties on the
-    curve go by doc_id; an empty table gives no pieces.
+    curve go by doc_id, then by row; a very long text is encoded in parts and runs over many sequences; other columns are
+    not read; an empty table gives no pieces.
     """
     rows = ws.table(encoded(docs, path or tokens.default_path(), end), "encoded")
     order = ["curve", F.col("doc_id").asc_nulls_first(), "rid"]

@@ -109,7 +109,9 @@ FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def clean(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """docs (doc_id, text): a row for each with counts, verdicts, and the cleaned text.
 
-    Null and empty texts have no words and fail the base rule. Rows are treated alone, so null and repeated ids stay.
+    Null and empty texts have no words and fail the base rule. Rows are treated alone, so null and repeated ids stay and
+    ties need no care; of equal lines the first stays; a very long text is read whole; other columns are not read; an empty
+    table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

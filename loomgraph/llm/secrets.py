@@ -114,19 +114,40 @@ def trigram_query(pattern: str) -> Query:
     return _sequence_query(re._parser.parse(pattern))
 
 
-def candidates(docs: DataFrame, queries: dict[str, Query]) -> DataFrame:
-    """docs (key, low): (key, rules), the rules whose trigram query the text with that key satisfies."""
-    needed = sorted({t for q in queries.values() for term in q for option in term for t in option})
+def vocabulary(queries: dict[str, Query]) -> list[str]:
+    return sorted({t for q in queries.values() for term in q for option in term for t in option})
+
+
+def trigrams(low: Column, words: list[str]) -> Column:
+    """The different trigrams of the text that are in the vocabulary, all found in one pass over it.
+
+    A match is empty, at a place that one of them begins; alternatives are gathered by their first character.
+    """
+    heads: dict[str, list[str]] = {}
+    for t in words:
+        heads.setdefault(t[0], []).append(re.escape(t[1:]))
+    first = "".join(re.escape(h) for h in heads)
+    pattern = f"(?=[{first}])(?=(" + "|".join(f"{re.escape(h)}(?:{'|'.join(tails)})" for h, tails in heads.items()) + "))"
+    return F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)))
+
+
+def postings(docs: DataFrame, words: list[str]) -> DataFrame:
+    """docs (key, low): the inverted index (block, trigram, keys) of the vocabulary.
+
+    A block has about BLOCK_TEXTS keys however common a trigram is, for keys are hashes.
+    """
     blocks = max(1, -(-docs.count() // BLOCK_TEXTS))
-    held = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(t)), F.lit(i)) for i, t in enumerate(needed))))
-    postings = docs.select("key", F.explode(held).alias("trigram")).withColumn("block", F.pmod("key", F.lit(blocks)))
-    # A block has about BLOCK_TEXTS keys however common a trigram is, for keys are hashes.
-    postings = postings.groupBy("block", "trigram").agg(F.collect_set("key").alias("keys"))
-    index = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("at"))
+    each = docs.select("key", F.explode(trigrams(F.col("low"), words)).alias("trigram")).withColumn("block", F.pmod("key", F.lit(blocks)))
+    return each.groupBy("block", "trigram").agg(F.collect_set("key").alias("keys"))
+
+
+def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
+    """postings(): (of, rules), the keys that satisfy some rule's trigram query, and those rules."""
+    blocks = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("at"))
     none = F.array().cast("array<bigint>")
 
     def keys(t: str) -> Column:
-        return F.coalesce(F.element_at("at", F.lit(needed.index(t))), none)
+        return F.coalesce(F.element_at("at", F.lit(t)), none)
 
     def answer(query: Query) -> Column:
         terms = [reduce(F.array_union, [reduce(F.array_intersect, [keys(t) for t in sorted(option)]) for option in sorted(term, key=sorted)]) for term in query]
@@ -136,19 +157,21 @@ def candidates(docs: DataFrame, queries: dict[str, Query]) -> DataFrame:
         return F.transform(answer(queries[name]), lambda k: F.struct(k.alias("of"), F.lit(name).alias("rule")))
 
     hits = F.concat(*(hit(name) for name in queries))
-    return index.select(F.explode(hits).alias("hit")).groupBy(F.col("hit.of").alias("of")).agg(F.collect_set("hit.rule").alias("rules"))
+    return blocks.select(F.explode(hits).alias("hit")).groupBy(F.col("hit.of").alias("of")).agg(F.collect_set("hit.rule").alias("rules"))
 
 
 def scan(docs: DataFrame, rules: list[tuple[str, str, int, int]] = RULES) -> DataFrame:
     """docs (doc_id, text): (doc_id, spans), spans an array of (start, rank, kind, end, value) by start and rank.
 
-    A null text is empty and has no spans; a row with any doc_id, null and repeated ones too, gives one row.
+    A null text is empty and has no spans; a row with any doc_id, null and repeated ones too, gives one row; equal texts of
+    one id share a key; a very long text is searched whole, by patterns that don't recurse; spans of one start go by the
+    rule's place in the list; other columns are not read; an empty table gives no rows.
     """
     queries = {name: trigram_query(pattern) for name, pattern, _, _ in rules}
     queries = {name: q for name, q in queries.items() if q}
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     texts = texts.withColumn("key", F.xxhash64("doc_id", "text"))  # equal keys of unequal texts only add candidates
-    found = candidates(texts.select("key", F.lower("text").alias("low")), queries)
+    found = candidates(postings(texts.select("key", F.lower("text").alias("low")), vocabulary(queries)), queries)
     rows = texts.join(found, texts["key"] == found["of"], "left")
     each = []
     for rank, (name, pattern, group, least) in enumerate(rules):

@@ -37,7 +37,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
         return 0
     joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(x, seed) for x in joined), np.uint64)
+    return majority(np.fromiter((digest(x, seed) for x in joined), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; the result is signed."""
     ones = np.zeros(WIDTH, np.int64)
     for i in range(0, len(h), 65_536):
         ones += np.unpackbits(h[i : i + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -195,7 +199,8 @@ def components(docs: DataFrame, ws: Workspace) -> DataFrame:
     """docs (doc_id, text): (doc_id, fp, component_id), a row for each row of docs.
 
     Null and empty texts have fingerprint zero and link like others; component_id is the smallest doc_id reachable,
-    null where all of them are null; repeated rows stay.
+    null where all of them are null; repeated rows stay, and ties need no care; a very long text is hashed whole, its bits
+    summed in blocks; other columns are not read; an empty table gives no rows.
     """
     rows = ws.table(fingerprints(docs), "fingerprints")
     firsts = ws.table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")

@@ -408,7 +408,9 @@ def _merged(spans: list) -> list[tuple[int, int]]:
 def removals(docs: DataFrame, ws: Workspace) -> DataFrame:
     """docs (doc_id, text): (doc_id, text, spans), the maximal byte ranges to remove.
 
-    Null and empty texts have none. Of repeated ids the row of lesser text hash comes first; null ids come before all.
+    Null and empty texts have none. Of repeated ids the row of lesser text hash comes first, then the lesser text, and
+    equal rows in either order; null ids come before all. A very long text is hashed in segments that overlap by a window,
+    so no string is missed; other columns are not read; an empty table gives no rows.
     """
     rows = numbered(docs, ws)
     spans = repeated(rows, ws).groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

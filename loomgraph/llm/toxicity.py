@@ -1,17 +1,17 @@
-"""Toxicity by a subsequence string kernel machine with Nyström landmarks.
+"""Toxicity by a subsequence string kernel machine with Nyström landmarks, trained on labelled sentences.
 
 The kernel of two terms sums, over triples of letters that both contain in order, decay ** (letters spanned in both),
 up to a largest span; it is scaled so that a term's kernel with itself is one. An insult with inserted or dropped
-characters still shares most triples with the plain one. A linear support vector machine is fitted on the Nyström
-features of labelled sentences' terms (features K_mm ** -1/2 k(landmarks, term)); a sentence is as toxic as its most
-toxic term and a document as its most toxic sentence, so the terms that bear a label are found by turns with the
-machine. As the kernel is a sum over triples, the machine folds into one weight a triple, and scoring is a table lookup.
+letters still shares most triples with the plain one; characters that are no letters leave no gap at all. A term is
+a word or two neighbouring words of a sentence, a sentence is as toxic as its most toxic term, and a document is judged
+by its most toxic sentences. Labels are of documents, so which sentence of a toxic document bears the label, and which term of it,
+is found by turns with the machine: a linear support vector machine on the Nyström features of the sentences' terms
+(features K_mm ** -1/2 k(landmarks, term)). Scores are calibrated on labelled documents that the machine has not seen.
+As the kernel is a sum over triples, the machine folds into one weight a triple, and scoring is a table lookup.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,40 +23,70 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Labelled documents that the machine is fitted to: the first so many by hash. The bound of the fitting sample.
-SAMPLE_DOCS = 3_000
+#: Bounds of the fitting sample: labelled documents, the first so many by hash; sentences of these, likewise, and the
+#: most characters of a sentence. Scoring has no such bounds.
+SAMPLE_DOCS, SAMPLE_SENTENCES, SAMPLE_CHARS = 4_000, 150_000, 2_000
+#: One in so many of the sampled documents is kept for calibration.
+CALIBRATED = 5
 LANDMARKS, DECAY, SPAN = 320, 0.6, 6
-#: Longest term; longer ones are scored in overlapping pieces of this length.
+#: Longest word that is a term; longer ones are scored in overlapping pieces of this length.
 PIECE = 24
 ROUNDS, C, STEPS = 3, 8.0, 40
+#: Random and hardest terms of clean sentences that the machine is fitted to, and hardest pairs of words.
+NEGATIVES, HARDEST, HARDEST_PAIRS = 4_000, 1_500, 500
+#: Toxic sentences that a pair of words must be in to be a term.
+PAIR_LEAST = 10
+#: Sentences of a document, the most toxic ones, whose margins its score is calibrated from.
+TOP = 3
 #: Decision values below it all count alike: the classes lie about 1 and -1.
 FLOOR = -0.5
-#: Terms whose margins are found at a time.
-BATCH = 10_000
-#: Symbols of the kernel's alphabet: letters from 1 on, then the mark that begins a term. 0 is every other character.
+#: Terms whose margins are found at a time, and those whose kernels are.
+BATCH, KERNELS = 10_000, 200
+#: Where sentences end, as a pattern for the JVM; `parsed` cuts at the same places.
+SENTENCE = r"(?<=[.!?])\s+|\n"
+_ENDS = ".!?"
+#: Symbols of the kernel's alphabet: Latin letters from 1 on, then the mark that begins a word; letters of other scripts
+#: share the rest by number. 0 is every other character.
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
-_MARK, _LETTERS = "\x02", 64
-_FOLD = np.zeros(0x250, np.uint8)
-for _i, _a in enumerate(_ALPHABET, 1):
-    for _b in {_a, _a.upper()}:
-        if len(_b) == 1 and ord(_b) < len(_FOLD):
-            _FOLD[ord(_b)] = _i
-_FOLD[ord(_MARK)] = len(_ALPHABET) + 1
-#: Characters written for letters. Fixed values.
-for _a, _b in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}.items():
-    _FOLD[ord(_a)] = _FOLD[ord(_b)]
-_GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
+_BEGIN, _NEXT, _LETTERS = "\x02", "\x04", 128
+_LOOKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+#: Letters of other scripts that look like Latin ones. Fixed values.
+_LOOKS |= dict(zip("аеорсухіѕјκαοειντυρ", "aeopcyxisjkaoeivtup"))
 _TAIL = "\0" * SPAN
-_SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S){3,}(?!\S)")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
+
+
+def _symbols() -> np.ndarray:
+    out = np.zeros(0x110000, np.uint8)
+    mark = len(_ALPHABET) + 1
+    every = np.array([c for c in range(0x250, 0x30000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()])
+    out[every] = mark + 1 + every % (_LETTERS - mark - 1)
+    for i, a in enumerate(_ALPHABET, 1):
+        for b in {a, a.upper()} - {"SS"}:
+            out[ord(b)] = i
+    for a, b in _LOOKS.items():
+        out[ord(a)] = out[ord(b)]
+    for c in range(26):  # full-width letters
+        out[[0xFF21 + c, 0xFF41 + c]] = c + 1
+    out[[ord(_BEGIN), ord(_NEXT)]] = mark
+    return out
+
+
+_FOLD = _symbols()
+_GAPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN) if a + b < SPAN]
 
 
 def fold(terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all terms, each after the mark and before SPAN zeros; and where each term begins."""
-    joined = "".join([f"{_MARK}{t}{_TAIL}" for t in terms])
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.fromiter(map(len, terms), np.int64, len(terms)) + SPAN + 1
-    return _FOLD[np.where(codes < len(_FOLD), codes, 0)], np.cumsum(sizes) - sizes
+    """Symbols of all terms, each word after the mark and before SPAN zeros; and where each term begins.
+
+    Characters that are no letters leave no gap.
+    """
+    joined = "".join([f"{_BEGIN}{t}{_TAIL}" for t in terms])
+    if joined.count(_BEGIN) + joined.count(_NEXT) + joined.count("\0") != len(terms) * (SPAN + 1):
+        joined = "".join([_BEGIN + t.translate({0: "?", 2: "?", 4: "?"}) + _TAIL for t in terms])
+    codes = np.frombuffer(joined.replace(" ", _TAIL + _NEXT).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = _FOLD[codes]
+    kept = (letters > 0) | (codes == 0)
+    return letters[kept], np.flatnonzero(codes[kept] == ord(_BEGIN))
 
 
 def triples(letters: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
@@ -94,82 +124,153 @@ class Landmarks:
     def __init__(self, terms: list[str]):
         row, col, value = features(terms)
         self.n, (self.triples, at) = len(terms), np.unique(col, return_inverse=True)
-        self.table = np.zeros((len(self.triples), len(terms)))
+        self.table = np.zeros((len(self.triples), len(terms)), np.float32)
         self.table[at, row] = value
 
     def kernel(self, terms: list[str]) -> np.ndarray:
-        out = np.zeros((len(terms), self.n))
-        for i in range(0, len(terms), 500):
-            row, col, value = features(terms[i : i + 500])
+        out = np.zeros((len(terms), self.n), np.float32)
+        for i in range(0, len(terms), KERNELS):
+            row, col, value = features(terms[i : i + KERNELS])
             at = np.minimum(np.searchsorted(self.triples, col), len(self.triples) - 1)
             known = self.triples[at] == col
             row, at, value = row[known], at[known], value[known]
             some, first = np.unique(row, return_index=True)
             if len(some):
-                out[some + i] = np.add.reduceat(value[:, None] * self.table[at], first, axis=0)
+                out[some + i] = np.add.reduceat(value[:, None].astype(np.float32) * self.table[at], first, axis=0)
         return out
 
     def folded(self, weights: np.ndarray) -> np.ndarray:
         """A weight for each triple that gives the same values as weights of the landmarks."""
-        out = np.zeros(_LETTERS**3)
+        out = np.zeros(_LETTERS**3, np.float32)
         out[self.triples] = self.table @ weights
         return out
 
 
-def pieces(term: str) -> list[str]:
-    return [term] if len(term) <= PIECE else [term[i : i + PIECE] for i in range(0, len(term) - PIECE // 2, PIECE // 2)]
-
+def pieces(word: str) -> list[str]:
+    return [word] if len(word) <= PIECE else [word[i : i + PIECE] for i in range(0, len(word) - PIECE // 2, PIECE // 2)]
 
-def spelled_out(text: str) -> list[str]:
-    """Runs of four or more single characters, joined."""
-    return ["".join(m.split()) for m in _SINGLES.findall(text)]
 
-
-def terms_of(sentence: str) -> set[str]:
-    return {p for w in (*sentence.lower().split(), *spelled_out(sentence.lower())) for p in pieces(w)}
+@dataclass
+class Parsed:
+    """words: the different ones; word, text: of each occurrence in order, texts ascending; ends: whether a sentence ends there."""
+
+    words: list[str]
+    word: np.ndarray
+    text: np.ndarray
+    ends: np.ndarray
+
+    def spelled_out(self) -> tuple[list[str], np.ndarray]:
+        """Runs of four or more single letters of a text, joined; and their texts."""
+        single = np.array([len(w.rstrip(".!?,;:")) == 1 for w in self.words] or [False])[self.word] if len(self.word) else np.zeros(0, bool)
+        begin = single & ~np.r_[False, single[:-1] & (self.text[1:] == self.text[:-1])][: len(single)]
+        stop = single & ~np.r_[single[1:] & (self.text[1:] == self.text[:-1]), False][: len(single)]
+        a, z = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+        a, z = a[z - a >= 4], z[z - a >= 4]
+        return ["".join(self.words[k].rstrip(".!?,;:") for k in self.word[i:j].tolist()) for i, j in zip(a, z)], self.text[a]
+
+    def pairs(self) -> np.ndarray:
+        """Occurrences whose next word is of the same sentence."""
+        return np.flatnonzero(~self.ends[:-1] & (self.text[1:] == self.text[:-1])) if len(self.word) else np.zeros(0, np.int64)
+
+
+def parsed(texts: list[str]) -> Parsed:
+    low = pc.utf8_lower(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", ". "))
+    parts = pc.utf8_split_whitespace(low)
+    sizes = np.diff(parts.offsets.to_numpy().astype(np.int64))
+    coded = parts.flatten().dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    word = coded.indices.to_numpy().astype(np.int64)
+    ends = np.array([w[-1:] in _ENDS for w in words] or [False])  # an empty word too
+    return Parsed(words, word, np.repeat(np.arange(len(texts)), sizes), ends[word] if len(word) else np.zeros(0, bool))
 
 
 @dataclass
 class Machine:
-    """weights: for each triple; bias; scale and shift turn the greatest margin into a probability."""
+    """weights: for each triple; bias; scale and shift turn a text's greatest margins into a probability.
+
+    paired: whether pairs of words are terms, which they are if some tell toxic sentences in the fitting sample.
+    """
 
     weights: np.ndarray
     bias: float
-    scale: float
+    scale: np.ndarray
     shift: float
-
-    def margins(self, terms: list[str]) -> np.ndarray:
-        """Decision values, FLOOR at least.
-
-        The length that ignores equal triples of a term is not above its true one, so it bounds positive values from
-        above; only terms whose bound is over FLOOR need the true length.
-        """
-        if len(terms) > BATCH:
-            return np.concatenate([self.margins(terms[i : i + BATCH]) for i in range(0, len(terms), BATCH)])
-        if not terms:
-            return np.zeros(0)
-        letters, begins = fold(terms)
-        dot, square = np.zeros(len(letters)), np.zeros(len(letters))
-        for t, w in triples(letters):
-            dot += w * self.weights[t]
-            square += np.where(t > 0, w * w, 0.0)
-        top, length = np.add.reduceat(dot, begins), np.sqrt(np.add.reduceat(square, begins))
-        bound = np.maximum(top, 0.0) / np.maximum(length, 1e-9) + self.bias
+    paired: bool = False
+
+    def __getstate__(self):
+        at = np.flatnonzero(self.weights).astype(np.int32)
+        return at, self.weights[at], self.bias, self.scale, self.shift, self.paired
+
+    def __setstate__(self, state):
+        at, values, self.bias, self.scale, self.shift, self.paired = state
+        self.weights = np.zeros(_LETTERS**3, np.float32)
+        self.weights[at] = values
+
+    def sums(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each term the sum of its triples' weights, and the square of a length not above its own."""
+        tops, squares = [np.zeros(0)], [np.zeros(0)]
+        for i in range(0, len(terms), BATCH):
+            letters, begins = fold(terms[i : i + BATCH])
+            dot, square = np.zeros(len(letters), np.float32), np.zeros(len(letters), np.float32)
+            for t, w in triples(letters):
+                dot += np.float32(w) * self.weights[t]
+                square += np.where(t > 0, np.float32(w * w), np.float32(0))
+            tops.append(np.add.reduceat(dot, begins))
+            squares.append(np.add.reduceat(square, begins))
+        return np.concatenate(tops), np.concatenate(squares)
+
+    def bound(self, top: np.ndarray, square: np.ndarray) -> np.ndarray:
+        """Not below the margin, if that is positive before the bias: the length that ignores equal triples is not above the true one."""
+        return np.maximum(top, 0.0) / np.sqrt(np.maximum(square, 1e-9)) + self.bias
+
+    def exact(self, terms: list[str]) -> np.ndarray:
+        out = np.full(len(terms), self.bias)
+        for i in range(0, len(terms), BATCH):
+            row, col, value = features(terms[i : i + BATCH])
+            out[i : i + BATCH] += np.bincount(row, value * self.weights[col], len(terms[i : i + BATCH]))
+        return np.maximum(out, FLOOR)
+
+    def margins(self, terms: list[str], sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Decision values, FLOOR at least; only terms whose bound is over FLOOR need the true length."""
         out = np.full(len(terms), FLOOR)
-        likely = np.nonzero(bound > FLOOR)[0]
+        likely = np.flatnonzero(self.bound(*(sums or self.sums(terms))) > FLOOR)
         if len(likely):
-            some = [terms[i] for i in likely]
-            row, col, value = features(some)
-            out[likely] = np.maximum(np.bincount(row, value * self.weights[col], len(some)) + self.bias, FLOOR)
+            out[likely] = self.exact([terms[i] for i in likely])
         return out
 
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(margin, sum, square) of words of any length; a long one has the greatest margin of its pieces."""
+        long = [i for i, w in enumerate(words) if len(w) > PIECE]
+        short = words
+        if long:
+            short = list(words)
+            for i in long:
+                short[i] = ""
+        sums = self.sums(short)
+        margin = self.margins(short, sums)
+        for i in long:
+            margin[i] = self.margins(pieces(words[i])).max()
+        return margin, *sums
+
+    def pairs(self, p: Parsed, margin: np.ndarray, top: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(occurrence, margin) of neighbouring words that together may have a greater margin than each of them."""
+        at = p.pairs() if self.paired else np.zeros(0, np.int64)
+        a, b = p.word[at], p.word[at + 1]
+        most = self.bound(top[a] + top[b], square[a] + square[b])
+        good = most > np.maximum(np.maximum(margin[a], margin[b]), FLOOR)
+        at, a, b = at[good], a[good], b[good]
+        key, back = np.unique(a * len(p.words) + b, return_inverse=True)
+        own = self.exact([f"{p.words[k // len(p.words)]} {p.words[k % len(p.words)]}" for k in key.tolist()])
+        return at, own[back]
+
     def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.scale * np.maximum(margin, FLOOR) + self.shift)))
+        """Probabilities of rows of greatest margins."""
+        return 1 / (1 + np.exp(-(margin @ self.scale + self.shift)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Finite Newton steps for the squared hinge loss, the bias as a constant feature."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w = np.zeros(x.shape[1])
 
     def loss(v: np.ndarray) -> float:
@@ -178,112 +279,198 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
     for _ in range(STEPS):
         slack = 1 - y * (x @ w)
         on = slack > 0
-        xs, ws = x[on], np.sqrt(2 * C * weight[on])
-        xs *= ws[:, None]
+        ws = np.sqrt(2 * C * weight[on])
+        xs = x[on] * ws[:, None]
         gradient = w - xs.T @ (ws * y[on] * slack[on])
         step = np.linalg.solve(np.eye(len(w)) + xs.T @ xs, gradient)
         size, now = 1.0, loss(w)
         while loss(w - size * step) > now and size > 1e-6:
             size /= 2
         w = w - size * step
-        if abs(step).max() < 1e-7:
+        if abs(step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
 
 
-def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic fit of labels to margins by Newton steps, lightly penalised."""
-    a, b = 1.0, 0.0
-    m = np.maximum(margin, FLOOR)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(a * m + b)))
-        g = np.array([((p - y) * m).sum() + 0.01 * a, (p - y).sum()])
-        s = p * (1 - p) + 1e-9
-        h = np.array([[(s * m * m).sum() + 0.01, (s * m).sum()], [(s * m).sum(), s.sum() + 0.01]])
-        step = np.linalg.solve(h, g)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-9:
-            break
-    return float(a), float(b)
-
-
-def fit(texts: list[str], labels: list[int], seed: int = 7) -> Machine:
-    """Texts with labels 1 (toxic) or 0. Without both labels the machine scores every text as its labels are."""
+def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic fit of labels to rows of margins by Newton steps, lightly penalised; no margin counts against a label."""
+    used = np.arange(margin.shape[1])
+    while True:
+        x = np.hstack([margin[:, used], np.ones((len(y), 1))])
+        w = np.append(np.full(len(used), 1.0 / max(len(used), 1)), 0.0)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-(x @ w)))
+            g = x.T @ (p - y) + 0.05 * w
+            h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.05 * np.eye(len(w))
+            step = np.linalg.solve(h, g)
+            w = w - step
+            if abs(step).max() < 1e-9:
+                break
+        if (w[:-1] >= 0).all():
+            scale = np.zeros(margin.shape[1])
+            scale[used] = w[:-1]
+            return scale, float(w[-1])
+        used = np.delete(used, int(np.argmin(w[:-1])))
+
+
+def _constant(bias: float, shift: float) -> Machine:
+    return Machine(np.zeros(_LETTERS**3, np.float32), bias, np.zeros(TOP), shift)
+
+
+def fit(docs: list[list[str]], labels: list[int], seed: int = 7) -> Machine:
+    """Documents as their sentences, with labels 1 (toxic) or 0. Without both labels every text scores as its labels are."""
     y = np.array(labels, float)
     if len(set(labels)) < 2:
-        return Machine(np.zeros(_LETTERS**3), -1.0, 0.0, 4.0 if labels and labels[0] else -4.0)
-    bags = [sorted(set().union(*map(terms_of, _SENTENCE.split(t)))) for t in texts]
-    toxic, clean = Counter(), Counter()
-    for bag, label in zip(bags, labels):
-        (toxic if label else clean).update(bag)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    odds = {t: np.log((k + 0.5) / (n1 + 1)) - np.log((clean[t] + 0.5) / (n0 + 1)) for t, k in toxic.items()}
+        return _constant(-1.0, 4.0 if labels and labels[0] else -4.0)
+    unseen = np.arange(len(y)) % CALIBRATED == CALIBRATED - 1
+    if len(set(y[unseen])) < 2 or len(set(y[~unseen])) < 2:
+        unseen[:] = False  # too few to set any aside
+    # A sentence that comes again under the same label, in copies of a document say, is one row.
+    rows = {(label, s): i for i, (sentences, label) in reversed([*enumerate(zip(docs, labels))]) for s in reversed(sentences)}
+    p, of = parsed([s for _, s in rows]), np.array([*rows.values()])  # of: the first document of each sentence
+    fitted = ~unseen[of]
+    toxic_sentence = (y[of] == 1) & fitted
+    clean_sentence = (y[of] == 0) & fitted
+    terms, word, text = list(p.words), p.word, p.text
+    more, where = p.spelled_out()
+    word, text = _with(terms, word, text, [w[:PIECE] for w in more], where)
+
+    def counted(word: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """In how many sentences of toxic and of clean fitted documents each term is."""
+        key = np.unique(text[fitted[text]] * n + word[fitted[text]])
+        return (np.bincount(key % n, y[of[key // n]] == k, n) for k in (1, 0))
+
+    def odds_of(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        return np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
+
+    n1, n0 = toxic_sentence.sum(), clean_sentence.sum()
+    toxic, clean = counted(word, text, len(terms))
+    # Pairs of words that bear a label which neither word bears: seen in toxic documents, hardly in clean ones.
+    at = p.pairs()
+    at = at[(toxic[p.word[at]] >= 3) & (toxic[p.word[at + 1]] >= 3) & fitted[p.text[at]]]
+    key, code = np.unique(p.word[at] * len(terms) + p.word[at + 1], return_inverse=True)
+    t2, c2 = counted(code, p.text[at], max(len(key), 1))
+    alone = np.maximum(*(odds_of(toxic[k], clean[k]) for k in (key // len(terms), key % len(terms)))) if len(key) else np.zeros(0)
+    telling = np.flatnonzero((t2[: len(key)] >= PAIR_LEAST) & (odds_of(t2, c2)[: len(key)] > np.maximum(2.5, alone + 1)))
+    here = np.isin(code, telling)
+    names = [f"{terms[k // len(p.words)]} {terms[k % len(p.words)]}" for k in key.tolist()] if len(telling) else []
+    word, text = _with(terms, word, text, [names[k] for k in code[here].tolist()], p.text[at[here]])
+    toxic, clean = counted(word, text, len(terms))
+    odds = odds_of(toxic, clean)
     # Evidence that a term bears the label: its odds, as often as it was seen.
-    ranked = sorted(odds, key=lambda t: (-odds[t] * toxic[t] ** 0.5, t))
+    short = np.array([len(t) <= PIECE or " " in t for t in terms])
+    evidence = np.where((toxic > 0) & short, odds * np.sqrt(toxic), -np.inf)
+    ranked = np.argsort(-evidence, kind="stable")
+    ranked = ranked[np.isfinite(evidence[ranked])]
     r = np.random.default_rng(seed)
-    common = sorted(clean)
-    others = [common[i] for i in r.choice(len(common), min(len(common), LANDMARKS * 4), replace=False)]
-    landmarks = [t for t in dict.fromkeys([*ranked[: LANDMARKS * 3 // 4], *others]) if len(features([t])[0])][:LANDMARKS]
+    common = np.flatnonzero((clean > 0) & short)
+    others = r.choice(common, min(len(common), LANDMARKS * 4), replace=False)
+    first = [terms[k] for k in dict.fromkeys([*ranked[: LANDMARKS * 3 // 4].tolist(), *others.tolist()])]
+    with_triples = np.zeros(len(first), bool)
+    if first:
+        with_triples[np.unique(features(first)[0])] = True
+    landmarks = [t for t, ok in zip(first, with_triples) if ok][:LANDMARKS]
     if not landmarks:
-        return Machine(np.zeros(_LETTERS**3), -1.0, 0.0, float(np.log(n1 / n0)))
+        return _constant(-1.0, float(np.log(n1 / n0)))
     base = Landmarks(landmarks)
-    value, vector = np.linalg.eigh(base.kernel(landmarks))
+    value, vector = np.linalg.eigh(base.kernel(landmarks).astype(np.float64))
     half = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    # Witnesses: terms that bear the label by themselves, and the strongest term of each toxic document; against them
-    # terms of clean documents, those that the machine finds hardest above all.
-    evident = {t for t, k in toxic.items() if k >= 3 and odds[t] > 2.5}
-    witness = [max(bag, key=lambda t: (odds[t] * toxic[t] ** 0.5, t)) for bag, label in zip(bags, labels) if label and bag]
-    negative = sorted({common[i] for i in r.choice(len(common), min(len(common), 4_000), replace=False)} - evident)
-    every = sorted({*toxic, *clean})
-    margin: dict[str, float] = {}
-    machine = Machine(np.zeros(_LETTERS**3), 0.0, 1.0, 0.0)
-    for k in range(ROUNDS):
+    evident = (toxic >= 3) & (odds > 2.5) & short
+
+    def bearers(value: np.ndarray, sentences: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Of each group of the chosen sentences the term of greatest value, that of its sentence of greatest value."""
+        own = sentences[text]
+        t, g = word[own], group[text[own]]
+        order = np.lexsort((t, -value[t], g))
+        return np.unique(t[order][np.r_[True, np.diff(g[order]) != 0][: len(order)]])
+
+    sentence = np.arange(len(of))
+    witness = bearers(evidence, toxic_sentence, of)
+    negative = set(r.choice(common, min(len(common), NEGATIVES), replace=False).tolist())
+    pairs: set[str] = set()
+    machine, margin = _constant(0.0, 0.0), np.zeros(len(terms))
+    for _ in range(ROUNDS):
         # A document's label may be wrong: what is seen in a few documents, clean ones too, is no evidence.
-        plus = sorted({*evident, *(t for t in witness if odds[t] > 1 and toxic[t] >= min(3, n1))} or set(witness))
-        terms = [*plus, *negative]
-        sign = np.array([1.0] * len(plus) + [-1.0] * len(negative))
-        weight = np.array([float(min(toxic[t], 50)) for t in plus] + [1.0 + min(clean[t], 20) / 4 for t in negative])
-        v, bias = _svm(base.kernel(terms) @ half, sign, weight)
-        machine = Machine(base.folded(half @ v), bias, 1.0, 0.0)
-        margin = dict(zip(every, machine.margins(every).tolist()))
-        witness = [max(bag, key=lambda t: (margin[t], t)) for bag, label in zip(bags, labels) if label and bag]
-        hard = sorted(clean, key=lambda t: (-margin[t], t))[:1_500]
-        negative = sorted({*negative, *hard} - evident)
-    best = np.array([max((margin[t] for t in bag), default=FLOOR) for bag in bags])
-    machine.scale, machine.shift = _calibrated(best, y)
+        plus = set(np.flatnonzero(evident).tolist()) | set(witness[(odds[witness] > 1) & (toxic[witness] >= min(3, n1)) & short[witness]].tolist())
+        plus = sorted(plus or witness[short[witness]].tolist())
+        # A term may be a row of either label, with the weight of each: its margin then says how surely it is toxic.
+        minus, double = sorted(negative | {k for k in plus if clean[k]}), sorted(pairs)
+        rows = [*(terms[k] for k in plus), *(terms[k] for k in minus), *double]
+        sign = np.array([1.0] * len(plus) + [-1.0] * (len(minus) + len(double)))
+        weight = np.array([*np.minimum(toxic[plus], 50), *np.where(np.isin(minus, plus), np.minimum(clean[minus], 50), 1 + np.minimum(clean[minus], 20) / 4), *[1.0] * len(double)])
+        v, bias = _svm(base.kernel(rows) @ half.astype(np.float32), sign, weight)
+        machine = Machine(base.folded((half @ v).astype(np.float32)), bias, np.zeros(TOP), 0.0, len(telling) > 0)
+        margin, top, square = machine.words(terms)
+        witness = bearers(margin, toxic_sentence, of)
+        # Each clean sentence is a row by its hardest term, and by its hardest pair of words.
+        hard = bearers(margin, clean_sentence, sentence)
+        hard = hard[short[hard]]
+        negative |= set(hard[np.argsort(-margin[hard], kind="stable")][:HARDEST].tolist())
+        at, own = machine.pairs(p, margin[: len(p.words)], top[: len(p.words)], square[: len(p.words)])
+        clear = clean_sentence[p.text[at]]
+        at, own = at[clear], own[clear]
+        for k in at[np.argsort(-own, kind="stable")][:HARDEST_PAIRS].tolist():
+            pairs.add(f"{p.words[p.word[k]]} {p.words[p.word[k + 1]]}")
+    judged = unseen if unseen.any() else ~unseen
+    best = greatest_margins(machine, ["\n".join(docs[i]) for i in np.flatnonzero(judged)])
+    machine.scale, machine.shift = _calibrated(best, y[judged])
     return machine
 
 
+def _with(terms: list[str], word: np.ndarray, text: np.ndarray, more: list[str], where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences with more of them; their terms are added to the list if they aren't in it."""
+    if not more:
+        return word, text
+    known = {t: i for i, t in enumerate(terms)}
+    ids = []
+    for t in more:
+        if t not in known:
+            known[t] = len(terms)
+            terms.append(t)
+        ids.append(known[t])
+    return np.append(word, ids), np.append(text, where)
+
+
 def greatest_margins(machine: Machine, texts: list[str]) -> np.ndarray:
-    """Each text's greatest margin over its terms; FLOOR for a text without any. Each term of the batch is scored once."""
-    low = pc.utf8_lower(pa.array(texts, pa.large_string()))
-    parts = pc.utf8_split_whitespace(low)
-    offsets = parts.offsets.to_numpy().astype(np.int64)
-    coded = parts.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    index = coded.indices.to_numpy()
-    long = [i for i, w in enumerate(words) if len(w) > PIECE]
-    out = machine.margins([w if len(w) <= PIECE else "" for w in words])
-    for i in long:
-        out[i] = machine.margins(pieces(words[i])).max()
-    best = np.full(len(texts), FLOOR)
-    full = np.nonzero(np.diff(offsets))[0]
-    if len(full):
-        best[full] = np.maximum.reduceat(out[index], offsets[full])
-    for i, text in enumerate(low.to_pylist()):
-        if spelled := spelled_out(text):
-            best[i] = max(best[i], machine.margins([p for s in spelled for p in pieces(s)]).max())
+    """The margins of each text's TOP most toxic sentences, descending; FLOOR where there are fewer.
+
+    Each different term is scored once. A run of spelled-out letters counts as a sentence.
+    """
+    best = np.full((len(texts), TOP), FLOOR)
+    p = parsed(texts)
+    if not len(p.word):
+        return best
+    margin, top, square = machine.words(p.words)
+    begins = np.flatnonzero(np.r_[True, p.ends[:-1] | (p.text[1:] != p.text[:-1])])
+    sentence = np.maximum.reduceat(margin[p.word], begins)
+    at, own = machine.pairs(p, margin, top, square)
+    np.maximum.at(sentence, np.searchsorted(begins, at, side="right") - 1, own)
+    spelled, where = p.spelled_out()
+    more = [machine.margins(pieces(s)).max() for s in spelled]
+    value, text = np.append(sentence, more), np.append(p.text[begins], where).astype(np.int64)
+    toxic = np.flatnonzero(value > FLOOR)
+    toxic = toxic[np.lexsort((-value[toxic], text[toxic]))]
+    value, text = value[toxic], text[toxic]
+    rank = np.arange(len(text)) - np.searchsorted(text, text)
+    few = rank < TOP
+    best[text[few], rank[few]] = value[few]
     return best
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
-    """docs with text: the `keep` columns and score (0 to 1). Null texts are as empty ones; rows are scored alone."""
+    """docs with text: the `keep` columns and score (0 to 1).
+
+    Null texts are as empty ones; rows are scored alone, so repeated rows, null ids and ties need no care; a very long text
+    is scored whole, other columns are not read, and an empty table gives no rows.
+    """
     from . import tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(len(keep)).to_pylist()]
-            got = [machine.score(greatest_margins(machine, texts[i:j])) for i, j in tokens.slices([len(t) for t in texts], 4_000_000)]
+            texts = b.column(len(keep))
+            got = []
+            for i, j in tokens.slices(tokens.sizes(texts), 4_000_000):
+                got.append(machine.score(greatest_margins(machine, [t or "" for t in texts.slice(i, j - i).to_pylist()])))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.concatenate(got) if got else np.zeros(0))], [*keep, "score"])
 
     rows = docs.select(*keep, F.col("text"))
@@ -295,15 +482,41 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Machine:
-    """Fits the machine to the labelled documents that aren't held out: at most `limit` of them, by hash of their id."""
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, toxic, sentence) in order of doc to one row of the machine's numbers."""
+    docs, labels, last = [], [], None
+    for b in batches:
+        for doc, toxic, sentence in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if doc != last:
+                docs.append([])
+                labels.append(int(toxic > 0))
+                last = doc
+            docs[-1].append(sentence)
+    if not docs:
+        return
+    at, values, bias, scale, shift, paired = fit(docs, labels).__getstate__()
+    yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([values.astype(np.float32).tobytes()]), pa.array([bias]), pa.array([scale.tolist()]), pa.array([shift]), pa.array([paired])], ["triples", "weights", "bias", "scale", "shift", "paired"])
+
+
+def trained(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, sentences: int = SAMPLE_SENTENCES) -> Machine:
+    """Fits the machine to the labelled documents that aren't held out: at most `limit` of them, by hash of their id.
+
+    One task fits it to the sample, whose size is bounded whatever the input's; the driver gets the weights alone.
+    """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id").alias("id"), "text").filter("text is not null")
     # One text an id, so that an id that comes often adds no rows.
-    rows = known.join(texts, F.col("doc_id") == F.col("id")).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    rows = known.join(texts, F.col("doc_id") == F.col("id")).groupBy(F.col("doc_id").alias("doc"), "toxic").agg(F.min("text").alias("text"))
+    rows = rows.select("doc", "toxic", F.posexplode(F.split("text", SENTENCE)).alias("place", "sentence"))
+    rows = rows.filter(F.char_length("sentence").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc", "place"), "doc", "place").limit(sentences)
+    rows = rows.repartition(1).sortWithinPartitions("doc", "place").select("doc", F.col("toxic").cast("int").alias("toxic"), "sentence")
+    got = rows.mapInArrow(_fitted, "triples binary, weights binary, bias double, scale array<double>, shift double, paired boolean").collect()
+    if not got:
+        return _constant(-1.0, -4.0)
+    machine = Machine.__new__(Machine)
+    machine.__setstate__((np.frombuffer(got[0]["triples"], np.int32), np.frombuffer(got[0]["weights"], np.float32), got[0]["bias"], np.array(got[0]["scale"]), got[0]["shift"], got[0]["paired"]))
+    return machine
 
 
 def op1_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,44 @@ def test_trigram_queries():
             assert all(option for option in term)
 
 
+def example(r, rule):
+    """A text that the rule matches."""
+    a = lambda n, of="abcXYZ0189": "".join(r.choice(of) for _ in range(n))
+    return {
+        "assign": lambda: r.choice(["password", "PASSWD", "Secret", "token", "api_key", "ApiKey"]) + r.choice(["=", ": ", '" : "']) + a(r.randint(12, 30)),
+        "access": lambda: "AKIA" + a(16, "ABC019"), "hex": lambda: a(20, "0189abcdef"), "pem": lambda: f"-----BEGIN {r.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----",
+        "github": lambda: f"gh{r.choice('pousr')}_" + a(36), "slack": lambda: f"xox{r.choice('abprs')}-" + a(12), "google": lambda: "AIza" + a(35),
+        "stripe": lambda: f"{r.choice('rs')}k_live_" + a(16), "jwt": lambda: f"eyJ{a(12)}.{a(12)}.{a(12)}",
+    }[rule]()
+
+
+def test_the_index_misses_no_match(spark):
+    """All spans of all nine rules, against the patterns themselves on every text."""
+    r = random.Random(17)
+    texts = [""] + [words(r, 8) + " " + " ".join(example(r, name) if r.random() < 0.8 else example(r, name)[:7] for name, *_ in r.sample(secrets.RULES, r.randrange(4))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    got = {x["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in x["spans"]] for x in secrets.scan(df).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        want = []
+        for rank, (name, pattern, group, least) in enumerate(secrets.RULES):
+            flagged = re.compile(pattern, re.A)
+            want += [(m.start(), rank, name, m.end()) for m in flagged.finditer(t) if len(m[group]) >= least]
+        seen |= {w[2] for w in want}
+        assert got[i] == [(s, k, e) for s, _, k, e in sorted(want)], t
+    assert seen == {name for name, *_ in secrets.RULES}
+
+
+def test_postings_are_the_texts_trigrams(spark):
+    r = random.Random(18)
+    texts = ["".join(r.choice("aABk[.]é\n_1") for _ in range(r.randrange(60))) for _ in range(50)]
+    low = [t.lower() for t in texts]
+    some = sorted({t[i : i + 3] for t in low for i in range(len(t) - 2)})[::3] + ["zzz"]
+    df = spark.createDataFrame(list(enumerate(low)), "key BIGINT, low STRING")
+    got = {x["trigram"]: set(x["keys"]) for x in secrets.postings(df, some).collect()}
+    assert got == {t: {i for i, x in enumerate(low) if t in x} for t in some if t != "zzz"}
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 
@@ -148,6 +186,47 @@ def test_redaction(spark):
     assert {r["doc_id"]: r["t"] for r in found.collect()} == {1: "call <phone>, é <email>!", 2: "nothing", 3: ""}
 
 
+def test_candidates_that_fall_do_not_suppress(spark):
+    """Against brute force: base spans win, then the better candidate, then the earlier one; what falls suppresses nothing."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(14)
+    cases = []
+    for i in range(200):
+        span = lambda: (a := r.randrange(30), a + r.randint(1, 8))
+        cases.append((i, [(*span(), r.choice([0.5, 0.7, 0.9]), k) for k in range(r.randrange(6))], [span() for _ in range(r.randrange(3))]))
+    df = spark.createDataFrame(cases, "id INT, c ARRAY<STRUCT<start: INT, end: INT, score: DOUBLE, rank: INT>>, b ARRAY<STRUCT<start: INT, end: INT>>")
+    c = F.transform("c", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["rank"].cast("string").alias("kind"), x["end"].alias("end"), F.lit("").alias("value"), x["score"].alias("score")))
+    got = {x["id"]: [(s["start"], s["end"]) for s in x["s"]] for x in df.select("id", pii.free(c, F.col("b")).alias("s")).collect()}
+    for i, found, base_ in cases:
+        kept = []
+        for a, z, score, k in sorted(found, key=lambda x: (-x[2], x[0], x[3])):
+            if not any(a < e and s < z for s, e in [*base_, *kept]):
+                kept.append((a, z))
+        assert got[i] == kept
+
+
+def test_personal_data_is_learned_from_the_documents(spark):
+    """Precision and recall on documents that the trees have not seen, and spans beyond the base kinds."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(15)
+    d = lambda n: "".join(r.choice("123456789") for _ in range(n))
+    texts = []
+    for i in range(300):
+        real = r.choice([f"call +1 ({d(3)}) {d(3)}-{d(4)}", f"phone: +1 {d(3)}-{d(3)}-{d(4)}"])
+        none = r.choice([f"order {d(9)}", f"version {d(2)}.{d(2)}.{d(4)}.{d(3)}", f"date 20{d(2)}-{d(2)}-{d(2)}", f"invoice {d(3)}-{d(4)}-{d(3)}"])
+        texts.append(f"{words(r, 5)} {real if i % 2 else none} {words(r, 5)}")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None), (7, texts[7])], "doc_id BIGINT, text STRING")
+    assert {x["y"] for x in pii.labelled(df).collect()} == {0.0, 1.0}
+    m = pii.model(spark, df)
+    assert m.precision >= 0.95 and m.recall >= 0.9
+    probe = spark.createDataFrame([(1, "please call 555-234-9876 today"), (2, "see order 123456789 today")], "doc_id BIGINT, text STRING")
+    both = df.union(probe.withColumn("doc_id", F.col("doc_id") + 10_000))
+    got = {x["doc_id"]: x["_spans"] for x in pii.detect(spark, both, ["doc_id"]).filter("doc_id > 10000").collect()}
+    assert [s["kind"] for s in got[10_001]] == ["number"] and not got[10_002]
+
+
 def test_boosting_learns_and_matches_its_sql(spark):
     r = np.random.default_rng(1)
     x = r.random((400, 3))
@@ -160,37 +239,95 @@ def test_boosting_learns_and_matches_its_sql(spark):
     assert boosting.threshold(np.array([0.9, 0.8, 0.1]), np.array([1.0, 1.0, 0.0]), 0.95) == 0.8
 
 
+def insulted(r, n, insults, every=4):
+    """Documents of sentences, every fourth one with an insult in one of them."""
+    docs, labels = [], []
+    for i in range(n):
+        sentences = [words(r, 10) + "." for _ in range(4)]
+        if i % every == 0:
+            k = r.randrange(4)
+            sentences[k] = f"{words(r, 4)} {r.choice(insults)} {words(r, 4)}."
+        docs.append(sentences)
+        labels.append(int(i % every == 0))
+    return docs, labels
+
+
+def probed(m, texts):
+    return m.score(toxicity.greatest_margins(m, texts))
+
+
 def test_toxicity_finds_gapped_insults(spark, sf):
-    r = random.Random(3)
-    texts, labels = [], []
-    for i in range(240):
-        t = words(r, 40).split()
-        if i % 4 == 0:
-            t[r.randrange(40)] = r.choice(["idiot", "scum", "worthless", "moron"])
-        texts.append(" ".join(t))
-        labels.append(int(i % 4 == 0))
-    m = toxicity.fit(texts[:180], labels[:180])
-    held = m.score(toxicity.greatest_margins(m, texts[180:]))
-    assert ((held >= 0.5) == np.array(labels[180:], bool)).mean() > 0.97
-    probe = m.score(toxicity.greatest_margins(m, ["the id-iot and", "you are w.orthless", "i d i o t", "the thing", "", " \n", "x" * 5000]))
-    assert (probe[:3] >= 0.5).all() and (probe[3:] < 0.5).all()
+    docs, labels = insulted(random.Random(3), 400, ["idiot", "scum", "worthless", "moron"])
+    m = toxicity.fit(docs[:300], labels[:300])
+    held = probed(m, [" ".join(d) for d in docs[300:]])
+    assert ((held >= 0.5) == np.array(labels[300:], bool)).mean() > 0.97
+    probe = probed(m, ["the id-iot and", "you are w.orthless", "i d i o t", "i--d--i--o--t", "the m*o*r*o*n", "the thing", "", " \n", "x" * 5000, "the " * 50_000])
+    assert (probe[:5] >= 0.5).all() and (probe[5:] < 0.5).all()
+    inserted = probed(m, ["an idxiot is", "a worthlesss one", "the moroon"])
+    assert (inserted > probe[5:].max()).all()
     rows = run(spark, "op1_string_kernel_toxicity", sf)
     want = Counter((i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, *_ in corpus())
     assert by_row(rows, "doc_id", "held_out") == want
     assert all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.5) for x in rows)
 
 
-def test_kernel_is_scaled_and_positive():
-    terms = ["idiot", "idot", "i.diot", "clown", "thing", "aaaa"]
+def test_toxicity_sees_pairs_of_words_within_a_sentence():
+    docs, labels = insulted(random.Random(4), 400, ["shut up"])
+    for d, label in zip(docs, labels):
+        if not label:  # both words are clean by themselves, and across a sentence's end
+            d[1], d[2] = d[1].replace(".", " up to."), d[2].replace(" ", " shut in ", 1)
+            d[3] = "they are shut."
+            d.append("up it goes.")
+    m = toxicity.fit(docs[:300], labels[:300])
+    assert m.paired
+    held = probed(m, [" ".join(d) for d in docs[300:]])
+    assert ((held >= 0.5) == np.array(labels[300:], bool)).mean() > 0.95
+    a, b = probed(m, ["the thing shut up on it", "the thing shut. up on it"])
+    assert a >= 0.5 > b
+
+
+def test_toxicity_is_fitted_in_a_task_as_here(spark):
+    docs, labels = insulted(random.Random(5), 200, ["clown", "loser"])
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id BIGINT, text STRING")
+    known = spark.createDataFrame(list(enumerate(labels)), "doc_id BIGINT, toxic INT")
+    m = toxicity.trained(df, known)
+    kept = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    here = toxicity.fit([docs[i] for i in kept], [labels[i] for i in kept])
+    assert np.abs(m.weights - here.weights).max() < 1e-2 and abs(m.bias - here.bias) < 1e-2 and abs(m.shift - here.shift) < 1e-2
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, m, ["doc_id"]).collect()}
+    unseen = [i for i in range(200) if i not in kept]
+    assert np.mean([(got[i] >= 0.5) == bool(labels[i]) for i in unseen]) > 0.95
+
+
+def naive_kernel(a, b):
+    """Over all triples of letters within the largest span, by position."""
+
+    def phi(t):
+        x = ["^", *(c for c in t if c.isalpha())]
+        out = Counter()
+        for i in range(len(x)):
+            for j in range(i + 1, len(x)):
+                for k in range(j + 1, min(len(x), i + toxicity.SPAN)):
+                    out[x[i], x[j], x[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    x, y = phi(a), phi(b)
+    dot = lambda p, q: sum(v * q[t] for t, v in p.items())
+    return dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5
+
+
+def test_kernel_is_that_of_the_definition():
+    terms = ["idiot", "idot", "i.diot", "clown", "thing", "aaaa", "worthless", "ab"]
     k = toxicity.Landmarks(terms).kernel(terms)
-    assert np.allclose(np.diag(k), 1) and np.allclose(k, k.T) and np.linalg.eigvalsh(k).min() > -1e-9
-    assert k[0, 1] > 0.5 > k[0, 3]
-    m = toxicity.Machine(np.random.default_rng(2).standard_normal(64**3), 0.1, 1.0, 0.0)
+    assert np.allclose(k, [[naive_kernel(a, b) for b in terms] for a in terms], atol=1e-5)
+    assert np.allclose(np.diag(k), 1) and np.linalg.eigvalsh(k).min() > -1e-6
+    assert k[0, 1] > 0.4 > k[0, 3] and k[0, 2] == k[0, 0]
     base_ = toxicity.Landmarks(terms)
-    w = np.arange(6.0)
-    m = toxicity.Machine(base_.folded(w), 0.0, 1.0, 0.0)
-    exact = base_.kernel(terms) @ w
-    assert np.allclose(m.margins(terms), exact)
+    w = np.arange(8.0)
+    m = toxicity.Machine(base_.folded(w), 0.0, np.ones(toxicity.TOP), 0.0)
+    assert np.allclose(m.margins(terms), base_.kernel(terms) @ w, atol=1e-4)
+    pair = toxicity.Landmarks(["ab cd"])
+    assert len(pair.triples) == 2  # (mark, a, b) and (mark, c, d): none across the words
 
 
 def ids_of(texts):
@@ -499,6 +636,67 @@ def test_phrases_are_locally_consistent():
     assert phrases.likeness(*phrases.sketches(["", ""])) == 1.0
 
 
+def parsed_plainly(text):
+    """The least names of levels 2 and 3, name by name, as the module's docstring tells it."""
+    m = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    c = 0x9E3779B97F4A7C15
+    names, found = [mix(ord(x) + c & m) for x in text], set()
+    for level in (1, 2, 3):
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        x = [mix(a + n * c & m) if n > 1 else a for a, n in runs]
+
+        def toss(a, b):
+            low = (a ^ b) & -(a ^ b)
+            place = low.bit_length() - 1
+            return 0 if a == b else 2 * place + (a >> place & 1)
+
+        labels = [toss(a, ~a & m if i == 0 else x[i - 1]) for i, a in enumerate(x)]
+        for _ in range(3):
+            labels = [a & 1 if i == 0 else toss(a, labels[i - 1]) for i, a in enumerate(labels)]
+        cuts = [0] + [i for i in range(1, len(x) - 1) if labels[i] > labels[i - 1] and labels[i] >= labels[i + 1]]
+        phrases_ = [x[i:j] for i, j in zip(cuts, [*cuts[1:], len(x)])]
+        names = [mix(sum(mix(a + (k + 1) * c & m) for k, a in enumerate(p)) + len(p) & m) for p in phrases_]
+        if level > 1:
+            found |= {mix(a + level & m) >> 32 for a in names}
+    return sorted(found)[: phrases.KEPT]
+
+
+def test_parsing_against_a_plain_one():
+    r = random.Random(12)
+    texts = [words(r, n) for n in (1, 5, 40, 300)] + ["a", "aab", "é🙂" * 30, "x" * 700, "abc " * 200, words(r, 6000)]
+    assert [s.tolist() for s in phrases.sketches(texts)] == [parsed_plainly(t) for t in texts]
+
+
+def test_fingerprints_against_plain_parsing(spark, sf):
+    rows = corpus()
+    texts = {t or "" for _, t, *_ in rows}
+    of = {"".join(f"{v:08x}" for v in parsed_plainly(t)): t for t in texts if t} | {"": ""}
+    for r in run(spark, "op10_phrase_fingerprints", sf):
+        assert r["fingerprint"] in of and len(of[r["fingerprint"]]) == r["n_chars"]
+        a, b = ([int(r[k][i : i + 8], 16) for i in range(0, len(r[k]), 8)] for k in ("fingerprint", "edited_fingerprint"))
+        both = sorted({*a, *b})[: phrases.KEPT]
+        assert r["near_edited"] == (sum(x in a and x in b for x in both) / len(both) if both else 1.0)
+
+
+def test_likeness_is_smooth_over_lengths():
+    """Two texts that share all but their ends: no step in likeness at any length."""
+    r = random.Random(21)
+    part = words(r, 200)
+    near = [phrases.likeness(*phrases.sketches([part[:n] + " one end", part[: n + 3] + " another end"])) for n in range(200, 400)]
+    assert min(near) > 0.5 and max(abs(a - b) for a, b in zip(near, near[1:])) < 0.3
+
+
 def test_pipeline(spark, sf):
     docs, sizes = spark.read.parquet(f"{sf}/documents.parquet"), []
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "personal_data", "mix", "pack"]
