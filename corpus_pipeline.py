@@ -18,9 +18,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written as Parquet and read as the next one's input."""
+    """All stages over documents; each stage's result is written as Parquet and read as the next one's input.
+
+    What a stage kept for itself goes when its result is written, and a result when the next one is. Documents of any kind
+    (null ids and texts, repeated rows, no rows, other columns) go through; each stage says what becomes of them.
+    """
     ws = common.Workspace(spark, "pipeline")
-    docs = common.documents(spark, sf_dir)
+    docs, before = common.documents(spark, sf_dir), None
+    opened = len(common.Workspace.opened)
     for name, stage in STAGES[:-1]:
         docs = ws.table(stage(spark, docs, sf_dir), name)
+        common.Workspace.sweep(opened)
+        if before:
+            ws.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
@@ -10,6 +10,10 @@ from ..workspace import cut, ordinals
 from .walks import adjacency, backbone_offsets
 
 
+#: Nodes of a level that one task ranks.
+ONE_TASK = 100_000
+
+
 def anchors(b: Bundle) -> DataFrame:
     """(node_id, anchor): the backbone offset of the node that a search from all backbone nodes reaches each node from.
 
@@ -28,9 +32,14 @@ def anchors(b: Bundle) -> DataFrame:
         reached = level.select(F.col("node_id").alias("at"), "anchor", "rank").join(both, "at").select(F.col("to").alias("node_id"), F.struct("rank", "key", "anchor").alias("by"))
         fresh = reached.join(found.select("node_id"), "node_id", "left_anti").groupBy("node_id").agg(F.min("by").alias("by"))
         level = fresh.select("node_id", F.col("by.anchor").alias("anchor"), F.col("by.rank").alias("by"), F.col("by.key").alias("key"))
-        level = cut(ordinals(level, ["by", "key"], "rank").select("node_id", "anchor", "rank"))
-        if level.isEmpty():
+        level = cut(level)
+        n = level.count()
+        if not n:
             return found
+        # A small level is ranked in one task, which spares a pass over its ranges; a large one by ranges.
+        one = F.row_number().over(Window.orderBy("by", "key")).cast("long")
+        level = (level.withColumn("rank", one) if n <= ONE_TASK else ordinals(level, ["by", "key"], "rank")).select("node_id", "anchor", "rank")
+        level = cut(level)
         found = cut(found.union(level.select("node_id", "anchor")))
 
 

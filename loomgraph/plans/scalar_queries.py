@@ -114,7 +114,7 @@ QUERIES = {
     ),
     "f17_sample": (lambda s, d: _names(s, d).select("c_custkey", S.sample("name").alias("sample")), f"WITH n AS (SELECT c_custkey, string_split({_NAMES}, '#') AS p FROM customer) SELECT c_custkey, p[1] || '#' || p[2] AS sample FROM n"),
     "f18_commas": (lambda s, d: table(s, d, "orders").select("o_orderkey", S.commas((F.col("o_orderkey") - 500) * 7919).alias("text")), "SELECT o_orderkey, format('{:,}', (o_orderkey - 500) * 7919) AS text FROM orders"),
-    "f19_json_text": (lambda s, d: _docs(s, d).select("doc_id", F.md5(F.to_json(F.struct("text"))).alias("digest")), None),
+    "f19_json_text": (lambda s, d: _docs(s, d).select("doc_id", F.md5(F.to_json(F.struct("text"))).alias("digest")), "SELECT doc_id, md5(to_json({'text': text})) AS digest FROM documents"),
     "f20_significance": (
         _sig,
         f"WITH t AS (SELECT o_orderkey, {_SIG} AS sig FROM orders) SELECT o_orderkey, sig, CASE WHEN lower(sig) LIKE '%pathogenic%' AND lower(sig) NOT LIKE '%benign%' THEN 'pathogenic' WHEN regexp_matches(lower(sig), 'risk|association|protective|affects') THEN 'risk' WHEN lower(sig) LIKE '%drug%' THEN 'drug' WHEN regexp_matches(lower(sig), 'uncertain|conflicting|not provided') THEN 'uncertain' WHEN lower(sig) LIKE '%benign%' THEN 'benign' ELSE 'other' END AS bucket FROM t",

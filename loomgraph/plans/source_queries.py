@@ -27,7 +27,7 @@ def _lines(s, d):
         F.concat_ws(t, F.lit("W"), "s_name", F.lit("1"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.lit("0"), F.lit("9"), F.concat(F.lit(">"), F.col("s_suppkey").cast("string"), F.lit("<x"), F.col("s_nationkey").cast("string"))),
     )
     bad = table(s, d, "region").select(F.lit(5), F.col("r_regionkey").cast("long"), F.concat_ws(t, F.lit("L"), F.col("r_name"), F.lit("?"), F.lit("0"), F.lit("+")))
-    path = freshfresh_folder(s, "lines")
+    path = fresh_folder(s, "lines")
     gfa.write_lines(body.union(walks).union(bad), path)
     return gfa.numbered_lines(s, path)
 
