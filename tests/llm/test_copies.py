@@ -78,5 +78,35 @@ def test_what_neighbours_leave_apart_is_compared(spark):
     posted = [(7, s) for s in range(6)] + [(8, 9), (8, 10)]
     df = spark.createDataFrame(posted, "key long, set long")
     labels = spark.createDataFrame([(s, 0) for s in range(4)] + [(9, 9), (10, 9)], "node long, label long")
-    got = {tuple(x) for x in copies.apart(df, labels, common.Workspace(spark, "t")).collect()}
-    assert got == {(a, b) for b in (4, 5) for a in range(b)}
+
+    def pairs(n, grams):
+        sized = spark.createDataFrame([(s, n.get(s, 20)) for s in range(11)], "set long, n long")
+        rows = spark.createDataFrame([(s, t) for s in range(6) for t in grams(s)], "set long, t int")
+        return {tuple(x) for x in copies.apart(df, labels, sized, lambda some: rows, common.Workspace(spark, "t")).collect()}
+
+    copies_rare, copies.RARE = copies.RARE, 2
+    try:
+        assert pairs({}, lambda s: range(20)) == {(a, b) for b in (4, 5) for a in range(b)}
+        # Set 5 has five shingles of its own; 0 is too small for 4.
+        assert pairs({0: 14}, lambda s: [*range(15), *range(1000, 1005)] if s == 5 else range(14 if s == 0 else 20)) == {(a, 4) for a in (1, 2, 3)}
+        # 4 and 5 are alike in rare shingles, and in them alone.
+        assert pairs({}, lambda s: range(100, 120) if s > 3 else range(20)) == {(4, 5)}
+    finally:
+        copies.RARE = copies_rare
+
+
+def test_a_large_group_of_edited_copies_makes_few_pairs(spark):
+    """Most of it is unlike the rest: not all pairs of the group are compared, and none that is alike is missed."""
+    r = random.Random(11)
+    base = _text(r, 146)
+    texts = [_edited(r, base, r.choice([0, 1, 2, 4, 6, 8])) for _ in range(300)]
+    rows = [(i, " ".join(t), "en", "web", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id AS rid", "doc_id AS place", "text")
+    sets = copies.sketches(docs).selectExpr("set", "rid", "n").dropDuplicates(["set"])
+    of = {x["rid"]: x["set"] for x in sets.collect()}
+    every = [_set(" ".join(t)) for t in texts]
+    posted = sets.selectExpr("1L AS key", "set")
+    labels = spark.createDataFrame([], "node long, label long")
+    got = {tuple(x) for x in copies.apart(posted, labels, sets, lambda some: copies.shingled(some, docs), common.Workspace(spark, "t")).collect()}
+    alike = {tuple(sorted((of[i], of[j]))) for i in of for j in of if i < j and 5 * len(every[i] & every[j]) >= 4 * len(every[i] | every[j])}
+    assert alike <= got and len(got) < len(of) ** 2 / 4
