@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .bundle import Bundle, differences
 from .operators import layout, measure, walks, windows
 from .sources import container, gfa, synth, tables
+from .workspace import fresh_folder
 
 
 def session() -> SparkSession:
@@ -75,11 +76,10 @@ def cmd_report(spark: SparkSession, a: argparse.Namespace) -> str:
 
 
 def cmd_verify(spark: SparkSession, a: argparse.Namespace) -> str:
-    b = load(spark, a.input)
-    rows = {k: [tuple(r) for r in df.collect()] for k, df in b.tables().items()}
-    again = container.unpack(container.pack(rows))
-    if {k: sorted(v) for k, v in again.items()} != {k: sorted(v) for k, v in rows.items()}:
-        raise SystemExit("the graph does not survive being written and read")
+    b, path = load(spark, a.input), fresh_folder(spark, "verify")
+    b.save(f"{path}/again")
+    if bad := differences(b, Bundle.load(spark, f"{path}/again")).first():
+        raise SystemExit(f"the graph does not survive being written and read: {bad['table']} {bad['row']}")
     if bad := walks.unspellable(b).first():
         raise SystemExit(f"walk {bad['walk_idx']} names a missing segment")
     if a.gfa and (bad := walks.mismatches(b, gfa.read(spark, a.gfa)).first()):

@@ -83,3 +83,29 @@ def test_twobit_and_varint(spark):
 def test_registered_in_sql(spark):
     S.register(spark)
     assert spark.sql("SELECT seq_revcomp('AACG'), seq_zigzag(-2), seq_twobit('ACN')").first() == ("CGTT", 3, 12)
+
+
+def test_sql_is_as_columns(spark):
+    S.register(spark)
+    texts = ["", "-", "+x", "ACGT", "acgtNNACgtRYé", "AAAAAAAAAAAA", "ATGGCATAACTNGGX" * 3, "chm13#chr6:31825251-31908851", "HG1#1#c:x", "Pathogenic/benign", "risk factor", "ACACACACACACACACACACACACACACAC"]
+    df = spark.createDataFrame([(t,) for t in texts], "s STRING")
+    both = [
+        ("seq_upper(s)", S.upper("s")), ("seq_complement(s)", S.complement("s")), ("seq_revcomp(s)", S.reverse_complement("s")), ("seq_flip(s)", S.flip("s")), ("seq_sign(s)", S.sign("s")),
+        ("seq_translate(s, 1)", S.translate("s", 1)), ("seq_translate_strict(s, 0)", S.translate_strict("s")), ("seq_codons(s, 2)", S.codons("s", 2)), ("seq_amino_class(left(s, 1))", S.amino_class(F.left("s", F.lit(1)))),
+        ("seq_find(s, 'AC')", S.find("s", F.lit("AC"))), ("seq_offsets(s, 'AA')", S.offsets("s", F.lit("AA"))), ("seq_count(s, 'A')", S.count("s", F.lit("A"))), ("seq_tandem(s)", S.tandem("s")),
+        ("seq_kind(s, s = '-')", S.kind("s", F.col("s") == "-")), ("seq_preview(s)", S.preview("s")), ("seq_chromosome(s)", S.chromosome("s")), ("seq_region_start(s)", S.region_start("s")), ("seq_sample(s)", S.sample("s")),
+        ("seq_significance(s)", S.significance("s")), ("seq_query_text(s)", S.query_text("s")), ("seq_twobit(s)", S.twobit_bits("s")), ("seq_commas(length(s) * 1000)", S.commas(F.char_length("s") * 1000)),
+        ("seq_zigzag(3 - length(s))", S.zigzag(F.lit(3) - F.char_length("s"))), ("seq_varint_length(length(s) * 100L)", S.varint_length(F.char_length("s") * 100)), ("seq_bits_for(length(s))", S.bits_for(F.char_length("s"))),
+        ("seq_effective_order(16, length(s))", S.effective_order(F.lit(16), F.char_length("s"))),
+    ]
+    rows = df.select(*(c.alias(f"{k}{i}") for i, (sql, own) in enumerate(both) for k, c in (("a", F.expr(sql)), ("b", own)))).collect()
+    for i, (sql, _) in enumerate(both):
+        assert [r[f"a{i}"] for r in rows] == [r[f"b{i}"] for r in rows], sql
+
+
+def test_amino_tables_agree_with_single_codons(spark):
+    letters = "TCAGNaé"
+    codons = [a + b + c for a in letters for b in letters for c in letters]
+    df = spark.createDataFrame([(c,) for c in codons], "c STRING")
+    for r in df.select("c", S.amino("c").alias("a"), S.translate("c").alias("b"), S.amino_strict("c").alias("x"), S.translate_strict("c").alias("y")).collect():
+        assert (r["a"], r["x"]) == (r["b"], r["y"]), r["c"]
