@@ -151,7 +151,8 @@ def _varints(s, d):
 def _appended(s, d):
     """Two ledger records, appended one after the other and read back."""
     path = fresh_folder(s, "ledger")
-    record = s.createDataFrame([('{"total_bases":10,"total_bits":20,"provenance":{"dataset":"d"}}',)], "json STRING")
+    size = table(s, d, "part").agg(F.sum("p_size").cast("long").alias("total_bases")).crossJoin(table(s, d, "lineitem").agg(F.count("*").alias("total_bits")))
+    record = size.select(F.to_json(F.struct("*", F.struct(F.lit("lineitem").alias("dataset")).alias("provenance"))).alias("json"))
     tables.append_ledger(record, path)
     tables.append_ledger(record, path)
     return s.read.json(path, schema="total_bases BIGINT, total_bits BIGINT, provenance MAP<STRING, STRING>").select("total_bases", "total_bits", F.col("provenance")["dataset"].alias("dataset"))
@@ -176,7 +177,7 @@ QUERIES = {
     "s13_container_read": (_unpacked, None),
     "s14_container_errors": (_errors, None),
     "s15_varints": (_varints, None),
-    "s17_ledger_append": (_appended, "SELECT CAST(10 AS BIGINT) AS total_bases, CAST(20 AS BIGINT) AS total_bits, 'd' AS dataset FROM range(2)"),
+    "s17_ledger_append": (_appended, "SELECT (SELECT CAST(sum(p_size) AS BIGINT) FROM part) AS total_bases, (SELECT count(*) FROM lineitem) AS total_bits, 'lineitem' AS dataset FROM range(2)"),
     "s19_report": (_report, None),
     "s20_tile_files": (_tile_files, None),
     "s1_records": (_records, _LINES + "SELECT f[1] AS tag, count(*) AS n FROM rec WHERE f[1] IN ('S', 'L', 'P', 'W') GROUP BY 1"),
