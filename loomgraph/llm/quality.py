@@ -22,6 +22,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Method's rule: share of the word characters that may be lost with failing lines.
 MAX_LOST = 0.5
+#: Words of a line that one notice accounts for.
+NOTICE_WORDS = 40
 #: Notices whose line is boilerplate.
 BOILERPLATE = re.compile(
     r"all rights reserved|licensed under|copyright (?:\(c\)|©|[0-9]{4})|terms of (?:use|service)|privacy policy|cookie policy|accept (?:all )?cookies"
@@ -34,7 +36,8 @@ SEPARATORS = re.compile(r"\s[|»›•·>]\s")
 def line_fails(line: str) -> str | None:
     """The rule that a line with words fails, or None."""
     words = line.split()
-    if BOILERPLATE.search(line) and len(words) <= 40:
+    # A notice makes a line of ordinary length boilerplate; a longer line needs as many more.
+    if NOTICE_WORDS * len(BOILERPLATE.findall(line)) >= len(words):
         return "boilerplate"
     pieces = SEPARATORS.split(line)
     if len(pieces) >= 3 and len(words) <= 6 * len(pieces):

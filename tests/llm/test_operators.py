@@ -413,21 +413,26 @@ def test_perfect_hash(n):
 
 
 def test_packing(spark, sf):
+    """The pieces, in order, are the documents whole, one after another along the curve, cut at 1024 ids and nowhere padded."""
     rows, pieces = corpus(), run(spark, "op4_hilbert_packing", sf)
-    ids = ids_of([t for _, t, *_ in rows])
-    want = Counter((rows[i][0], zlib.crc32(np.array(ids[i] + [0], "<u4").tobytes())) for i in range(len(rows)) if len(ids[i]) < 50)
-    whole = Counter((p["doc_id"], p["ids_crc32"]) for p in pieces if p["length"] == p["doc_tokens"] and p["doc_tokens"] <= 50)
-    assert sum((whole - want).values()) == 0
-    assert sum(p["length"] for p in pieces) == sum(len(x) + 1 for x in ids)
-    by = {}
-    for p in pieces:
-        by.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
-    for k, parts in by.items():
-        at = 0
-        for o, n in sorted(parts):
-            assert o == at
-            at += n
-        assert at == 1024 or k == max(by)
+    ids = [x + [0] for x in ids_of([t for _, t, *_ in rows])]
+    left = Counter((rows[i][0], tuple(ids[i])) for i in range(len(rows)))
+    at, held, curve, row = 0, [], [], None
+    for p in sorted(pieces, key=lambda p: (p["sequence_id"], p["offset"])):
+        assert (p["sequence_id"], p["offset"]) == divmod(at, 1024) and p["offset"] + p["length"] <= 1024
+        at += p["length"]
+        if p["start"] == 0:
+            # Which of the rows of this id begins here: one whose first ids have the piece's check sum.
+            crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+            fits = [k for k in left if left[k] and k[0] == p["doc_id"] and len(k[1]) == p["doc_tokens"] and crc(k[1][: p["length"]]) == p["ids_crc32"]]
+            row, held = fits[0], []
+            left[row] -= 1
+            curve.append(int(packing.curve_keys(np.array(row[1], np.uint16), np.array([0, len(row[1])]))[0]))
+        assert p["doc_id"] == row[0] and p["start"] == len(held) and crc(row[1][p["start"] : p["start"] + p["length"]]) == p["ids_crc32"]
+        held += row[1][p["start"] : p["start"] + p["length"]]
+        if p["offset"] + p["length"] < 1024:
+            assert len(held) == len(row[1])  # cut only where a sequence is full
+    assert not any(left.values()) and at == sum(map(len, ids)) and curve == sorted(curve)
 
 
 def test_hilbert_neighbours():
@@ -453,6 +458,19 @@ def test_suffix_dedup(spark, sf):
     assert by_row(rows, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
+def test_repeats_in_a_text_longer_than_a_segment(spark, tmp_path):
+    """A passage that lies over a segment's end, one that the text repeats itself, and one that another text has."""
+    r = random.Random(31)
+    n = suffixes.SEGMENT
+    body = (" ".join(f"{r.getrandbits(64):x}" for _ in range(n // 15)))[: n + 5_000]
+    body = body.ljust(n + 5_000, "x")[: n + 4_000] + body[1_000:1_400]
+    other = "before it. " + body[n - 300 : n + 300] + " and after"
+    spark.createDataFrame([(1, body, "en", "s", 1), (2, other, "en", "s", 1)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in run(spark, "op5_two_stage_suffix_dedup", str(tmp_path))}
+    assert got[1]["n_removed"] >= 400 and got[2]["n_removed"] == 600 and got[2]["n_spans"] == 1
+    assert got[2]["kept_sha256"] == hashlib.sha256(b"before it.  and after").hexdigest()
+
+
 def test_large_classes_are_dealt_by_window(spark, monkeypatch):
     r = random.Random(9)
     common_part = words(r, 24)
@@ -528,10 +546,22 @@ def brute_components(fps, radius=2):
 
 
 def test_simhash(spark, sf):
-    rows = run(spark, "op8_simhash_components", sf)
-    for r in rows:
-        texts = [t for i, t, *_ in corpus() if i == r["doc_id"]]
-        assert int(r["fingerprint"], 16) in [simhash.fingerprint(t) & (1 << 64) - 1 for t in texts]
+    def plain(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    rows = corpus()
+    fps = [plain(t) for _, t, *_ in rows]
+    top = brute_components({k: f - (1 << 64) if f >> 63 else f for k, f in enumerate(fps)})
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[top[k]] = min(least.get(top[k], i), i)
+    want = Counter((i, f"{fps[k]:016x}", least.get(top[k])) for k, (i, *_) in enumerate(rows))
+    assert by_row(run(spark, "op8_simhash_components", sf), "doc_id", "fingerprint", "component_id") == want
+    assert max(Counter(top.values()).values()) > 3
     w = "the quick brown fox".split()
     c = [0] * 64
     for s in (" ".join(w[:3]), " ".join(w[1:])):
