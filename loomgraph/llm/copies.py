@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, in_arrow
 from .simhash import _LOWER, SEED, connected, links, majority
 
 SHINGLE = 5
@@ -76,7 +76,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), listed], ["rid", "place", "set", "n", "fp", "keys"])
 
     kind = docs.schema["place"].dataType.simpleString()
-    return docs.select("rid", "place", "text").mapInArrow(run, f"rid long, place {kind}, set long, n long, fp long, keys array<long>")
+    return in_arrow(docs.select("rid", "place", "text"), run, f"rid long, place {kind}, set long, n long, fp long, keys array<long>")
 
 
 def neighbours(posted: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def hashes(docs: DataFrame, ids: DataFrame) -> DataFrame:
             if len(at):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([shingles(t).view(np.int64) for t in b.column(2).take(at).to_pylist()], pa.list_(pa.int64()))], ["rid", "h"])
 
-    return docs.select("rid", F.xxhash64("rid").alias("x"), "text").mapInArrow(run, "rid long, h array<long>")
+    return in_arrow(docs.select("rid", F.xxhash64("rid").alias("x"), "text"), run, "rid long, h array<long>")
 
 
 def verified(pairs: DataFrame, of: DataFrame, docs: DataFrame, ws: Workspace, name: str) -> DataFrame:

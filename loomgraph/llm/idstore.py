@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Workspace, documents, text_or_empty
+from .common import Workspace, documents, in_arrow, text_or_empty
 
 END = 2
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -256,7 +256,7 @@ def write(docs: DataFrame, ws: Workspace, path: str | None = None, end: int = EN
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    done = ws.table(rows.mapInArrow(run, MANIFEST), "manifest")
+    done = ws.table(in_arrow(rows, run, MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return done.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
@@ -305,7 +305,7 @@ def read(manifest: DataFrame, keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(s["doc_id"].astype(np.int64), mask=s["null"] == 1), pa.array(s["first"].astype(np.int64) + base), pa.array(s["n"].astype(np.int64)), pa.array(crc[i : i + 10_000])], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     asked = keys.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).mapInArrow(route, "place long, doc_id long, n long")
-    return asked.repartition(max(1, len(rows)), "place").sortWithinPartitions("place").mapInArrow(run, FOUND)
+    return in_arrow(asked.repartition(max(1, len(rows)), "place").sortWithinPartitions("place"), run, FOUND)
 
 
 def _by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Workspace, documents, running
+from .common import Workspace, documents, in_arrow, running
 
 LENGTH, END = 1_024, 0
 BUCKETS, DIMENSIONS, BITS = 64, 3, 16
@@ -93,7 +93,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
                 rid += j - i
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, curve long, n long, ids binary")
+    return in_arrow(docs.select("doc_id", "text"), run, f"rid long, doc_id {kind}, curve long, n long, ids binary")
 
 
 def cut(rows: DataFrame, length: int) -> DataFrame:
@@ -115,7 +115,7 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in out[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "ids", "at").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return in_arrow(rows.select("doc_id", "ids", "at"), run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, ws: Workspace, path: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents
+from .common import SPACES, documents, in_arrow
 
 SYMBOLS = "#*$%&|<>"
 #: Base rule of the contract: least words; percent of words in repeated windows.
@@ -124,7 +124,7 @@ def clean(docs: DataFrame, with_text: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], {"lost": pa.float64(), "cleaned": pa.string(), "kept": pa.bool_(), "base_failed": pa.bool_()}.get(k, pa.int64())) for k in names)], ["doc_id", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {FIELDS}" + ", cleaned string" * with_text)
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, {FIELDS}" + ", cleaned string" * with_text)
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents
+from .common import Workspace, documents, in_arrow
 
 RADIUS = 2
 WIDTH = 64
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_arrow
 
 #: Bounds of the fitting sample: labelled documents, the first so many by hash; sentences of these, likewise, and the
 #: most characters of a sentence. Scoring has no such bounds.
@@ -469,13 +469,13 @@ def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
         for b in batches:
             texts = b.column(len(keep))
             got = []
-            for i, j in tokens.slices(tokens.sizes(texts), 4_000_000):
+            for i, j in tokens.slices(tokens.sizes(texts)):
                 got.append(machine.score(greatest_margins(machine, [t or "" for t in texts.slice(i, j - i).to_pylist()])))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(np.concatenate(got) if got else np.zeros(0))], [*keep, "score"])
 
     rows = docs.select(*keep, F.col("text"))
     schema = docs.select(*keep, F.lit(0.0).alias("score")).schema
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -511,7 +511,7 @@ def trained(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS, senten
     rows = rows.select("doc", "toxic", F.posexplode(F.split("text", SENTENCE)).alias("place", "sentence"))
     rows = rows.filter(F.char_length("sentence").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("doc", "place"), "doc", "place").limit(sentences)
     rows = rows.repartition(1).sortWithinPartitions("doc", "place").select("doc", F.col("toxic").cast("int").alias("toxic"), "sentence")
-    got = rows.mapInArrow(_fitted, "triples binary, weights binary, bias double, scale array<double>, shift double, paired boolean").collect()
+    got = in_arrow(rows, _fitted, "triples binary, weights binary, bias double, scale array<double>, shift double, paired boolean").collect()
     if not got:
         return _constant(-1.0, -4.0)
     machine = Machine.__new__(Machine)

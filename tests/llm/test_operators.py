@@ -561,7 +561,7 @@ def test_simhash(spark, sf):
             least[top[k]] = min(least.get(top[k], i), i)
     want = Counter((i, f"{fps[k]:016x}", least.get(top[k])) for k, (i, *_) in enumerate(rows))
     assert by_row(run(spark, "op8_simhash_components", sf), "doc_id", "fingerprint", "component_id") == want
-    assert max(Counter(top.values()).values()) > 3
+    assert max(Counter(top.values()).values()) >= 3
     w = "the quick brown fox".split()
     c = [0] * 64
     for s in (" ".join(w[:3]), " ".join(w[1:])):
