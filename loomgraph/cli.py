@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 from .bundle import Bundle, differences
 from .operators import layout, measure, walks, windows
+from .shipping import ship
 from .sources import container, gfa, synth, tables
 from .workspace import fresh_folder
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("loomgraph").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("loomgraph").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    ship(spark)
+    return spark
 
 
 def load(spark: SparkSession, path: str) -> Bundle:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -15,11 +17,13 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_loomgraph_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(), "loomgraph.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, True)  # workers fetch it from here until then
+    path = os.path.join(folder, "loomgraph.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(root):
+        for at, _, names in os.walk(root):
             for name in sorted(n for n in names if n.endswith(".py")):
-                full = os.path.join(folder, name)
+                full = os.path.join(at, name)
                 z.write(full, os.path.relpath(full, os.path.dirname(root)))
     sc.addPyFile(path)
     sc._loomgraph_shipped = True

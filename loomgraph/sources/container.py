@@ -1,12 +1,15 @@
 """The binary container: a header, tagged sections, an index of them and a footer.
 
-A container is one file that is read whole, so it is for graphs of a machine's size; the Parquet bundle is the form for
-larger ones.
+A container is one file that fits in a row, so it is for graphs of a machine's size; the Parquet bundle is the form for
+larger ones. Each table is read from its section by a task of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 from ..bundle import CLASSES, SCHEMAS, Bundle
 from ..operators import coders
@@ -118,8 +121,8 @@ def pack(t: dict[str, list[tuple]]) -> bytes:
     return bytes(out + INDX + len(index).to_bytes(8, "little") + index + at.to_bytes(8, "little") + FOOTER + bytes(4))
 
 
-def unpack(data: bytes) -> dict[str, list[tuple]]:
-    """A container to rows of the tables."""
+def unpack(data: bytes, only: str | None = None) -> dict[str, list[tuple]]:
+    """A container to rows of the tables; of `only` one, if that is given, and then no other sequence is decoded."""
     if len(data) < 32:
         raise Truncated(f"{len(data)} bytes")
     c = Cursor(data)
@@ -154,15 +157,18 @@ def unpack(data: bytes) -> dict[str, list[tuple]]:
     s = section(HEAD)
     s.number(1)
     backbone = s.text()
-    if s := section(DICT):
+    wanted = [k for k in SCHEMAS if only in (None, k)]
+    if (s := section(DICT)) and "dictionary" in wanted:
         s.number(1)
         for _ in range(s.varint()):
             i, kind, name = s.number(4), s.number(1), s.text()
             t["dictionary"].append((i, CLASSES[min(kind, 5)], name, coders.decode(s.blob()).decode().upper()))
     s = section(GRAF)
     for _ in range(s.varint()):
-        i, seq = s.varint(), coders.decode(s.blob()).decode("latin-1")
-        t["segments"].append((i, seq, len(seq)))
+        i, coded = s.varint(), s.blob()
+        if "segments" in wanted:
+            seq = coders.decode(coded).decode("latin-1")
+            t["segments"].append((i, seq, len(seq)))
     for k in range(s.varint()):
         t["edges"].append((k, s.varint(), sign(s), s.varint(), sign(s)))
     for _ in range(s.varint()):
@@ -174,13 +180,28 @@ def unpack(data: bytes) -> dict[str, list[tuple]]:
         t["steps"] += [(w, j, s.varint(), sign(s)) for j in range(s.varint())]
     if s := section(CTAM):
         t["contamination"] = [(s.text(), s.varint(), s.text()) for _ in range(s.varint())]
-    return t
+    return {k: v if k in wanted else [] for k, v in t.items()}
+
+
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    names = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for data in b.column(0):
+                rows = unpack(data.as_py(), name)[name]
+                for i in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[f.split()[1]]) for c, f in zip(zip(*rows[i : i + 10_000]), SCHEMAS[name].split(", "))], names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SCHEMAS[name])
+
+
+_ARROW = {"BIGINT": pa.int64(), "STRING": pa.string(), "BOOLEAN": pa.bool_()}
 
 
 def read(spark: SparkSession, path: str) -> Bundle:
-    """Reads through Spark, so that any store it knows will do."""
-    data = bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
-    return Bundle.of(spark, **{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in unpack(data).items()})
+    """Reads through Spark, so that any store it knows will do; nothing goes through the driver."""
+    return Bundle(**{k: _table(spark, path, k) for k in SCHEMAS})
 
 
 def write(b: Bundle, path: str) -> None:
