@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idstore, mixing, packing, phrases, pii, quality, secrets, simhash, suffixes, toxicity
+from . import idstore, lines, mixing, packing, phrases, pii, quality, search, secrets, simhash, suffixes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,9 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_components": simhash.op8_simhash_components,
         "op9_wfq_mixing": mixing.op9_wfq_mixing,
         "op10_phrase_fingerprints": phrases.op10_phrase_fingerprints,
+        "op11_bloom_lines": lines.op11_bloom_lines,
+        "op12_impact_search": search.op12_impact_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The other operators' results rest on hashes, models or a tokenizer that SQL hasn't; the tests compare them with brute force."""
-    return {"op9_wfq_mixing": mixing.OP9_SQL}
+    return {"op9_wfq_mixing": mixing.OP9_SQL, "op11_bloom_lines": lines.OP11_SQL, "op12_impact_search": search.OP12_SQL}

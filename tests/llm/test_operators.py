@@ -53,6 +53,7 @@ def sf(spark, tmp_path_factory):
         df = df.selectExpr("*", f"'clash' AS {c}")
     df.repartition(5).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, i % 2) for i in range(0, 90, 3)] + [(None, 1, 1), (3, 0, None)], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(0, "the sh on"), (None, None)], "item_id BIGINT, text STRING").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
@@ -61,6 +62,7 @@ def empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("none"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "item_id BIGINT, text STRING").write.parquet(f"{path}/benchmark.parquet")
     return path
 
 
