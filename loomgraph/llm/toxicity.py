@@ -26,14 +26,16 @@ from .common import documents, in_arrow
 #: Bounds of the fitting sample: labelled documents, the first so many by hash; sentences of these, likewise, and the
 #: most characters of a sentence. Scoring has no such bounds.
 SAMPLE_DOCS, SAMPLE_SENTENCES, SAMPLE_CHARS = 4_000, 150_000, 2_000
-#: One in so many of the sampled documents is kept for calibration.
-CALIBRATED = 5
-LANDMARKS, DECAY, SPAN = 320, 0.6, 6
+#: One in so many of the sampled documents is kept for calibration; with fewer documents than FOLDED each is, by turns.
+CALIBRATED, FOLDED = 5, 200
+#: Greatest log odds of a text without evidence: a score of 0.27.
+NO_EVIDENCE = -1.0
+LANDMARKS, DECAY, SPAN = 448, 0.6, 6
 #: Longest word that is a term; longer ones are scored in overlapping pieces of this length.
 PIECE = 24
 ROUNDS, C, STEPS = 3, 8.0, 40
 #: Random and hardest terms of clean sentences that the machine is fitted to, and hardest pairs of words.
-NEGATIVES, HARDEST, HARDEST_PAIRS = 4_000, 1_500, 500
+NEGATIVES, HARDEST, HARDEST_PAIRS = 6_000, 2_000, 500
 #: Toxic sentences that a pair of words must be in to be a term.
 PAIR_LEAST = 10
 #: Sentences of a document, the most toxic ones, whose margins its score is calibrated from.
@@ -293,24 +295,32 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray,
 
 
 def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic fit of labels to rows of margins by Newton steps, lightly penalised; no margin counts against a label."""
-    used = np.arange(margin.shape[1])
+    """Logistic fit of labels to rows of margins by Newton steps, lightly penalised; no margin counts against a label.
+
+    A row without evidence, all at FLOOR, gets at most the log odds NO_EVIDENCE, whatever share of the labels is 1: a
+    score of one half or more has to come from margins.
+    """
+    over, used, free = margin - FLOOR, np.arange(margin.shape[1]), True
     while True:
-        x = np.hstack([margin[:, used], np.ones((len(y), 1))])
-        w = np.append(np.full(len(used), 1.0 / max(len(used), 1)), 0.0)
-        for _ in range(50):
+        x = np.hstack([over[:, used], np.ones((len(y), 1))])
+        w = np.append(np.full(len(used), 1.0 / max(len(used), 1)), 0.0 if free else NO_EVIDENCE)
+        n = len(w) if free else len(w) - 1  # what may change
+        for _ in range(50 if n else 0):
             p = 1 / (1 + np.exp(-(x @ w)))
-            g = x.T @ (p - y) + 0.05 * w
-            h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.05 * np.eye(len(w))
+            g = (x.T @ (p - y) + 0.05 * w)[:n]
+            h = (x[:, :n] * (p * (1 - p) + 1e-9)[:, None]).T @ x[:, :n] + 0.05 * np.eye(n)
             step = np.linalg.solve(h, g)
-            w = w - step
+            w[:n] -= step
             if abs(step).max() < 1e-9:
                 break
-        if (w[:-1] >= 0).all():
+        if free and w[-1] > NO_EVIDENCE:
+            used, free = np.arange(margin.shape[1]), False
+        elif (w[:-1] >= 0).all():
             scale = np.zeros(margin.shape[1])
             scale[used] = w[:-1]
-            return scale, float(w[-1])
-        used = np.delete(used, int(np.argmin(w[:-1])))
+            return scale, float(w[-1] - FLOOR * scale.sum())
+        else:
+            used = np.delete(used, int(np.argmin(w[:-1])))
 
 
 def _constant(bias: float, shift: float) -> Machine:
@@ -318,13 +328,34 @@ def _constant(bias: float, shift: float) -> Machine:
 
 
 def fit(docs: list[list[str]], labels: list[int], seed: int = 7) -> Machine:
-    """Documents as their sentences, with labels 1 (toxic) or 0. Without both labels every text scores as its labels are."""
+    """Documents as their sentences, with labels 1 (toxic) or 0. Without both labels nothing tells them apart: all score low.
+
+    Scores are calibrated on documents that the machine has not seen: on one in CALIBRATED of them, or, where there are fewer
+    than FOLDED, on all by turns, each with a machine fitted to the others.
+    """
     y = np.array(labels, float)
-    if len(set(labels)) < 2:
-        return _constant(-1.0, 4.0 if labels and labels[0] else -4.0)
-    unseen = np.arange(len(y)) % CALIBRATED == CALIBRATED - 1
-    if len(set(y[unseen])) < 2 or len(set(y[~unseen])) < 2:
-        unseen[:] = False  # too few to set any aside
+    both = lambda part: len(set(y[part])) == 2
+    if not both(slice(None)):
+        return _constant(-1.0, -4.0)
+    fold = np.arange(len(y)) % CALIBRATED
+    if len(y) < FOLDED:
+        machine = _machine(docs, y, np.zeros(len(y), bool), seed)
+        folds = [fold == k for k in range(CALIBRATED) if (fold == k).any() and both(fold != k)]
+        judged = [(part, _machine(docs, y, part, seed)) for part in folds] or [(fold >= 0, machine)]
+    else:
+        part = fold == CALIBRATED - 1
+        if not (both(part) and both(~part)):
+            part[:] = False  # too few of a label to set any aside
+        machine = _machine(docs, y, part, seed)
+        judged = [(part if part.any() else ~part, machine)]
+    best = [greatest_margins(m, ["\n".join(docs[i]) for i in np.flatnonzero(part)]) for part, m in judged]
+    machine.scale, machine.shift = _calibrated(np.concatenate(best), np.concatenate([y[part] for part, _ in judged]))
+    return machine
+
+
+def _machine(docs: list[list[str]], y: np.ndarray, unseen: np.ndarray, seed: int) -> Machine:
+    """The machine, not yet calibrated, fitted to the documents that aren't to stay unseen."""
+    labels = y.astype(int).tolist()
     # A sentence that comes again under the same label, in copies of a document say, is one row.
     rows = {(label, s): i for i, (sentences, label) in reversed([*enumerate(zip(docs, labels))]) for s in reversed(sentences)}
     p, of = parsed([s for _, s in rows]), np.array([*rows.values()])  # of: the first document of each sentence
@@ -371,7 +402,7 @@ def fit(docs: list[list[str]], labels: list[int], seed: int = 7) -> Machine:
         with_triples[np.unique(features(first)[0])] = True
     landmarks = [t for t, ok in zip(first, with_triples) if ok][:LANDMARKS]
     if not landmarks:
-        return _constant(-1.0, float(np.log(n1 / n0)))
+        return _constant(-1.0, 0.0)
     base = Landmarks(landmarks)
     value, vector = np.linalg.eigh(base.kernel(landmarks).astype(np.float64))
     half = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
@@ -411,9 +442,6 @@ def fit(docs: list[list[str]], labels: list[int], seed: int = 7) -> Machine:
         at, own = at[clear], own[clear]
         for k in at[np.argsort(-own, kind="stable")][:HARDEST_PAIRS].tolist():
             pairs.add(f"{p.words[p.word[k]]} {p.words[p.word[k + 1]]}")
-    judged = unseen if unseen.any() else ~unseen
-    best = greatest_margins(machine, ["\n".join(docs[i]) for i in np.flatnonzero(judged)])
-    machine.scale, machine.shift = _calibrated(best, y[judged])
     return machine
 
 

@@ -301,6 +301,32 @@ def test_toxicity_is_fitted_in_a_task_as_here(spark):
     assert np.mean([(got[i] >= 0.5) == bool(labels[i]) for i in unseen]) > 0.95
 
 
+def test_texts_without_evidence_score_low():
+    """Whatever the labels' share: the labels' majority is no evidence."""
+    r = random.Random(8)
+    clean = ["", " \n", "123 -- 456", words(r, 30), words(r, 3000)]
+    docs, labels = insulted(random.Random(6), 300, ["clown", "loser"])
+    toxic, plain = ([d for d, x in zip(docs, labels) if x == k] for k in (1, 0))
+    for n in (60, 240):  # calibrated by turns, and on documents set aside
+        few = max(n // 10, 4)
+        mostly = [d for _ in range(n // len(toxic) + 1) for d in toxic][: n - few] + plain[:few]
+        m = toxicity.fit(mostly, [1] * (n - few) + [0] * few)
+        assert (probed(m, clean) < 0.5).all(), n
+        assert (probed(m, ["the clown and", "a loser is"]) > probed(m, clean[:3]).max()).all()
+    for n in (40, 260):  # labels that say nothing
+        texts = [[words(r, 12) + "."] for _ in range(n)]
+        assert (probed(toxicity.fit(texts, [int(r.random() < 0.9) for _ in texts]), clean[:3]) < 0.5).all()
+    for label in (0, 1):  # one label only
+        assert (probed(toxicity.fit(docs[:50], [label] * 50), [*clean, "the clown"]) < 0.5).all()
+
+
+def test_toxicity_stage_keeps_what_says_nothing(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = [r["text"] for r in stages.drop_toxic(spark, docs, sf).collect()]
+    want = [r["text"] for r in docs.collect() if not (r["text"] or "").strip()]
+    assert Counter(t for t in kept if not (t or "").strip()) == Counter(want) and want
+
+
 def naive_kernel(a, b):
     """Over all triples of letters within the largest span, by position."""
 
