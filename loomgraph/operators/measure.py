@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from ..bundle import Bundle
 from ..functions import sequence as S
 from . import coders
-from .walks import backbone_nodes, instance_entries, other_segments, spell
+from .adaptive import order_cost, order_costs
+from .walks import backbone_nodes, instance_entries, other_segments, spell, spelled_pieces
 
 ORDERS = (2, 8, 16)
 INSTANCE_BITS = 48
+#: Bits of the adaptive coder's header, which is all there is of an empty stream.
+EMPTY_BITS = 88
 SECTIONS = ("backbone", "graph", "dictionary", "repeats", "walks")
 
 
@@ -79,8 +82,8 @@ def walks_raw(b: Bundle) -> DataFrame:
     return b.steps.agg(F.count("*").alias("steps")).crossJoin(bits)
 
 
-def walk_stream(b: Bundle) -> DataFrame:
-    """(stream, data): the varint stream itself, for the sequential coders."""
+def walk_pieces(b: Bundle) -> DataFrame:
+    """(stream, ord, seq): the varint stream as a piece of bytes a step, in order of walk and step."""
     code = F.col("code")
     chars = []
     for k in range(9):
@@ -89,10 +92,13 @@ def walk_stream(b: Bundle) -> DataFrame:
         here = (code >= F.lit(1 << (7 * k))) if k else F.lit(True)
         chars.append(F.when(here, F.lpad(F.hex(F.when(more, low + 128).otherwise(low)), 2, "0")).otherwise(""))
     one = F.concat(*chars, F.when(F.col("strand") == "-", "01").otherwise("00"))
-    rows = walk_deltas(b).select("walk_idx", "step_idx", one.alias("h"))
-    per = rows.groupBy("walk_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step_idx", "h"))), lambda x: x["h"]), "").alias("h"))
-    whole = per.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("walk_idx", "h"))), lambda x: x["h"]), "").alias("h"))
-    return whole.select(F.lit("walks").alias("stream"), F.unhex("h").alias("data"))
+    return walk_deltas(b).select(F.lit("walks").alias("stream"), F.struct("walk_idx", "step_idx").alias("ord"), F.unhex(one).alias("seq"))
+
+
+def walk_stream(b: Bundle) -> DataFrame:
+    """(stream, data): the varint stream in one row, for coders that need all of it."""
+    whole = walk_pieces(b).groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.hex("seq").alias("h")))), lambda x: x["h"]), "").alias("h"))
+    return whole.select("stream", F.unhex("h").alias("data"))
 
 
 def literals(b: Bundle) -> DataFrame:
@@ -117,77 +123,56 @@ def best(results: DataFrame) -> DataFrame:
     return results.groupBy("section").agg(m.alias("m")).select("section", F.col("m.coder").alias("best_coder"), F.col("m.bits").alias("best_bits"))
 
 
-def order_cost(streams: DataFrame, order: int) -> DataFrame:
-    """streams (stream, ord, seq): (stream, symbols, letters, bits), the adaptive coder's cost by relational means.
-
-    A probability of the coder depends only on the bits that its own cell, a context and a node of the bit tree, has
-    seen, in order. So symbols are dealt out by cell, each cell folds its own bits, and the costs are summed; finding
-    the contexts goes over a stream in order, in one task a stream. A cell's bits are packed and folded in runs of its own; the sum of -log2 of the
-    probabilities differs from the coder's bytes by rounding only.
-    """
-    letters = streams.filter(F.length("seq") > 0).select("stream", "ord", F.posexplode(F.split("seq", "")).alias("i", "c")).filter("c <> ''")
-    alphabet = letters.select("stream", "c").distinct()
-    w = Window.partitionBy("stream").orderBy("c")
-    sizes = alphabet.groupBy("stream").agg(F.count("*").alias("a"))
-    codes = alphabet.withColumn("code", F.row_number().over(w) - 1)
-    coded = letters.join(codes, ["stream", "c"]).join(sizes, "stream").withColumn("bits", S.bits_for("a"))
-    longest = coded.withColumn("k", S.effective_order(F.lit(order), F.col("bits")))
-    here = Window.partitionBy("stream").orderBy("ord", "i")
-    context = F.lit(0).cast("long")
-    for j in range(1, order + 1):
-        context = context + F.when(F.lit(j) <= F.col("k"), F.call_function("shiftleft", F.coalesce(F.lag("code", j).over(here), F.lit(0)).cast("long"), ((F.lit(j) - 1) * F.col("bits")).cast("int"))).otherwise(0)
-    placed = longest.withColumn("context", context)
-    level = F.explode(F.sequence(F.lit(1), F.col("bits")))
-    cells = placed.select("stream", "ord", "i", "code", "bits", "a", "context", level.alias("depth"))
-    at = F.expr("shiftright(code, bits - depth + 1) + shiftleft(1, depth - 1)")
-    bit = F.expr("shiftright(code, bits - depth) & 1")
-    cells = cells.select("stream", "a", "context", at.alias("node"), F.struct("ord", "i", bit.alias("bit")).alias("x"))
-    per = cells.groupBy("stream", "a", "context", "node").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-
-    def fold(s: Column, x: Column) -> Column:
-        p = s["p"]
-        zero = x["bit"] == 0
-        cost = -F.log2(F.when(zero, p).otherwise(2048 - p) / F.lit(2048.0))
-        return F.struct(F.when(zero, p + F.shiftright(2048 - p, 5)).otherwise(p - F.shiftright(p, 5)).alias("p"), (s["cost"] + cost).alias("cost"))
-
-    start = F.struct(F.lit(1024).alias("p"), F.lit(0.0).alias("cost"))
-    per = per.select("stream", "a", F.aggregate("xs", start, fold, lambda s: s["cost"]).alias("cost"))
-    out = per.groupBy("stream", "a").agg(F.sum("cost").alias("cost"))
-    n = letters.groupBy("stream").agg(F.count("*").alias("symbols"))
-    payload = F.when(F.col("a") > 1, F.ceil(F.round(F.col("cost") / 8, 9)) + 4).otherwise(0)
-    return n.join(out, "stream").select("stream", "symbols", F.col("a").alias("letters"), (8 * (11 + F.col("a") + payload)).cast("long").alias("bits"))
+def coded(names: DataFrame, pieces: DataFrame, orders: tuple[int, ...]) -> DataFrame:
+    """names (section), pieces (stream, ord, seq): (section, coder_ord, coder, bits) by the adaptive coder, also for sections without pieces."""
+    at = F.col("k") + 1
+    every = names.select("section", F.posexplode(F.array(*(F.lit(k) for k in orders))).alias("k", "order"))
+    costs = order_costs(pieces, list(orders)).select(F.col("stream").alias("section"), "order", "bits")
+    full = every.join(costs, ["section", "order"], "left")
+    return full.select("section", at.alias("coder_ord"), F.concat(F.lit("order-"), F.col("order").cast("string")).alias("coder"), F.coalesce("bits", F.lit(EMPTY_BITS)).cast("long").alias("bits"))
 
 
 def results(b: Bundle, orders: tuple[int, ...] = ORDERS, external: bool = True) -> DataFrame:
-    """(section_ord, section, bases, coder_ord, coder, bits): all costs of all parts by the sequential coders."""
+    """(section_ord, section, bases, coder_ord, coder, bits): all costs of all parts.
+
+    The adaptive coder's are found by ranges, for parts of any size. General coders, if asked for, take each part as one row.
+    """
     spark = b.segments.sparkSession
-    names = spark.createDataFrame([(i, s) for i, s in enumerate(SECTIONS[:4])], "section_ord int, section string")
-    sizes = section_sizes(b)
-    streams = names.join(concatenated(section_pieces(b)), F.col("section") == F.col("stream"), "left").select(F.col("section").alias("stream"), F.coalesce("data", F.lit("").cast("binary")).alias("data"))
-    coded = coders.stream_costs(streams, list(orders), external)
-    two = sizes.select("section", F.lit(0).alias("coder_ord"), F.lit("2bit").alias("coder"), F.col("twobit_bits").alias("bits"))
-    rows = two.union(coded.select(F.col("stream").alias("section"), "coder_ord", "coder", "bits"))
+    names = spark.range(1).select(F.posexplode(F.array(*(F.lit(x) for x in SECTIONS[:4]))).alias("section_ord", "section"))
+    sizes, pieces = section_sizes(b), section_pieces(b)
+    rows = sizes.select("section", F.lit(0).alias("coder_ord"), F.lit("2bit").alias("coder"), F.col("twobit_bits").alias("bits"))
+    rows = rows.union(coded(names, pieces.withColumnRenamed("section", "stream"), orders))
+    if external:
+        streams = names.join(concatenated(pieces), F.col("section") == F.col("stream"), "left").select(F.col("section").alias("stream"), F.coalesce("data", F.lit("").cast("binary")).alias("data"))
+        rows = rows.union(coders.stream_costs(streams, [], True).select("stream", F.col("coder_ord") + len(orders), "coder", "bits"))
     rows = rows.withColumn("coder", F.when(F.col("section") == "repeats", F.concat(F.lit("literal-"), F.col("coder"))).otherwise(F.col("coder")))
-    put = literals(b).select(F.lit("put").alias("section"), F.col("node_id").alias("ord"), F.col("put").alias("seq"))
-    stream = spark.createDataFrame([("put",)], "name string").join(concatenated(put), F.col("name") == F.col("stream"), "left").select(F.col("name").alias("stream"), F.coalesce("data", F.lit("").cast("binary")).alias("data"))
-    factored = coders.stream_costs(stream, [max(orders)], False).crossJoin(instance_entries(b).agg(F.count("*").alias("n")))
-    rows = rows.union(factored.select(F.lit("repeats").alias("section"), F.lit(99).alias("coder_ord"), F.lit("dict-factored").alias("coder"), (F.col("bits") + INSTANCE_BITS * F.col("n")).alias("bits")))
+    put = literals(b).select(F.lit("put").alias("stream"), F.col("node_id").alias("ord"), F.col("put").alias("seq"))
+    factored = coded(spark.range(1).select(F.lit("put").alias("section")), put, (max(orders),)).crossJoin(instance_entries(b).agg(F.count("*").alias("n")))
+    rows = rows.union(factored.select(F.lit("repeats"), F.lit(99), F.lit("dict-factored"), F.col("bits") + INSTANCE_BITS * F.col("n")))
     shared = rows.join(names, "section").join(sizes.select("section", "bases"), "section").select("section_ord", "section", "bases", "coder_ord", "coder", "bits")
-    raw = walks_raw(b).select(F.lit(4).alias("section_ord"), F.lit("walks").alias("section"), F.col("steps").alias("bases"), F.lit(0).alias("coder_ord"), F.lit("raw").alias("coder"), "bits")
-    walked = coders.stream_costs(walk_stream(b), list(orders), external).crossJoin(walks_raw(b).select("steps"))
-    return shared.union(raw).union(walked.select(F.lit(4), F.lit("walks"), "steps", "coder_ord", "coder", "bits"))
+    one = walks_raw(b)
+    walk = spark.range(1).select(F.lit("walks").alias("section"))
+    walked = one.select(F.lit("walks").alias("section"), F.lit(0).alias("coder_ord"), F.lit("raw").alias("coder"), "bits").union(coded(walk, walk_pieces(b), orders))
+    if external:
+        whole = walk.join(walk_stream(b), F.col("section") == F.col("stream"), "left").select(F.col("section").alias("stream"), F.coalesce("data", F.lit("").cast("binary")).alias("data"))
+        walked = walked.union(coders.stream_costs(whole, [], True).select("stream", F.col("coder_ord") + len(orders), "coder", "bits"))
+    return shared.union(walked.crossJoin(one.select("steps")).select(F.lit(4), "section", "steps", "coder_ord", "coder", "bits"))
 
 
 def baselines(b: Bundle, orders: tuple[int, ...] = ORDERS, external: bool = True) -> DataFrame:
-    """(ord, name, bits): the cohort spelled out, without a graph."""
-    spelled = spell(b).filter("seq is not null")
-    cohort = concatenated(spelled.select(F.lit("cohort").alias("section"), F.col("walk_idx").alias("ord"), "seq"))
-    top = max(orders)
-    out = twobit(spelled).select(F.lit(0).alias("ord"), F.lit("2bit_percopy").alias("name"), "bits")
-    out = out.union(shannon(spelled).select(F.lit(1), F.lit("shannon0"), F.round(F.col("symbols") * F.col("bits_per_symbol")).cast("long")))
-    out = out.union(coders.stream_costs(cohort, [top], False).select(F.lit(2), F.lit(f"order{top}_concat_nograph"), "bits"))
+    """(ord, name, bits): the cohort spelled out, without a graph. Walks that name a missing segment are left out.
+
+    All but percopy_xz are sums over steps or ranges of steps; that one, if asked for, takes each walk as one row.
+    """
+    pieces, top = spelled_pieces(b), max(orders)
+    out = twobit(pieces).select(F.lit(0).alias("ord"), F.lit("2bit_percopy").alias("name"), "bits")
+    out = out.union(shannon(pieces).select(F.lit(1), F.lit("shannon0"), F.round(F.col("symbols") * F.col("bits_per_symbol")).cast("long")))
+    cohort = pieces.select(F.lit("cohort").alias("stream"), F.struct("walk_idx", "step_idx").alias("ord"), "seq")
+    whole = coded(b.segments.sparkSession.range(1).select(F.lit("cohort").alias("section")), cohort, (top,))
+    out = out.union(whole.select(F.lit(2), F.lit(f"order{top}_concat_nograph"), "bits"))
     if external:
-        each = coders.stream_costs(spelled.select(F.col("walk_idx").cast("string").alias("stream"), F.col("seq").cast("binary").alias("data")), [], True).filter("coder = 'xz'")
+        spelled = spell(b).filter("seq is not null")
+        each = coders.xz_costs(spelled.select(F.col("walk_idx").cast("string").alias("stream"), F.col("seq").cast("binary").alias("data")))
         out = out.union(each.agg(F.lit(3), F.lit("percopy_xz"), F.coalesce(F.sum("bits"), F.lit(0))))
     return out
 

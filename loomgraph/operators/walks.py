@@ -37,6 +37,12 @@ def spell_chunks(b: Bundle) -> DataFrame:
     return joined.select("walk_idx", "step_idx", F.coalesce(F.sum(F.coalesce("len", F.lit(0))).over(before), F.lit(0)).alias("at"), S.oriented("seq", "strand").alias("seq"))
 
 
+def spelled_pieces(b: Bundle) -> DataFrame:
+    """(walk_idx, step_idx, seq): the steps' oriented sequences, of walks without a missing segment."""
+    joined = b.steps.join(b.segments.select("node_id", "seq"), "node_id").select("walk_idx", "step_idx", S.oriented("seq", "strand").alias("seq"))
+    return joined.join(unspellable(b).select("walk_idx").distinct(), "walk_idx", "left_anti")
+
+
 def walk_by_name(walks: DataFrame) -> DataFrame:
     """The first walk of each name."""
     return walks.groupBy("name").agg(F.min("walk_idx").alias("walk_idx"))

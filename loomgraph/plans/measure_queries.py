@@ -62,7 +62,7 @@ def _totals(s, d):
 
 
 def _baselines(s, d):
-    sp = walks.spell(orders(s, d)).filter("seq is not null")
+    sp = walks.spelled_pieces(orders(s, d))
     two = measure.twobit(sp).select(F.lit("2bit_percopy").alias("name"), "bits")
     return two.union(measure.shannon(sp).select(F.lit("shannon0"), F.round(F.col("symbols") * F.col("bits_per_symbol")).cast("long")))
 
@@ -91,6 +91,13 @@ def _exact(s, d):
     return coders.stream_costs(_blobs(s, d), list(ORDERS), False)
 
 
+def _internal(s, d):
+    """The adaptive coder's costs of the sections, found by ranges: as the coder's rows, which hold no empty sections."""
+    costs = measure.order_costs(measure.section_pieces(_bundle(s, d)).withColumnRenamed("section", "stream"), list(measure.ORDERS))
+    at = F.element_at(F.create_map(*(F.lit(x) for i, k in enumerate(measure.ORDERS, 1) for x in (k, i))), F.col("order"))
+    return costs.select("stream", at.alias("coder_ord"), F.concat(F.lit("order-"), F.col("order").cast("string")).alias("coder"), "bits")
+
+
 def _structural(s, d):
     return measure.structural(plain_ranks(s, d)).select("distinct_bases", "backbone_bases", F.round("added_share", 8).alias("added_share"))
 
@@ -113,6 +120,8 @@ QUERIES = {
     "m3_exact_coder": (_exact, None),
     "m4_round_trip": (lambda s, d: coders.round_trips(_blobs(s, d), 4), None),
     "m5_order_cost": (lambda s, d: measure.order_cost(_streams(s, d), 4), None),
+    "m5_one_stream": (lambda s, d: measure.order_costs(_streams(s, d).withColumn("stream", F.lit("all")), [*measure.ORDERS]), None),
+    "m9_walk_costs": (lambda s, d: measure.order_costs(measure.walk_pieces(orders(s, d)), [*ORDERS]), None),
     "m6_external": (lambda s, d: coders.stream_costs(_blobs(s, d), [], True), None),
     "m7_sections": (lambda s, d: measure.section_sizes(_bundle(s, d)), _BUNDLE + f"SELECT section, CAST(sum(strlen(seq)) AS BIGINT) AS bases, CAST(sum({Q.twobit('seq')}) AS BIGINT) AS twobit_bits FROM sec GROUP BY 1"),
     "m8_literals": (
@@ -121,7 +130,7 @@ QUERIES = {
 pr AS (SELECT *, len(list_filter(range(1, least(length(ref), length(target)) + 1), lambda i: substr(ref, 1, CAST(i AS INTEGER)) = substr(target, 1, CAST(i AS INTEGER)))) AS prefix FROM cn), rs AS (SELECT *, substr(ref, prefix + 1) AS r2, substr(target, prefix + 1) AS t2 FROM pr)
 SELECT count(*) AS instances, CAST(sum(length(t2) - len(list_filter(range(1, least(length(r2), length(t2)) + 1), lambda i: right(r2, CAST(i AS INTEGER)) = right(t2, CAST(i AS INTEGER))))) AS BIGINT) AS literal_bases FROM rs""",
     ),
-    "m8_results": (lambda s, d: measure.results(_bundle(s, d)), None),
+    "m8_results": (lambda s, d: measure.results(_bundle(s, d), external=False), None),
     "m9_walk_bits": (lambda s, d: measure.walks_raw(orders(s, d)), Q.ORDERS + f", z AS (SELECT {_ZZ} AS z FROM (SELECT node_id - lag(node_id, 1, 0) OVER (PARTITION BY walk_idx ORDER BY step_idx) AS v FROM st WHERE walk_idx NOT IN (SELECT walk_idx FROM bbw))) SELECT (SELECT count(*) FROM st) AS steps, CAST(sum(8 * (1 + CASE WHEN z < 128 THEN 1 WHEN z < 16384 THEN 2 WHEN z < 2097152 THEN 3 WHEN z < 268435456 THEN 4 ELSE 5 END)) AS BIGINT) AS bits FROM z"),
     "m10_best": (lambda s, d: measure.best(_coder_rows(s, d)), _CODERS + "SELECT section, best_coder, best_bits FROM best"),
     "m11_totals": (_totals, _CODERS + "SELECT (SELECT CAST(sum(p_size) AS BIGINT) FROM part) AS total_bases, CAST(sum(best_bits) AS BIGINT) AS total_bits, round(sum(best_bits) / CAST((SELECT sum(p_size) FROM part) AS DOUBLE), 8) AS bits_per_char FROM best"),
@@ -135,7 +144,7 @@ SELECT count(*) AS instances, CAST(sum(length(t2) - len(list_filter(range(1, lea
         lambda s, d: _totals(s, d).crossJoin(measure.baseline(_named(s, d), "N_1")).select(F.when(F.col("total_bits") > 0, F.round(F.col("bits") / F.col("total_bits"), 10)).alias("reduction")),
         _CODERS + "SELECT round((SELECT first(n_nationkey * 17 + 3 ORDER BY n_nationkey) FROM nation WHERE contains(n_name, 'N_1')) / CAST(sum(best_bits) AS DOUBLE), 10) AS reduction FROM best",
     ),
-    "m18_internal": (lambda s, d: coders.stream_costs(measure.concatenated(measure.section_pieces(_bundle(s, d))), list(measure.ORDERS), False), None),
+    "m18_internal": (_internal, None),
     "m19_structural": (_structural, _SGONLY + "r AS (SELECT strlen(seq) AS len, p_size % 4 AS rank FROM sg JOIN part ON p_partkey = node_id), t AS (SELECT CAST(sum(len) AS BIGINT) AS distinct_bases, CAST(sum(CASE WHEN rank = 0 THEN len END) AS BIGINT) AS backbone_bases FROM r) SELECT *, round((distinct_bases - backbone_bases) / CAST(backbone_bases AS DOUBLE), 8) AS added_share FROM t"),
     "c_rollup": (
         lambda s, d: measure.best(_coder_rows(s, d)).rollup("section").agg(F.sum("best_bits").alias("bits")).select(F.coalesce("section", F.lit("TOTAL")).alias("section"), "bits"),
