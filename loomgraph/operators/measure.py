@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
 from ..functions import sequence as S
+from ..workspace import neighbour
 from . import coders
 from .adaptive import order_cost, order_costs
 from .walks import backbone_nodes, instance_entries, other_segments, spell, spelled_pieces
@@ -72,8 +73,8 @@ def concatenated(pieces: DataFrame, key: str = "section") -> DataFrame:
 def walk_deltas(b: Bundle) -> DataFrame:
     """(walk_idx, step_idx, code, strand): node ids of all but the backbone walk as zigzag differences."""
     rest = b.steps.join(b.walks.filter("is_backbone").select("walk_idx"), "walk_idx", "left_anti")
-    before = F.lag("node_id", 1, 0).over(Window.partitionBy("walk_idx").orderBy("step_idx"))
-    return rest.select("walk_idx", "step_idx", S.zigzag(F.col("node_id") - before).alias("code"), "strand")
+    before = F.coalesce("before", F.lit(0))
+    return neighbour(rest, "walk_idx", "step_idx", {"node_id": "before"}, -1).select("walk_idx", "step_idx", S.zigzag(F.col("node_id") - before).alias("code"), "strand")
 
 
 def walks_raw(b: Bundle) -> DataFrame:

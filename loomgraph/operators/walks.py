@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
 from ..functions import sequence as S
+from ..workspace import neighbour, running
 
 
 def segment_bases(segments: DataFrame) -> DataFrame:
@@ -33,8 +34,7 @@ def spell(b: Bundle) -> DataFrame:
 def spell_chunks(b: Bundle) -> DataFrame:
     """(walk_idx, step_idx, at, seq): walks of any length, a row a step with its offset."""
     joined = b.steps.join(b.segments.select("node_id", "seq", "len"), "node_id", "left")
-    before = Window.partitionBy("walk_idx").orderBy("step_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select("walk_idx", "step_idx", F.coalesce(F.sum(F.coalesce("len", F.lit(0))).over(before), F.lit(0)).alias("at"), S.oriented("seq", "strand").alias("seq"))
+    return running(joined, "walk_idx", "step_idx", F.col("len"), "at").select("walk_idx", "step_idx", "at", S.oriented("seq", "strand").alias("seq"))
 
 
 def spelled_pieces(b: Bundle) -> DataFrame:
@@ -67,15 +67,13 @@ def instance_entries(b: Bundle) -> DataFrame:
 def backbone_offsets(b: Bundle) -> DataFrame:
     """(node_id, bb_offset): a node's first place on the backbone. The sum runs on over nodes that come again."""
     joined = b.backbone_steps.join(b.segments.select("node_id", "len"), "node_id", "left")
-    before = Window.partitionBy("walk_idx").orderBy("step_idx").rowsBetween(Window.unboundedPreceding, -1)
-    placed = joined.withColumn("at", F.coalesce(F.sum(F.coalesce("len", F.lit(0))).over(before), F.lit(0)))
+    placed = running(joined, "walk_idx", "step_idx", F.col("len"), "at")
     return placed.groupBy("node_id").agg(F.min("at").alias("bb_offset"))
 
 
 def step_pairs(steps: DataFrame) -> DataFrame:
     """(walk_idx, step_idx, a, a_strand, b, b_strand): neighbouring steps of the walks."""
-    w = Window.partitionBy("walk_idx").orderBy("step_idx")
-    nxt = steps.select("walk_idx", "step_idx", F.col("node_id").alias("a"), F.col("strand").alias("a_strand"), F.lead("node_id").over(w).alias("b"), F.lead("strand").over(w).alias("b_strand"))
+    nxt = neighbour(steps.select("walk_idx", "step_idx", F.col("node_id").alias("a"), F.col("strand").alias("a_strand")), "walk_idx", "step_idx", {"a": "b", "a_strand": "b_strand"})
     return nxt.filter(F.col("b_strand").isNotNull())
 
 
@@ -86,15 +84,41 @@ def adjacency(b: Bundle) -> DataFrame:
     return walked.union(edged).groupBy("a", "b").agg(F.min("ord").alias("ord"))
 
 
+def membership(steps: DataFrame) -> DataFrame:
+    """(node_id, block, bits): the walks through each node, 64 of them a row: bit i of a block stands for walk 64 * block + i.
+
+    One bit a walk is set on the map side already, so a node of all walks costs a row a block in each task.
+    """
+    walk = F.col("walk_idx")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(walk, F.lit(64)).cast("int"))
+    return steps.groupBy("node_id", F.floor(walk / 64).alias("block")).agg(F.bit_or(bit).alias("bits"))
+
+
+def members(block: Column, bits: Column) -> Column:
+    """The walks of a block's bits, ascending."""
+    at = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(bits, i) == 1)
+    return F.transform(at, lambda i: block * 64 + i)
+
+
+def walks_through_both(member: DataFrame, pairs: DataFrame) -> DataFrame:
+    """membership(), pairs (a, b): (a, b, n), how many walks go through both nodes; pairs that share none are left out."""
+    one, two = (member.select(F.col("node_id").alias(x), "block", F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    met = pairs.join(one, "a").join(two, ["b", "block"])
+    shared = met.withColumn("n", F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b")))).filter("n > 0")
+    return shared.groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def node_walks(steps: DataFrame) -> DataFrame:
-    """(node_id, walks): the walks through each node, in order."""
-    return steps.groupBy("node_id").agg(F.array_sort(F.collect_set("walk_idx")).alias("walks"))
+    """(node_id, walks): the walks through each node, in order, as one array a node; membership() is the form without it."""
+    per = membership(steps).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("block", "bits"))).alias("x"))
+    return per.select("node_id", F.flatten(F.transform("x", lambda x: members(x["block"], x["bits"]))).alias("walks"))
 
 
 def haplotypes(b: Bundle, nodes: DataFrame) -> DataFrame:
-    """(node_id, haplotypes): sample names of the walks through the given nodes, in walk order."""
-    through = b.steps.join(nodes.select("node_id").distinct(), "node_id", "left_semi").select("node_id", "walk_idx").distinct()
-    named = through.join(b.walks, "walk_idx").select("node_id", F.struct("walk_idx", S.sample("name").alias("s")).alias("x"))
+    """(node_id, haplotypes): sample names of the walks through the given nodes, in walk order, as one array a node."""
+    through = membership(b.steps.join(nodes.select("node_id").distinct(), "node_id", "left_semi"))
+    named = through.select("node_id", F.explode(members(F.col("block"), F.col("bits"))).alias("walk_idx")).join(b.walks, "walk_idx")
+    named = named.select("node_id", F.struct("walk_idx", S.sample("name").alias("s")).alias("x"))
     return named.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("haplotypes"))
 
 
@@ -135,8 +159,46 @@ def unspellable(b: Bundle) -> DataFrame:
     return b.steps.join(b.segments.select("node_id"), "node_id", "left_anti").select("walk_idx", "step_idx", "node_id")
 
 
+#: Primes below 2 ** 31, whose products fit 64 bits, and a base for each. Fixed values.
+MODULI = (2_147_483_647, 2_147_483_629, 2_147_483_587)
+BASES = (1_103_515_245, 1_664_525_013, 1_812_433_253)
+#: Bits of a walk's greatest offset.
+OFFSET_BITS = 48
+
+
+def _rolled(text: Column) -> Column:
+    """For each modulus the sum of the text's bytes times the base to the power of their place."""
+    start = F.struct(*(F.lit(0).cast("long").alias(f"h{i}") for i in range(len(MODULI))))
+    step = lambda h, c: F.struct(*(((h[f"h{i}"] * F.lit(b) + F.ascii(c)) % F.lit(m)).alias(f"h{i}") for i, (b, m) in enumerate(zip(BASES, MODULI))))
+    return F.aggregate(F.filter(F.split(F.reverse(text), ""), lambda c: c != ""), start, step)
+
+
+def _power(base: int, modulus: int, exponent: Column) -> Column:
+    squares = F.array(*(F.lit(pow(base, 1 << k, modulus)).cast("long") for k in range(OFFSET_BITS)))
+    bit = lambda k: F.call_function("shiftright", exponent, k).bitwiseAND(F.lit(1)) == 1
+    return F.aggregate(F.sequence(F.lit(0), F.lit(OFFSET_BITS - 1)), F.lit(1).cast("long"), lambda p, k: F.when(bit(k), p * F.get(squares, k) % F.lit(modulus)).otherwise(p))
+
+
+def digests(b: Bundle) -> DataFrame:
+    """(walk_idx, bases, h0, h1, h2): length and polynomial hashes of the text that a walk spells, null if a segment is missing.
+
+    A segment is hashed once on each strand. A step adds its hash times the base to the power of its offset, so a walk's sum
+    takes its steps in any order and its text is never built; the same text by other segments has the same hashes. Two
+    texts of a length n that differ agree in all three with a chance of about (n / 2 ** 31) ** 3 at most.
+    """
+    names = [f"h{i}" for i in range(len(MODULI))]
+    strands = b.segments.select("node_id", F.char_length("seq").alias("n"), F.explode(F.array(*(F.struct(F.lit(s).alias("strand"), _rolled(S.oriented("seq", F.lit(s))).alias("h")) for s in "+-"))).alias("x"))
+    strands = strands.select("node_id", "n", "x.strand", *(F.col(f"x.h.{n}").alias(n) for n in names))
+    turned = b.steps.select("walk_idx", "step_idx", "node_id", F.when(F.col("strand") == "-", "-").otherwise("+").alias("strand"))
+    placed = running(turned.join(strands, ["node_id", "strand"], "left"), "walk_idx", "step_idx", F.col("n"), "at")
+    parts = [F.sum(F.col(n) * _power(base, m, F.col("at")) % F.lit(m)).alias(n) for n, base, m in zip(names, BASES, MODULI)]
+    per = placed.groupBy("walk_idx").agg(F.sum("n").alias("bases"), F.bool_or(F.col("h0").isNull()).alias("missing"), *parts)
+    return per.select("walk_idx", F.when(~F.col("missing"), F.col("bases")).alias("bases"), *(F.when(~F.col("missing"), F.col(n) % F.lit(m)).alias(n) for n, m in zip(names, MODULI)))
+
+
 def mismatches(b: Bundle, source: Bundle) -> DataFrame:
-    """(name): walks that the source spells otherwise; walks that it lacks are skipped, first of a name counts."""
-    ours = spell(b).join(b.walks, "walk_idx").select("name", F.col("seq").alias("ours"))
-    theirs = spell(source).join(walk_by_name(source.walks), "walk_idx").select("name", F.col("seq").alias("theirs"))
-    return ours.join(theirs, "name").filter(~F.col("ours").eqNullSafe(F.col("theirs"))).select("name").distinct()
+    """(name): walks that the source spells otherwise, by their digests; walks that it lacks are skipped, first of a name counts."""
+    digest = F.struct("bases", *(f"h{i}" for i in range(len(MODULI))))
+    ours = digests(b).join(b.walks, "walk_idx").select("name", digest.alias("ours"))
+    theirs = digests(source).join(walk_by_name(source.walks), "walk_idx").select("name", digest.alias("theirs"))
+    return ours.join(theirs, "name").filter(F.col("ours") != F.col("theirs")).select("name").distinct()

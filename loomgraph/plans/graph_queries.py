@@ -86,10 +86,26 @@ _VERIFIED = Q.ORDERS + """, s97 AS (SELECT * FROM sg WHERE node_id % 97 <> 0) SE
 UNION ALL SELECT 'differences', 0 UNION ALL SELECT 'unspellable', count(DISTINCT walk_idx) FROM st WHERE node_id NOT IN (SELECT node_id FROM s97)"""
 
 
+def _through_both(s, d):
+    """Neighbours of any walk, and how many walks go through both of them, next to one another or not."""
+    b = orders(s, d)
+    pairs = walks.adjacency(b).filter("a < b").select("a", "b")
+    return walks.walks_through_both(walks.membership(b.steps), pairs)
+
+
+def _rolled(i):
+    codes = "list_transform(string_split(reverse(seq), ''), lambda c: CAST(unicode(c) AS BIGINT))"
+    return f"CASE WHEN seq = '' THEN 0 ELSE list_reduce({codes}, lambda a, c: (a * {walks.BASES[i]} + c) % {walks.MODULI[i]}) END AS h{i}"
+
+
+_DIGESTS = Q.ORDERS + f", sp AS (SELECT walk_idx, string_agg(CASE WHEN strand = '-' THEN {Q.rc('seq')} ELSE seq END, '' ORDER BY step_idx) AS seq FROM st JOIN sg USING (node_id) GROUP BY 1) SELECT walk_idx, length(seq) AS bases, {_rolled(0)}, {_rolled(1)}, {_rolled(2)} FROM sp"
+
 QUERIES = {
     "g1_segment_bases": (lambda s, d: walks.segment_bases(corpus(s, d).segments), Q.CORPUS + "SELECT CAST(sum(len) AS BIGINT) AS segment_bases FROM sg"),
     "g2_walk_length": (lambda s, d: walks.walk_lengths(corpus(s, d)), Q.CORPUS + "SELECT walk_idx, count(*) AS steps, CAST(sum(coalesce(len, 0)) AS BIGINT) AS bases FROM st LEFT JOIN sg USING (node_id) GROUP BY 1"),
     "g3_spell": (_spelled, Q.CORPUS + f", sp AS (SELECT walk_idx, string_agg(CASE WHEN strand = '-' THEN {Q.rc('seq')} ELSE seq END, '' ORDER BY step_idx) AS seq FROM st LEFT JOIN sg USING (node_id) GROUP BY 1) SELECT walk_idx, CAST(length(seq) AS INTEGER) AS n, md5(seq) AS digest FROM sp"),
+    "g3_chunks": (lambda s, d: walks.spell_chunks(corpus(s, d)).select("walk_idx", "step_idx", "at", F.md5("seq").alias("digest")), Q.CORPUS + f"SELECT walk_idx, step_idx, CAST(coalesce(sum(len) OVER (PARTITION BY walk_idx ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at, md5(CASE WHEN strand = '-' THEN {Q.rc('seq')} ELSE seq END) AS digest FROM st JOIN sg USING (node_id)"),
+    "g3_digests": (lambda s, d: walks.digests(orders(s, d)), _DIGESTS),
     "g4_walk_by_name": (lambda s, d: walks.walk_by_name(table(s, d, "documents").select(F.col("doc_id").alias("walk_idx"), F.concat("source", F.lit("#"), "lang").alias("name"))), "SELECT source || '#' || lang AS name, min(doc_id) AS walk_idx FROM documents GROUP BY 1"),
     "g5_backbone_nodes": (lambda s, d: walks.backbone_nodes(corpus(s, d)), Q.CORPUS + "SELECT DISTINCT node_id FROM bb"),
     "g6_other_segments": (lambda s, d: walks.other_segments(_with_instances(s, d)).select("node_id", "len"), Q.CORPUS + ", ins AS (SELECT DISTINCT node_id FROM st JOIN labels ON doc_id = walk_idx WHERE quality = 0) SELECT node_id, len FROM sg WHERE node_id NOT IN (SELECT node_id FROM bb) AND node_id NOT IN (SELECT node_id FROM ins)"),
@@ -98,6 +114,7 @@ QUERIES = {
     "g9_adjacency": (lambda s, d: walks.adjacency(orders(s, d)).select("a", "b", "ord.i", "ord.j"), Q.ORDERS + "SELECT a, b, f.walk_idx AS i, f.step_idx AS j FROM (SELECT a, b, min({'walk_idx': walk_idx, 'step_idx': step_idx}) AS f FROM prs GROUP BY 1, 2)"),
     "g10_edge_adjacency": (lambda s, d: walks.adjacency(_only_edges(s, d)).select("a", "b", "ord.kind", "ord.i"), Q.ORDERS + "SELECT from_id AS a, to_id AS b, 1 AS kind, min(edge_idx) AS i FROM ed GROUP BY 1, 2"),
     "g11_node_walks": (lambda s, d: walks.node_walks(orders(s, d).steps).select("node_id", F.size("walks").alias("n"), F.array_join(F.col("walks").cast("array<string>"), ",").alias("walks")), Q.ORDERS + "SELECT node_id, CAST(count(*) AS INTEGER) AS n, string_agg(walk_idx, ',' ORDER BY walk_idx) AS walks FROM (SELECT DISTINCT node_id, walk_idx FROM st) GROUP BY 1"),
+    "g11_walks_through_both": (_through_both, Q.ORDERS + "SELECT a, b, count(*) AS n FROM (SELECT DISTINCT a, b FROM adj WHERE a < b) JOIN (SELECT DISTINCT walk_idx, node_id AS a FROM st) USING (a) JOIN (SELECT DISTINCT walk_idx, node_id AS b FROM st) USING (b, walk_idx) GROUP BY 1, 2"),
     "g12_haplotypes": (lambda s, d: walks.haplotypes(orders(s, d), orders(s, d).segments).select("node_id", F.array_join("haplotypes", ",").alias("haplotypes")), Q.ORDERS + "SELECT node_id, string_agg('order#' || walk_idx, ',' ORDER BY walk_idx) AS haplotypes FROM (SELECT DISTINCT node_id, walk_idx FROM st JOIN sg USING (node_id)) GROUP BY 1"),
     "g13_chain_edges": (lambda s, d: orders(s, d, True).edges, Q.ORDERS + "SELECT edge_idx, from_id, from_strand, to_id, to_strand FROM ed"),
     "g14_anchors": (lambda s, d: traverse.anchors(orders(s, d)), None),

@@ -70,3 +70,35 @@ def ordinals(df: DataFrame, order: list[str], out: str) -> DataFrame:
     counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     counts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return rows.join(counts, "_part").withColumn(out, F.col("_base") + F.col("_row")).drop("_part", "_row", "_base")
+
+
+#: Rows of a run that one task has in order; longer runs are cut into blocks of so many places.
+BLOCK = 4_096
+
+
+def running(df: DataFrame, key: str, place: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
+    """Adds `out`: the sum of the value over the rows of the same key at earlier places, 0 for the first.
+
+    A key's rows are cut into blocks of places. Each block sums its own rows; only the blocks' sums of a key meet in one task.
+    """
+    rows = df.withColumn("_value", F.coalesce(value, F.lit(0))).withColumn("_block", F.floor(F.col(place) / block))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(key, "_block").agg(F.sum("_value").alias("_sum")).select(key, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(key, "_block").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    return rows.join(sums, [key, "_block"]).withColumn(out, F.col("_base") + F.col("_own")).drop("_value", "_block", "_own", "_base")
+
+
+def neighbour(df: DataFrame, key: str, place: str, of: dict[str, str], step: int = 1, block: int = BLOCK) -> DataFrame:
+    """Adds columns of the row of the same key at the next place (step 1) or the one before (-1), null where there is none.
+
+    of: new names by column. Places are 0, 1, 2 and so on without gaps. A key's rows are cut into blocks of places, and the row that the
+    neighbouring block needs is sent to both, so no task has more than a block of a key in order.
+    """
+    edge = F.col(place) % block == (0 if step > 0 else block - 1)
+    own = F.floor(F.col(place) / block)
+    rows = df.withColumn("_block", F.explode(F.when(edge, F.array(own, own - step)).otherwise(F.array(own))))
+    w = Window.partitionBy(key, "_block").orderBy(place)
+    for column, name in of.items():
+        rows = rows.withColumn(name, F.lead(column, step).over(w) if step > 0 else F.lag(column, -step).over(w))
+    return rows.filter(F.col("_block") == own).drop("_block")

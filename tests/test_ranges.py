@@ -94,3 +94,70 @@ def test_sections_and_walks_cost_as_in_one_row(spark):
 def test_xz_with_a_small_dictionary():
     for data in (b"", b"A", b"ACGT" * 5000, bytes(range(256)) * 300):
         assert coders.xz_bits(data) == coders.external_costs(data)["xz"]
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 4096])
+def test_running_sums_and_neighbours_over_blocks(spark, block):
+    from loomgraph.workspace import neighbour, running
+
+    r = random.Random(block)
+    sizes = {1: 20, 2: 1, 3: 7, 4: 8, 5: 300}
+    rows = [(w, i, r.choice([None, *range(9)])) for w, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "walk_idx LONG, step_idx LONG, v LONG").repartition(4)
+    got = {(x["walk_idx"], x["step_idx"]): x["at"] for x in running(df, "walk_idx", "step_idx", F.col("v"), "at", block).collect()}
+    assert got == {(w, i): sum(v or 0 for a, j, v in rows if a == w and j < i) for w, i, _ in rows}
+    value = {(w, i): v for w, i, v in rows}
+    for step in (1, -1):
+        out = neighbour(df, "walk_idx", "step_idx", {"v": "other", "step_idx": "at"}, step, block).collect()
+        assert len(out) == len(rows)
+        assert all((x["other"], x["at"]) == (value.get((x["walk_idx"], x["step_idx"] + step)), x["step_idx"] + step if (x["walk_idx"], x["step_idx"] + step) in value else None) for x in out)
+
+
+def graph(spark, segments, walked):
+    from loomgraph.bundle import Bundle
+
+    steps = [(w, i, int(s[1:]), s[0]) for w, ss in enumerate(walked) for i, s in enumerate(ss.split())]
+    return Bundle.of(
+        spark,
+        segments=spark.createDataFrame([(k, s, len(s)) for k, s in segments.items()], "node_id LONG, seq STRING, len LONG"),
+        steps=spark.createDataFrame(steps, "walk_idx LONG, step_idx LONG, node_id LONG, strand STRING"),
+        walks=spark.createDataFrame([(w, f"walk{w}", w == 0) for w in range(len(walked))], "walk_idx LONG, name STRING, is_backbone BOOLEAN"),
+    )
+
+
+def test_walks_are_compared_without_their_text(spark):
+    from loomgraph.operators import walks
+
+    a = graph(spark, {1: "ACGTTGCA", 2: "GG", 3: "TTA", 4: ""}, ["+1 +2 -3", "+1 +2 -3", "+1 +2 -3", "+2 +3 +1", "-1 -2", "+4 +1 +9", "+4", "+4", "+1 -9"])
+    # Cut otherwise, one base, order, strand, the same once more, missing in both, empty both, not empty, missing in one.
+    b = graph(spark, {1: "ACGT", 2: "TGCAG", 3: "GTAA", 4: "ACGTTGCT", 5: "GG", 6: "TTA", 7: "ACGTTGCA", 8: ""}, ["+1 +2 +3", "+4 +5 -6", "+7 -6 +5", "+5 -6 +7", "-7 -5", "+9", "+8", "+5", "+7"])
+    assert {x["name"] for x in walks.mismatches(a, b).collect()} == {"walk1", "walk2", "walk3", "walk7", "walk8"}
+    assert walks.mismatches(a, a).count() == 0
+    assert {x["walk_idx"]: x["bases"] for x in walks.digests(a).collect()} == {0: 13, 1: 13, 2: 13, 3: 13, 4: 10, 5: None, 6: 0, 7: 0, 8: None}
+
+
+def test_digest_of_a_long_walk(spark):
+    """One walk of many blocks of steps has the digest of its text."""
+    from loomgraph.operators import walks
+
+    r = random.Random(5)
+    segments = {k: "".join(r.choice("ACGT") for _ in range(r.randint(1, 9))) for k in range(50)}
+    path = [(r.choice("+-"), r.randrange(50)) for _ in range(10_000)]
+    back = str.maketrans("ACGT", "TGCA")
+    text = "".join(segments[k] if s == "+" else segments[k][::-1].translate(back) for s, k in path)
+    got = walks.digests(graph(spark, segments, [" ".join(f"{s}{k}" for s, k in path)])).first()
+    assert got["bases"] == len(text)
+    for i, (base, m) in enumerate(zip(walks.BASES, walks.MODULI)):
+        assert got[f"h{i}"] == sum(ord(c) * pow(base, j, m) for j, c in enumerate(text)) % m
+
+
+def test_a_node_of_all_walks_is_spread_over_blocks(spark):
+    from loomgraph.operators import walks
+
+    n = 1000
+    steps = spark.range(n).select(F.col("id").alias("walk_idx"), F.explode(F.array(F.lit(7), F.lit(7), F.when(F.col("id") % 3 == 0, 8), F.when(F.col("id") == 999, 9)).cast("array<bigint>")).alias("node_id")).filter("node_id is not null")
+    member = walks.membership(steps)
+    assert member.filter("node_id = 7").count() == -(-n // 64)
+    assert {x["node_id"]: x["walks"] for x in walks.node_walks(steps).collect()} == {7: [*range(n)], 8: [*range(0, n, 3)], 9: [999]}
+    pairs = spark.createDataFrame([(7, 8), (8, 9), (7, 7), (7, 5)], "a LONG, b LONG")
+    assert {(x["a"], x["b"]): x["n"] for x in walks.walks_through_both(member, pairs).collect()} == {(7, 8): 334, (8, 9): 1, (7, 7): 1000}
