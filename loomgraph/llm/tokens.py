@@ -106,7 +106,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         assert self.tokenizer.get_vocab_size() <= 1 << 16
         self.bare = Tokenizer(self.tokenizer.model)
         self.pieces = Pieces(self.tokenizer.pre_tokenizer)
@@ -156,16 +156,27 @@ class Encoder:
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids as uint16, offsets): the ids of text i and then `end` are ids[offsets[i]:offsets[i + 1]].
 
-        The many short byte strings hold no cycles, so the cycle collector, which would go through them again and again,
-        waits.
+        A text that spells an added token out goes to the library whole, as only the library says what becomes of it. The
+        many short byte strings hold no cycles, so the cycle collector, which would go through them again and again, waits.
         """
+        spelled = np.zeros(len(texts), bool)
+        for t in self.added:
+            spelled |= pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)
         collecting = gc.isenabled()
         gc.disable()
         try:
-            return self._encode(texts, end)
+            if not spelled.any():
+                return self._encode(texts, end)
+            ids, offsets = self._encode(pc.if_else(pa.array(spelled), "", texts), end)
         finally:
             if collecting:
                 gc.enable()
+        at = np.flatnonzero(spelled)
+        own = [np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint16) for i in at.tolist()]
+        parts = [x for pair in zip(np.split(ids, offsets[at])[:-1], own) for x in pair] + [ids[offsets[at[-1]] :]]
+        more = np.zeros(len(texts), np.int64)
+        more[at] = [len(x) for x in own]
+        return np.concatenate(parts), offsets + np.append(0, np.cumsum(more))
 
     def _encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)

@@ -362,7 +362,6 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -371,6 +370,8 @@ def test_encoder_is_the_library():
     texts = ["", " ", "  a b", "a  b", "a \n b ", "it's we'll 12ab <|endoftext|> x", "é🙂 a\x00b c", "　 a", "x  y", None] + ["".join(r.choice(" ab,.\n1é'\t日!") for _ in range(r.randrange(50))) for _ in range(800)]
     texts += ["".join(r.choice(["'", "s", "re", "ll", "V", " ", "\n", "!", "7", "é", "\u2003", "\u0301"]) for _ in range(r.randrange(12))) for _ in range(3000)]
     texts += ["".join(chr(c) for c in range(a, a + 500) if not 0xD800 <= c < 0xE000) for a in range(0, 0x3500, 500)]
+    texts += ["<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext|", "x"]
+    assert 50256 in ids_of(texts)[5] and ids_of(["<|endoftext|>"]) == [[50256]]
     want = [x + [2] for x in ids_of(texts)]
     for most in (tokens.CACHE_PIECES, 100):
         e = tokens.Encoder(tokens.default_path(), most)
