@@ -22,9 +22,9 @@ import regex
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pieces that a worker keeps, in two generations; a bound on memory, which changes no result.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 #: Bytes of text that are cut at a time. Longer texts are cut before a space between letters, where pieces end anyway.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Pieces in one call of the library.
 CALL = 20_000
 _LETTER, _DIGIT, _OTHER, _SPACE, _UNKNOWN = 0, 1, 2, 3, 255
