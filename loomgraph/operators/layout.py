@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +32,27 @@ def positions(b: Bundle) -> DataFrame:
     return spine.union(rest.select("node_id", F.coalesce("anchor", F.lit(0)).alias("x"), "len", F.lit(False).alias("backbone")))
 
 
-def _first_fit(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = groups.sort_values(["x", "node_id"])
-    ends: list[int] = []
-    lanes = []
-    for x, stop in zip(rows["x"], rows["stop"]):
-        k = next((i for i, e in enumerate(ends) if e <= x), len(ends))
-        ends[k : k + 1] = [stop]
-        lanes.append(k)
-    return pd.DataFrame({"node_id": rows["node_id"], "k": lanes})
+def _first_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (island, node_id, x, stop) in order of island, x and node: (node_id, k), k the first lane that is free.
+
+    As x ascends, lanes come free in order of their ends; the free ones wait in order of their number. Both are heaps, so a
+    node costs the logarithm of the lanes, and only lanes are held, not nodes.
+    """
+    island, taken, free, lanes = None, [], [], 0
+    for b in batches:
+        out = []
+        for of, x, stop in zip(*(b.column(k).to_pylist() for k in (0, 2, 3))):
+            if of != island:
+                island, taken, free, lanes = of, [], [], 0
+            while taken and taken[0][0] <= x:
+                heapq.heappush(free, heapq.heappop(taken)[1])
+            if free:
+                k = heapq.heappop(free)
+            else:
+                k, lanes = lanes, lanes + 1
+            heapq.heappush(taken, (stop, k))
+            out.append(k)
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.int32())], ["node_id", "k"])
 
 
 def lanes(placed: DataFrame) -> DataFrame:
@@ -53,7 +66,8 @@ def lanes(placed: DataFrame) -> DataFrame:
     marked = before(ranged(variants, order), F.max, F.col("stop"), order, "top")
     marked = marked.withColumn("fresh", F.when(F.col("top").isNull() | (F.col("x") >= F.col("top")), 1).otherwise(0))
     marked = before(marked, F.sum, F.col("fresh"), order, "islands").withColumn("island", F.coalesce("islands", F.lit(0)) + F.col("fresh"))
-    packed = marked.select("node_id", "x", "stop", "island").groupBy("island").applyInPandas(lambda g: _first_fit(g), "node_id long, k int")
+    dealt = marked.select("island", "node_id", "x", "stop").repartition("island").sortWithinPartitions("island", "x", "node_id")
+    packed = dealt.mapInArrow(_first_fit, "node_id long, k int")
     out = placed.join(packed, "node_id", "left")
     return out.select("node_id", "x", "len", "backbone", F.when(F.col("backbone"), 0).otherwise(alternating(F.col("k"))).alias("lane"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
@@ -111,16 +111,54 @@ def query_json(b: Bundle, query: str, most: int, radius: int) -> DataFrame:
 
 
 def kmer_index(segments: DataFrame, k: int = 12) -> DataFrame:
-    """(kmer, node_id): distinct k-mers of each segment, for long needles; written once, it turns scans into joins."""
+    """(kmer, node_id, place): every place of every k-mer, 0-based."""
     at = F.when(F.char_length("seq") >= k, F.sequence(F.lit(1), F.char_length("seq") - (k - 1))).otherwise(F.array().cast("array<int>"))
-    return segments.select("node_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.substr("seq", i, F.lit(k))))).alias("kmer"))
+    rows = segments.select("node_id", F.posexplode(F.transform(at, lambda i: F.substr("seq", i, F.lit(k)))).alias("place", "kmer"))
+    return rows.select("kmer", "node_id", F.col("place").cast("long").alias("place"))
 
 
-def hits_by_index(segments: DataFrame, index: DataFrame, query: str, k: int = 12) -> DataFrame:
-    """hits() of a needle of k bases at least: only segments that hold a k-mer of it on either strand are read through."""
-    q, rc, _ = needles(query)
-    seeds = index.filter(F.col("kmer").isin(F.substr(q, F.lit(1), F.lit(k))) | F.col("kmer").isin(F.substr(rc, F.lit(1), F.lit(k))))
-    return hits(segments.join(seeds.select("node_id").distinct(), "node_id", "left_semi"), query)
+def write_index(segments: DataFrame, path: str, k: int = 12) -> None:
+    """The postings, sorted by k-mer so that a search reads the row groups of its own, and their number by k-mer."""
+    kmer_index(segments, k).repartitionByRange("kmer", "node_id").sortWithinPartitions("kmer", "node_id", "place").write.mode("overwrite").parquet(f"{path}/postings")
+    counts = segments.sparkSession.read.parquet(f"{path}/postings").groupBy("kmer").agg(F.count("*").alias("n"))
+    counts.repartitionByRange("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.schema("kmer STRING, node_id LONG, place LONG").parquet(f"{path}/postings"), spark.read.schema("kmer STRING, n LONG").parquet(f"{path}/counts")
 
 
-__all__ = ["hits", "count_matches", "matches", "translated", "subgraph_nodes", "subgraph_edges", "context", "query_json", "induced_edges", "kmer_index", "hits_by_index"]
+def hits_by_index(index: DataFrame, counts: DataFrame, query: str, k: int = 12, most: int | None = None) -> DataFrame:
+    """hits() of a needle of k bases at least, from postings alone.
+
+    K-mers that cover the needle have to lie at its offsets. The postings of the rarest of them are the candidates, so those
+    of the others only meet them, and no segment is read.
+    """
+    q, rc, same = index.sparkSession.range(1).select(*needles(query)).first()
+    if q and len(q) < k:
+        raise ValueError(f"the needle has fewer than {k} bases")
+    strands = [(0, q)] if same else [(0, q), (1, rc)]
+    cover = [(s, at, text[at : at + k]) for s, text in strands for at in ({*range(0, len(text) - k + 1, k), len(text) - k} if text else ())]
+    of = {r["kmer"]: r["n"] for r in counts.filter(F.col("kmer").isin([m for *_, m in cover])).collect()} if cover else {}
+    out = None
+    for s, _ in strands:
+        mine = sorted(((of.get(m, 0), at, m) for t, at, m in cover if t == s))
+        if not mine or not mine[0][0]:
+            continue  # one of its k-mers is nowhere
+        first, rest = mine[0], mine[1:]
+        base = lambda at: (F.col("place") - at).alias("hit_offset")
+        found = index.filter((F.col("kmer") == first[2]) & (F.col("place") >= first[1])).select("node_id", base(first[1]))
+        if rest:
+            places = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(at).alias("at")) for _, at, m in rest))
+            others = index.filter(F.col("kmer").isin([m for *_, m in rest]))
+            others = others.select("node_id", "place", F.explode(F.filter(places, lambda x: x["m"] == F.col("kmer"))).alias("x"))
+            others = others.select("node_id", (F.col("place") - F.col("x.at")).alias("hit_offset"))
+            found = found.join(others, ["node_id", "hit_offset"]).groupBy("node_id", "hit_offset").agg(F.count("*").alias("c")).filter(F.col("c") == len(rest)).drop("c")
+        found = found.select("node_id", "hit_offset", F.lit("-" if s else "+").alias("strand"))
+        out = found if out is None else out.union(found)
+    if out is None:
+        out = index.limit(0).select("node_id", F.col("place").alias("hit_offset"), F.lit("+").alias("strand"))
+    return out if most is None else out.orderBy("node_id", F.col("strand") == "-", "hit_offset").limit(max(most, 1))
+
+
+__all__ = ["hits", "count_matches", "matches", "translated", "subgraph_nodes", "subgraph_edges", "context", "query_json", "induced_edges", "kmer_index", "write_index", "read_index", "hits_by_index"]

@@ -11,7 +11,7 @@ from ..functions import sequence as S
 from ..operators import layout, search, traverse, walks
 from ..workspace import fresh_folder
 from . import sql as Q
-from .adapters import corpus, orders, table
+from .adapters import corpus, orders, table, dna
 
 NEEDLE, MOST = "GCA", 25
 _RC = "TGC"
@@ -46,6 +46,36 @@ def _layout(s, d):
     return layout.lanes(layout.positions(orders(s, d)))
 
 
+def _islands(s, d):
+    """Parts a thousand apart, up to two thousand long: lanes in many islands."""
+    p = table(s, d, "part")
+    n = F.col("p_size").cast("long") * 40
+    return layout.lanes(p.select(F.col("p_partkey").alias("node_id"), (F.col("p_partkey") * 1_000).alias("x"), n.alias("len"), (F.col("p_size") % 3 == 0).alias("backbone")))
+
+
+#: Bases of the index's k-mers, no more than the needle has.
+KMER = 2
+
+
+def _hits_by_index(s, d):
+    """The hits of q1 from a stored index of positional k-mers."""
+    b, path = orders(s, d), fresh_folder(s, "kmers")
+    search.write_index(b.segments, path, KMER)
+    return search.placed_hits(b, search.hits_by_index(*search.read_index(s, path), NEEDLE, KMER))
+
+
+#: A needle that texts' bases hold on both strands, and the k-mers of the texts' index.
+LONG_NEEDLE, LONG_KMER = "TTTATAATTT", 6
+
+
+def _text_hits_by_index(s, d):
+    """The hits in all texts' bases, a text being a segment."""
+    path = fresh_folder(s, "text-kmers")
+    seqs = dna(s, d)
+    search.write_index(seqs.select(F.col("doc_id").alias("node_id"), "seq"), path, LONG_KMER)
+    return search.hits_by_index(*search.read_index(s, path), LONG_NEEDLE, LONG_KMER)
+
+
 def _positions(s, d):
     b = orders(s, d)
     at = b.segments.join(walks.backbone_offsets(b), "node_id", "left").crossJoin(layout.region(b))
@@ -93,6 +123,15 @@ def _through_both(s, d):
     return walks.walks_through_both(walks.membership(b.steps), pairs)
 
 
+#: A queue search by levels. A level's neighbours are of the level before, of itself or new, so the working table holds these two.
+_ANCHORS = Q.ORDERS.replace("WITH ", "WITH RECURSIVE ", 1) + """, fst AS (SELECT a, b, min({'i': walk_idx, 'j': step_idx}) AS f FROM prs GROUP BY 1, 2),
+way AS (SELECT a AS at, b AS node_id, 0 AS side, f FROM fst UNION ALL SELECT b, a, 1, f FROM fst),
+bfs AS (SELECT 0 AS lvl, node_id, CAST(bb_offset AS BIGINT) AS anchor, CAST(node_id AS BIGINT) AS rank, true AS cur FROM off UNION ALL
+(WITH c AS (SELECT * FROM bfs), r AS (SELECT c.lvl + 1 AS lvl, way.node_id, min({'rank': c.rank, 'side': way.side, 'f': way.f, 'anchor': c.anchor}) AS m FROM c JOIN way ON way.at = c.node_id WHERE c.cur GROUP BY 1, 2),
+n AS (SELECT * FROM r WHERE node_id NOT IN (SELECT node_id FROM c)) SELECT lvl, node_id, m.anchor, row_number() OVER (ORDER BY m), true FROM n UNION ALL SELECT lvl, node_id, anchor, rank, false FROM c WHERE cur AND EXISTS (SELECT 1 FROM n))),
+anc AS (SELECT node_id, anchor FROM bfs WHERE cur) """
+
+
 def _rolled(i):
     codes = "list_transform(string_split(reverse(seq), ''), lambda c: CAST(unicode(c) AS BIGINT))"
     return f"CASE WHEN seq = '' THEN 0 ELSE list_reduce({codes}, lambda a, c: (a * {walks.BASES[i]} + c) % {walks.MODULI[i]}) END AS h{i}"
@@ -117,13 +156,17 @@ QUERIES = {
     "g11_walks_through_both": (_through_both, Q.ORDERS + "SELECT a, b, count(*) AS n FROM (SELECT DISTINCT a, b FROM adj WHERE a < b) JOIN (SELECT DISTINCT walk_idx, node_id AS a FROM st) USING (a) JOIN (SELECT DISTINCT walk_idx, node_id AS b FROM st) USING (b, walk_idx) GROUP BY 1, 2"),
     "g12_haplotypes": (lambda s, d: walks.haplotypes(orders(s, d), orders(s, d).segments).select("node_id", F.array_join("haplotypes", ",").alias("haplotypes")), Q.ORDERS + "SELECT node_id, string_agg('order#' || walk_idx, ',' ORDER BY walk_idx) AS haplotypes FROM (SELECT DISTINCT node_id, walk_idx FROM st JOIN sg USING (node_id)) GROUP BY 1"),
     "g13_chain_edges": (lambda s, d: orders(s, d, True).edges, Q.ORDERS + "SELECT edge_idx, from_id, from_strand, to_id, to_strand FROM ed"),
-    "g14_anchors": (lambda s, d: traverse.anchors(orders(s, d)), None),
+    "g14_anchors": (lambda s, d: traverse.anchors(orders(s, d)), _ANCHORS + "SELECT node_id, anchor FROM anc"),
     "g15_bounded_search": (_near, _NEAR + "SELECT seed, node_id, depth FROM near"),
     "g16_induced_edges": (lambda s, d: search.subgraph_edges(orders(s, d), _near(s, d)), _NEAR + "SELECT x.seed, a, b FROM adj JOIN near x ON x.node_id = a JOIN near y ON y.node_id = b AND y.seed = x.seed"),
     "g17_window_edges": (lambda s, d: walks.induced_edges(_edges_ab(s, d), table(s, d, "part").filter("p_size <= 10").select(F.col("p_partkey").alias("node_id"))).select("edge_idx", "a", "b"), Q.ORDERS + "SELECT edge_idx, from_id AS a, to_id AS b FROM ed WHERE from_id IN (SELECT p_partkey FROM part WHERE p_size <= 10) AND to_id IN (SELECT p_partkey FROM part WHERE p_size <= 10)"),
     "g18_local_lanes": (_local_lanes, _NEAR + f", m AS (SELECT seed, node_id, depth, node_id IN (SELECT node_id FROM bb) AS backbone FROM near), r AS (SELECT *, row_number() OVER (PARTITION BY seed, depth, backbone ORDER BY node_id) - 1 AS k FROM m) SELECT seed, node_id, depth, backbone, CAST(CASE WHEN backbone THEN 0 ELSE {_lane('k')} END AS INTEGER) AS lane FROM r"),
-    "g19_positions": (lambda s, d: layout.positions(orders(s, d)), None),
+    "g19_positions": (
+        lambda s, d: layout.positions(orders(s, d)),
+        _ANCHORS + "SELECT node_id, CAST(bb_offset AS BIGINT) AS x, coalesce(len, 0) AS len, true AS backbone FROM off LEFT JOIN sg USING (node_id) UNION ALL SELECT node_id, coalesce(anchor, 0), len, false FROM sg LEFT JOIN anc USING (node_id) WHERE node_id NOT IN (SELECT node_id FROM bb)",
+    ),
     "g20_lanes": (_layout, None),
+    "g20_many_islands": (_islands, None),
     "g21_span": (lambda s, d: walks.span(orders(s, d)), Q.ORDERS + "SELECT CAST((SELECT max(bb_offset) FROM off) + (SELECT coalesce(len, 0) FROM bb LEFT JOIN sg USING (node_id) ORDER BY step_idx DESC LIMIT 1) AS BIGINT) AS span"),
     "g22_position_text": (_positions, Q.ORDERS + f"SELECT node_id, {_POS} AS pos, {_hitpos(3)} AS hit FROM sg LEFT JOIN off USING (node_id), {_REGION}"),
     "g23_two_way": (lambda s, d: walks.two_way(walks.adjacency(orders(s, d)).select("a", "b")), Q.ORDERS + "SELECT x.a, x.b FROM adj x JOIN adj y ON x.a = y.b AND x.b = y.a"),
@@ -133,6 +176,11 @@ QUERIES = {
     "s9_backbone_pick": (_pick, "SELECT c_custkey AS walk_idx FROM customer ORDER BY CASE WHEN contains(lower(c_name || '_Ref' || c_nationkey || c_mktsegment), 'grch38') THEN 0 WHEN contains(lower(c_name || '_Ref' || c_nationkey || c_mktsegment), '_ref') THEN 5 ELSE 6 END, c_custkey LIMIT 1"),
     "q1_hits": (lambda s, d: search.hits(orders(s, d).segments, NEEDLE, MOST), _HITS + f"SELECT node_id, o AS hit_offset, CASE WHEN s = 0 THEN '+' ELSE '-' END AS strand FROM hits ORDER BY node_id, s, o LIMIT {MOST}"),
     "q1_all_hits": (lambda s, d: search.placed_hits(orders(s, d), search.hits(orders(s, d).segments, NEEDLE)), _HITS + f"SELECT node_id, o AS hit_offset, CASE WHEN s = 0 THEN '+' ELSE '-' END AS strand, {_hitpos('o')} AS pos FROM hits LEFT JOIN off USING (node_id), {_REGION}"),
+    "q1_by_index": (_hits_by_index, _HITS + f"SELECT node_id, o AS hit_offset, CASE WHEN s = 0 THEN '+' ELSE '-' END AS strand, {_hitpos('o')} AS pos FROM hits LEFT JOIN off USING (node_id), {_REGION}"),
+    "q1_text_by_index": (
+        _text_hits_by_index,
+        Q.DNA + f"SELECT doc_id AS node_id, unnest({Q.offsets('seq', repr(LONG_NEEDLE))}) AS hit_offset, '+' AS strand FROM dna UNION ALL SELECT doc_id, unnest({Q.offsets('seq', repr(LONG_NEEDLE[::-1].translate(str.maketrans('ACGT', 'TGCA'))))}), '-' FROM dna",
+    ),
     "q2_count_matches": (lambda s, d: search.count_matches(orders(s, d).segments, NEEDLE), _HITS + "SELECT count(*) AS n_total FROM hits"),
     "q3_matches": (lambda s, d: search.matches(orders(s, d), NEEDLE, MOST), Q.ORDERS + f"SELECT node_id, {_hitpos(0)} AS pos FROM (SELECT node_id FROM sg WHERE contains(seq, '{NEEDLE}') OR contains(seq, '{_RC}') ORDER BY 1 LIMIT {MOST}) LEFT JOIN off USING (node_id), {_REGION}"),
     "q4_hit_protein": (

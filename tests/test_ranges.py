@@ -161,3 +161,71 @@ def test_a_node_of_all_walks_is_spread_over_blocks(spark):
     assert {x["node_id"]: x["walks"] for x in walks.node_walks(steps).collect()} == {7: [*range(n)], 8: [*range(0, n, 3)], 9: [999]}
     pairs = spark.createDataFrame([(7, 8), (8, 9), (7, 7), (7, 5)], "a LONG, b LONG")
     assert {(x["a"], x["b"]): x["n"] for x in walks.walks_through_both(member, pairs).collect()} == {(7, 8): 334, (8, 9): 1, (7, 7): 1000}
+
+
+def test_search_by_index(spark, tmp_path):
+    """Both strands, palindromes, repeats in the needle, overlaps and ends of segments, against the scan."""
+    from loomgraph.operators import search
+
+    r = random.Random(11)
+    rows = [(i, "".join(r.choice("ACGT") for _ in range(r.randint(0, 60)))) for i in range(80)]
+    rows += [(100, "ACAC" * 8), (101, "A" * 30), (102, "ACGTACGT"), (103, "ACG"), (104, "GGACACACAC"), (105, "")]
+    seg = spark.createDataFrame([(i, s, len(s)) for i, s in rows], "node_id LONG, seq STRING, len LONG")
+    search.write_index(seg, str(tmp_path), 4)
+    index, counts = search.read_index(spark, str(tmp_path))
+    for needle in ("ACAC", "acacac ", "AAAAAAA", "ACGT", "ACGTACGT", "GTGTG", "TTTTT", rows[3][1][:11] or "CCCC", rows[5][1][-9:] or "CCCC", "ACGTTGCAACGTTGCA", ""):
+        want = sorted(map(tuple, search.hits(seg, needle).collect()))
+        assert sorted(map(tuple, search.hits_by_index(index, counts, needle, 4).collect())) == want, needle
+        assert [tuple(x) for x in search.hits_by_index(index, counts, needle, 4, 3).collect()] == [tuple(x) for x in search.hits(seg, needle, 3).collect()]
+    with pytest.raises(ValueError, match="fewer than 4"):
+        search.hits_by_index(index, counts, "ACG", 4)
+
+
+def test_lanes_of_many_islands(spark):
+    from loomgraph.operators import layout
+
+    r = random.Random(2)
+    rows = [(i, x, n, r.random() < 0.1) for i, (x, n) in enumerate((r.randrange(40) * 3_000 + r.choice([0, 0, 5, 200, 900]), r.choice([0, 1, 30, 400, 2_500])) for _ in range(600))]
+    placed = spark.createDataFrame(rows, "node_id LONG, x LONG, len LONG, backbone BOOLEAN").repartition(4)
+    ends, want = [], {i: 0 for i, *_, bb in rows if bb}
+    for x, i, n in sorted((x, i, n) for i, x, n, bb in rows if not bb):
+        k = next((j for j, e in enumerate(ends) if e <= x), len(ends))
+        ends[k : k + 1] = [x + max(n, 1) + layout.GAP]
+        want[i] = k // 2 + 1 if k % 2 == 0 else -(k // 2 + 1)
+    assert {x["node_id"]: x["lane"] for x in layout.lanes(placed).collect()} == want
+
+
+def test_search_by_levels_writes_each_level_once(spark):
+    """A graph of many levels, with cycles both ways, against a queue; and many seeds at once against one after the other."""
+    from collections import deque
+
+    from loomgraph.operators import traverse, walks
+
+    r = random.Random(3)
+    n = 40
+    path = " ".join(f"+{k}" for k in range(n))
+    extra = [f"+{r.randrange(k)} +{k}" for k in range(1, n, 7)]
+    b = graph(spark, {k: "ACGTA"[: 1 + k % 5] for k in range(n)}, ["+0 +1", path, *extra])
+    adj = [(x["a"], x["b"], tuple(x["ord"])) for x in walks.adjacency(b).collect()]
+    found, queue = {0: 0, 1: 1}, deque([0, 1])
+    while queue:
+        at = queue.popleft()
+        for to in [y for *_, y in sorted((o, y) for x, y, o in adj if x == at)] + [x for *_, x in sorted((o, x) for x, y, o in adj if y == at)]:
+            if to not in found:
+                found[to] = found[at]
+                queue.append(to)
+    assert {x["node_id"]: x["anchor"] for x in traverse.anchors(b).collect()} == found
+    pairs = spark.createDataFrame([(a, c) for a, c, _ in adj] + [(9, 3), (30, 2)], "a LONG, b LONG")
+    seeds = spark.range(n).select(F.col("id").alias("seed")).union(spark.createDataFrame([(500 + k,) for k in range(70)], "seed LONG"))
+    many = {tuple(x) for x in traverse.neighbourhood(pairs, seeds, 2, 2).select("seed", "node_id", "depth").collect()}
+    edges = {(x["a"], x["b"]) for x in pairs.collect()}
+    want = set()
+    for s in [*range(n), *range(500, 570)]:
+        seen = {s: 0}
+        for way, radius in ((-1, 2), (1, 2)):
+            level = {s}
+            for step in range(1, radius + 1):
+                level = {x for a, c in edges for x, y in [(a, c) if way < 0 else (c, a)] if y in level} - seen.keys()
+                seen |= {x: way * step for x in level}
+        want |= {(s, x, d) for x, d in seen.items()}
+    assert many == want
