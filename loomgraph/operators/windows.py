@@ -155,12 +155,56 @@ def write_tiles(nodes: DataFrame, segments: DataFrame, edges: DataFrame, span: i
     out.repartitionByRange("level", "tile").write.mode("overwrite").partitionBy("level").json(f"{path}/tiles")
 
 
+#: Places of the smallest bin, as a power of two.
+SMALLEST_BIN = 8
+
+
+def binned(nodes: DataFrame) -> DataFrame:
+    """nodes (x, len, ...) with `level` and `bin`: the smallest bin of a binary tree that holds the interval, 2 ** level places wide.
+
+    An interval is stored once however long it is; one that straddles a middle is in a bin of a higher level. A place
+    has one bin a level, so it finds all intervals over it by equality.
+    """
+    last = F.greatest(F.col("x") + F.col("len") - 1, F.col("x"))
+    # The highest bit in which the ends differ says how many low bits the bin leaves out.
+    differ = F.length(F.ltrim(F.bin(F.col("x").bitwiseXOR(last)), F.lit("0")))
+    level = F.greatest(differ, F.lit(SMALLEST_BIN))
+    return nodes.withColumn("level", level).withColumn("bin", F.call_function("shiftright", F.col("x"), F.col("level")))
+
+
+def write_binned(nodes: DataFrame, path: str) -> None:
+    """binned() nodes as Parquet, sorted by level and bin, so that a window reads the row groups of its bins."""
+    binned(nodes).repartitionByRange("level", "bin", "x").sortWithinPartitions("level", "bin", "x").write.mode("overwrite").parquet(path)
+
+
+def bins_over(at: Column, levels: list[int]) -> Column:
+    """Of a place its bin at each of the levels, as (level, bin)."""
+    return F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(at, k).alias("bin")) for k in levels))
+
+
+def overlapping_bins(stored: DataFrame, levels: list[int], start: int, end: int) -> DataFrame:
+    """overlapping() of binned() nodes: of each level only the bins from the window's first to its last are looked at."""
+    near = F.lit(False)
+    for k in levels:
+        near = near | ((F.col("level") == k) & F.col("bin").between(start >> k, max(end - 1, start) >> k))
+    return overlapping(stored.filter(near), start, end).drop("level", "bin")
+
+
+def levels_of(stored: DataFrame) -> list[int]:
+    """The levels that binned() nodes use, 64 at most."""
+    return sorted(r["level"] for r in stored.select("level").distinct().collect())
+
+
 def annotated(annotations: DataFrame, nodes: DataFrame, start: int) -> DataFrame:
     """annotations (pos, ...): with the backbone node that each lies on.
 
-    Nodes are dealt to buckets of positions, so that the range test is made within equal buckets only.
+    Each node is in one bin; an annotation looks for its place in the bins of all levels in use.
     """
-    width = 1_024
-    at = annotations.withColumn("offset", F.col("pos") - start).withColumn("bucket", F.floor(F.col("offset") / width))
-    spread = nodes.filter(F.col("backbone") & (F.col("len") > 0)).select("node_id", "x", "len", F.explode(F.sequence(F.floor(F.col("x") / width), F.floor((F.col("x") + F.col("len") - 1) / width))).alias("bucket"))
-    return at.join(spread, "bucket").filter((F.col("offset") >= F.col("x")) & (F.col("offset") < F.col("x") + F.col("len"))).drop("bucket")
+    stored = binned(nodes.filter(F.col("backbone") & (F.col("len") > 0)).select("node_id", "x", "len"))
+    used = levels_of(stored)
+    at = annotations.withColumn("offset", F.col("pos") - start)
+    if not used:
+        return at.join(stored.drop("level", "bin").limit(0))
+    own = [c for c in at.columns]
+    at = at.filter(F.col("offset") >= 0).select("*", F.explode(bins_over(F.col("offset"), used)).alias("_b")).select(*own, F.col("_b.level").alias("level"), F.col("_b.bin").alias("bin"))
+    return at.join(stored, ["level", "bin"]).filter((F.col("offset") >= F.col("x")) & (F.col("offset") < F.col("x") + F.col("len"))).drop("level", "bin")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import layout, measure, walks, windows
 from ..sources import container, fasta, gfa, synth, tables
+from ..streaming import ledger
 from ..workspace import fresh_folder
 from . import sql as Q
 from .adapters import orders, table
@@ -96,6 +97,19 @@ def _ledger(s, d):
     return r.select("j.total_bases", "j.total_bits", F.round("j.bits_per_char", 4).alias("bits_per_char"), F.size("j.sections").alias("sections"), F.col("j.baselines")["2bit_percopy"].alias("two"), F.col("j.provenance")["dataset"].alias("dataset"))
 
 
+def _ledger_stream(s, d):
+    """Orders as ledger records of their priority, appended in two batches, some in both; taken by two runs of the stream."""
+    folder = fresh_folder(s, "ledger-stream")
+    o = table(s, d, "orders")
+    note = F.struct(F.col("o_orderpriority").alias("dataset"), F.col("o_orderkey").cast("string").alias("input"))
+    bases = F.col("o_custkey").cast("long")
+    record = F.to_json(F.struct(bases.alias("total_bases"), (2 * bases).alias("total_bits"), F.lit(2.0).alias("bits_per_char"), note.alias("provenance"))).alias("value")
+    for part in ("o_orderkey % 2 = 0", "o_orderkey % 2 = 1 OR o_orderkey % 3 = 0"):
+        o.filter(part).select(record).write.mode("append").text(f"{folder}/ledger")
+        ledger.take(s, f"{folder}/ledger", f"{folder}/taken", f"{folder}/marks")
+    return ledger.totals(s, f"{folder}/taken")
+
+
 def _significant(s, d):
     o = table(s, d, "orders")
     sig = F.when(F.col("o_orderkey") % 4 == 0, F.array().cast("array<string>")).when(F.col("o_orderkey") % 4 == 1, F.array(F.lit("Benign"))).when(F.col("o_orderkey") % 4 == 2, F.array(F.lit("Benign"), F.lit("Pathogenic"))).otherwise(F.array("o_orderpriority"))
@@ -178,6 +192,7 @@ QUERIES = {
     "s14_container_errors": (_errors, None),
     "s15_varints": (_varints, None),
     "s17_ledger_append": (_appended, "SELECT (SELECT CAST(sum(p_size) AS BIGINT) FROM part) AS total_bases, (SELECT count(*) FROM lineitem) AS total_bits, 'lineitem' AS dataset FROM range(2)"),
+    "s17_ledger_stream": (_ledger_stream, "SELECT o_orderpriority AS dataset, count(*) AS records, CAST(sum(o_custkey) AS BIGINT) AS bases, CAST(sum(2 * o_custkey) AS BIGINT) AS bits FROM orders GROUP BY 1"),
     "s19_report": (_report, None),
     "s20_tile_files": (_tile_files, None),
     "s1_records": (_records, _LINES + "SELECT f[1] AS tag, count(*) AS n FROM rec WHERE f[1] IN ('S', 'L', 'P', 'W') GROUP BY 1"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import windows as W
+from ..workspace import fresh_folder
 from . import sql as Q
 from .adapters import orders, part_segments, plain_layout, table
 
@@ -24,6 +25,15 @@ def _window(most=None, seq=True):
     return plan
 
 
+def _window_by_bins(s, d):
+    """q7's window from a stored layout, a row a node in the bin that holds it."""
+    path = fresh_folder(s, "bins")
+    W.write_binned(plain_layout(s, d), path)
+    stored = s.read.parquet(path)
+    inside = W.overlapping_bins(stored, W.levels_of(stored), START, END)
+    return W.window(inside, part_segments(s, d), START, END, True).select("node_id", "x", "lane", "len", "backbone", "kind", "seq", "truncated")
+
+
 def _overview(s, d):
     lay = plain_layout(s, d)
     return W.window(lay, part_segments(s, d), 0, _span(s, d), True)
@@ -81,6 +91,7 @@ SELECT o_orderkey, unnest(range(CAST(ceil(lo / CAST(step AS DOUBLE)) AS BIGINT)
 
 QUERIES = {
     "q7_window": (_window(), Q.LAYOUT + _SG + f"SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, substr(seq, 1, 4000) AS seq, false AS truncated FROM lay JOIN sg USING (node_id) WHERE {_IN}"),
+    "q7_window_by_bins": (_window_by_bins, Q.LAYOUT + _SG + f"SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, substr(seq, 1, 4000) AS seq, false AS truncated FROM lay JOIN sg USING (node_id) WHERE {_IN}"),
     "q8_window_top": (_window(MOST, False), Q.LAYOUT + _SG + f", top AS (SELECT * FROM lay WHERE {_IN} ORDER BY len DESC, x, node_id LIMIT {MOST}) SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, '' AS seq, (SELECT count(*) FROM lay WHERE {_IN}) > {MOST} AS truncated FROM top JOIN sg USING (node_id)"),
     "q9_overview": (_overview, Q.LAYOUT + _SG + f"SELECT node_id, x, lane, len, backbone, {_kind('seq')} AS kind, substr(seq, 1, 4000) AS seq, false AS truncated FROM lay JOIN sg USING (node_id) WHERE x + len > 0 AND x < (SELECT max(x + len) FROM lay)"),
     "q9_window_edges": (lambda s, d: W.window_edges(orders(s, d, True).edges, W.overlapping(plain_layout(s, d), START, END)), Q.ORDERS + ", lay AS (SELECT p_partkey AS node_id, p_partkey * 50 AS x, p_size * 40 AS len FROM part), w AS (SELECT node_id FROM lay WHERE " + _IN + ") SELECT edge_idx, from_id, to_id FROM ed WHERE from_id IN (SELECT node_id FROM w) AND to_id IN (SELECT node_id FROM w)"),

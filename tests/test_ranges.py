@@ -229,3 +229,54 @@ def test_search_by_levels_writes_each_level_once(spark):
                 seen |= {x: way * step for x in level}
         want |= {(s, x, d) for x, d in seen.items()}
     assert many == want
+
+
+def test_intervals_of_any_length_in_one_bin(spark):
+    from loomgraph.operators import windows
+
+    r = random.Random(6)
+    span = 100_000
+    rows = [(0, 0, span, True, 0), (1, 0, 1, True, 0), (2, 255, 2, True, 0), (3, span // 2 - 1, 2, True, 0), (4, 70, 0, True, 0), (5, 10, 5_000, False, 1)]
+    rows += [(10 + i, r.randrange(span), r.choice([1, 3, 200, 256, 5_000, 40_000]), True, 0) for i in range(300)]
+    nodes = spark.createDataFrame(rows, "node_id LONG, x LONG, len LONG, backbone BOOLEAN, lane INT")
+    stored = windows.binned(nodes)
+    assert stored.count() == len(rows)  # one row a node, however long
+    for x in stored.collect():
+        last = max(x["x"] + x["len"] - 1, x["x"])
+        assert x["x"] >> x["level"] == last >> x["level"] == x["bin"] and x["level"] >= windows.SMALLEST_BIN
+        assert x["level"] == windows.SMALLEST_BIN or x["x"] >> (x["level"] - 1) != last >> (x["level"] - 1)
+    notes = [(i, 1_000 + r.randrange(-50, span + 50)) for i in range(400)] + [(900, 1_000), (901, 1_256), (902, 1_000 + span - 1)]
+    got = {(x["id"], x["node_id"]) for x in windows.annotated(spark.createDataFrame(notes, "id LONG, pos LONG"), nodes, 1_000).collect()}
+    assert got == {(i, k) for i, p in notes for k, x, n, bb, _ in rows if bb and x <= p - 1_000 < x + n}
+    used = windows.levels_of(stored)
+    for a, b in ((0, 1), (255, 257), (0, span), (49_999, 50_000), (300, 300), (span, span + 5)):
+        want = {x["node_id"] for x in windows.overlapping(nodes, a, b).collect()}
+        assert {x["node_id"] for x in windows.overlapping_bins(stored, used, a, b).collect()} >= {k for k, x, n, *_ in rows if n and k in want} and a <= b
+        assert {x["node_id"] for x in windows.overlapping_bins(stored, used, a, b).collect()} <= want
+
+
+def test_ledger_stream_takes_each_record_once(spark, tmp_path):
+    from loomgraph.sources.tables import append_ledger
+    from loomgraph.streaming import ledger
+
+    def record(name, bases, at):
+        return f'{{"total_bases":{bases},"total_bits":{2 * bases},"bits_per_char":2.0,"provenance":{{"dataset":"{name}","unixtime":"{at}"}}}}'
+
+    def append(*records):
+        append_ledger(spark.createDataFrame([(x,) for x in records], "json STRING"), str(tmp_path / "ledger"))
+
+    def taken(files=0):
+        ledger.take(spark, str(tmp_path / "ledger"), str(tmp_path / "out"), str(tmp_path / "marks"), files)
+        return {x["dataset"]: (x["records"], x["bases"], x["bits"]) for x in ledger.totals(spark, str(tmp_path / "out")).collect()}
+
+    append(record("a", 10, 1), record("a", 10, 2), record("b", 5, 1), "not a record")
+    append(record("a", 10, 1))  # appended again
+    assert taken(1) == {"a": (2, 20, 40), "b": (1, 5, 10)}
+    assert taken() == {"a": (2, 20, 40), "b": (1, 5, 10)}  # nothing new
+    append(record("a", 10, 2), record("c", 1, 1))
+    want = {"a": (2, 20, 40), "b": (1, 5, 10), "c": (1, 1, 2)}
+    assert taken() == want
+    last = max((tmp_path / "marks" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (last, last.with_name(f".{last.name}.crc")):  # the batch was written, but broke off before its commit
+        p.unlink(missing_ok=True)
+    assert taken() == want
