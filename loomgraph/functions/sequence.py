@@ -216,6 +216,26 @@ def varint_length(v: Column | str) -> Column:
     return reduce(lambda a, k: a + (x >= F.lit(1 << (7 * k))).cast("int"), range(1, 9), F.lit(1))
 
 
+def varint(v: Column | str) -> Column:
+    """The unsigned LEB128 bytes of a number from 0 to 2 ** 63 - 1."""
+    x = _col(v).cast("long")
+    out = []
+    for k in range(9):
+        low = F.shiftrightunsigned(x, 7 * k).bitwiseAND(F.lit(127))
+        more = x >= F.lit(1 << (7 * (k + 1))) if k < 8 else F.lit(False)
+        here = x >= F.lit(1 << (7 * k)) if k else F.lit(True)
+        out.append(F.when(here, F.lpad(F.hex(F.when(more, low + 128).otherwise(low)), 2, "0")).otherwise(""))
+    return F.unhex(F.concat(*out))
+
+
+def from_varint(data: Column | str) -> Column:
+    """The number of one varint's bytes."""
+    h = F.hex(_col(data))
+    byte = lambda i: F.conv(F.substr(h, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    places = F.sequence(F.lit(0), F.octet_length(_col(data)) - 1)
+    return F.aggregate(places, F.lit(0).cast("long"), lambda n, i: n + F.call_function("shiftleft", byte(i).bitwiseAND(F.lit(127)), 7 * i))
+
+
 def bits_for(n: Column | str) -> Column:
     x = _col(n).cast("long")
     return F.when(x <= 1, 1).otherwise(F.char_length(F.bin(x - 1)))

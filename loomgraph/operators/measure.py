@@ -85,15 +85,8 @@ def walks_raw(b: Bundle) -> DataFrame:
 
 def walk_pieces(b: Bundle) -> DataFrame:
     """(stream, ord, seq): the varint stream as a piece of bytes a step, in order of walk and step."""
-    code = F.col("code")
-    chars = []
-    for k in range(9):
-        low = F.shiftrightunsigned(code, 7 * k).bitwiseAND(F.lit(127))
-        more = code >= F.lit(1 << (7 * (k + 1))) if k < 8 else F.lit(False)
-        here = (code >= F.lit(1 << (7 * k))) if k else F.lit(True)
-        chars.append(F.when(here, F.lpad(F.hex(F.when(more, low + 128).otherwise(low)), 2, "0")).otherwise(""))
-    one = F.concat(*chars, F.when(F.col("strand") == "-", "01").otherwise("00"))
-    return walk_deltas(b).select(F.lit("walks").alias("stream"), F.struct("walk_idx", "step_idx").alias("ord"), F.unhex(one).alias("seq"))
+    one = F.concat(S.varint("code"), F.unhex(F.when(F.col("strand") == "-", "01").otherwise("00")))
+    return walk_deltas(b).select(F.lit("walks").alias("stream"), F.struct("walk_idx", "step_idx").alias("ord"), one.alias("seq"))
 
 
 def walk_stream(b: Bundle) -> DataFrame:

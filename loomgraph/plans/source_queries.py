@@ -8,12 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import layout, measure, walks, windows
+from ..operators import measure, walks, windows
 from ..sources import container, fasta, gfa, synth, tables
 from ..streaming import ledger
 from ..workspace import fresh_folder
 from . import sql as Q
-from .adapters import orders, table
+from .adapters import orders, part_segments, plain_layout, table
 from .measure_queries import _CODERS, _coder_rows, _named
 
 
@@ -117,49 +117,36 @@ def _significant(s, d):
 
 
 def _synth(s, d):
-    t = _made(s).tables()
+    """A synthetic cohort whose size goes by the tables': a haplotype a nation, a block for each 50 parts."""
+    t = _made(s, d).tables()
     return reduce(lambda a, b: a.union(b), (df.agg(F.count("*").alias("n")).select(F.lit(k).alias("table"), "n") for k, df in t.items()))
 
 
-def _made(s):
-    return synth.generate(s, synth.Parameters())
+def _made(s, d):
+    return synth.generate(s, synth.Parameters(haplotypes=table(s, d, "nation").count(), blocks=max(table(s, d, "part").count() // 50, 10)))
 
 
-def _packed(s):
-    t = synth.rows(synth.Parameters())
-    return container.pack(t | {"contamination": [("sample00#1", 3, "phage")]})
+def _blocks(s, d):
+    """The orders' graph in containers, written and read back as a table of them."""
+    path = fresh_folder(s, "containers")
+    container.blocks(orders(s, d), WALKS).write.parquet(f"{path}/blocks")
+    return s.read.schema("block LONG, content BINARY").parquet(f"{path}/blocks")
 
 
-def _container(s, d):
-    """The sections of a container: their tags, places and sizes, as its index has them."""
-    data = _packed(s)
-    c = container.Cursor(data, int.from_bytes(data[-16:-8], "little") + 12)
-    rows = [(c.take(4).decode(), c.number(8), c.number(8)) for _ in range(c.varint())]
-    return s.createDataFrame(rows, "tag STRING, place BIGINT, size BIGINT")
+#: Walks of a container.
+WALKS = 1_000
+_WALKS = Q.ORDERS + f", k AS (SELECT walk_idx // {WALKS} AS block, walk_idx, node_id FROM st), g AS (SELECT block, node_id, len FROM (SELECT DISTINCT block, node_id FROM k) JOIN sg USING (node_id)) "
 
 
-def _unpacked(s, d):
-    t = container.unpack(_packed(s))
-    return s.createDataFrame([(k, len(v)) for k, v in t.items()], "table STRING, n BIGINT")
-
+def _varints(s, d):
+    """Differences of neighbouring parts of an order as varints, and read back."""
+    z = measure.walk_deltas(orders(s, d)).select("walk_idx", "step_idx", F.col("code").alias("n")).withColumn("raw", S.varint("n"))
+    return z.select("walk_idx", "step_idx", "n", F.lower(F.hex("raw")).alias("coded"), S.from_varint("raw").alias("again"), S.varint_length("n").alias("size"))
 
-def _errors(s, d):
-    """What reading damaged containers raises."""
-    data, out = _packed(s), []
-    bad = {"cut": data[:30], "header": b"????" + data[4:], "version": data[:4] + b"\x07\x00" + data[6:], "footer": data[:-8] + b"????" + data[-4:], "section": data.replace(b"SAMP", b"SAMX")}
-    for name, damaged in bad.items():
-        try:
-            container.unpack(damaged)
-            out.append((name, "none"))
-        except container.FormatError as e:
-            out.append((name, type(e).__name__))
-    return s.createDataFrame(out, "damage STRING, error STRING")
 
-
-def _varints(s, d):
-    n = [0, 1, 127, 128, 300, 16384, 2**32 - 1, 2**63 - 1]
-    rows = [(v, container.varint(v).hex(), container.Cursor(container.varint(v)).varint()) for v in n]
-    return s.createDataFrame(rows, "n BIGINT, coded STRING, again BIGINT").withColumn("size", S.varint_length("n"))
+_BYTES = " || ".join(f"CASE WHEN {'true' if k == 0 else f'n >= {1 << 7 * k}'} THEN lower(lpad(to_hex((n >> {7 * k}) & 127 | CASE WHEN n >= {1 << 7 * (k + 1)} THEN 128 ELSE 0 END), 2, '0')) ELSE '' END" for k in range(5))
+_VARINTS = Q.ORDERS + f""", z AS (SELECT walk_idx, step_idx, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS n FROM (SELECT walk_idx, step_idx, node_id - lag(node_id, 1, 0) OVER (PARTITION BY walk_idx ORDER BY step_idx) AS v FROM st WHERE walk_idx NOT IN (SELECT walk_idx FROM bbw)))
+SELECT walk_idx, step_idx, CAST(n AS BIGINT) AS n, {_BYTES} AS coded, CAST(n AS BIGINT) AS again, CAST(length({_BYTES}) // 2 AS INTEGER) AS size FROM z"""
 
 
 def _appended(s, d):
@@ -179,22 +166,37 @@ def _report(s, d):
 
 
 def _tile_files(s, d):
-    """The tile pyramid of the synthetic graph, written as files and read back."""
-    b, path = _made(s), fresh_folder(s, "tiles")
-    windows.write_tiles(layout.lanes(layout.positions(b)), b.segments, b.edges, walks.span(b).first()[0], "chr6", 0, path)
-    t = s.read.json(f"{path}/tiles")
-    return t.select("level", "tile", F.size("nodes").alias("nodes"), F.size("edges").alias("edges"))
-
+    """The tile pyramid of the parts' layout, written as files and read back."""
+    path, lay = fresh_folder(s, "tiles"), plain_layout(s, d)
+    span = lay.agg(F.max(F.col("x") + F.col("len"))).first()[0]
+    windows.write_tiles(lay, part_segments(s, d), orders(s, d, True).edges, span, "parts", 0, path)
+    t = s.read.schema("level INT, tile BIGINT, nodes ARRAY<STRUCT<id: BIGINT>>, edges ARRAY<ARRAY<BIGINT>>, bins ARRAY<ARRAY<BIGINT>>").json(f"{path}/tiles")
+    return t.select("level", "tile", F.size("nodes").alias("nodes"), F.size("edges").alias("edges"), F.aggregate("bins", F.lit(0).cast("long"), lambda n, x: n + x[0]).alias("variants"))
+
+
+_TILE_FILES = Q.ORDERS + """, lay AS (SELECT p_partkey AS node_id, p_partkey * 50 AS x, CAST(p_size * 40 AS BIGINT) AS len, p_size % 3 = 0 AS backbone FROM part), sp AS (SELECT max(x + len) AS span FROM lay),
+lv AS (SELECT l AS level, (span + (1 << l) - 1) >> l AS width, span FROM sp, (SELECT unnest(range(16)) AS l) WHERE l = 0 OR span >> l > 2000), tl AS (SELECT level, width, span, unnest(range(1 << level)) AS tile FROM lv),
+m AS (SELECT level, tile, node_id, row_number() OVER (PARTITION BY level, tile ORDER BY len DESC, x, node_id) AS r FROM tl JOIN lay ON width <= 50000 AND x + len > tile * width AND x < least(tile * width + width, span)), k AS (SELECT * FROM m WHERE r <= 8000),
+n AS (SELECT level, tile, count(*) AS nodes FROM k GROUP BY 1, 2), e AS (SELECT f.level, f.tile, count(*) AS edges FROM ed JOIN k f ON from_id = f.node_id JOIN k g ON to_id = g.node_id AND f.level = g.level AND f.tile = g.tile GROUP BY 1, 2),
+v AS (SELECT level, x // width AS tile, count(*) AS variants FROM lv, lay WHERE NOT backbone AND x < span GROUP BY 1, 2)
+SELECT CAST(level AS INTEGER) AS level, tile, CASE WHEN width <= 50000 THEN CAST(coalesce(nodes, 0) AS INTEGER) END AS nodes, CASE WHEN width <= 50000 THEN CAST(coalesce(edges, 0) AS INTEGER) END AS edges, CASE WHEN width > 50000 THEN coalesce(variants, 0) END AS variants
+FROM tl LEFT JOIN n USING (level, tile) LEFT JOIN e USING (level, tile) LEFT JOIN v USING (level, tile)"""
 
 QUERIES = {
-    "s12_container_write": (_container, None),
-    "s13_container_read": (_unpacked, None),
-    "s14_container_errors": (_errors, None),
-    "s15_varints": (_varints, None),
+    "s12_container_write": (lambda s, d: container.sections(_blocks(s, d)), None),
+    "s13_container_read": (
+        lambda s, d: container.counted(_blocks(s, d)).filter("n > 0"),
+        _WALKS + "SELECT block, 'walks' AS \"table\", count(DISTINCT walk_idx) AS n, CAST(0 AS BIGINT) AS bases FROM k GROUP BY 1 UNION ALL SELECT block, 'steps', count(*), 0 FROM k GROUP BY 1 UNION ALL SELECT block, 'segments', count(*), CAST(sum(len) AS BIGINT) FROM g GROUP BY 1",
+    ),
+    "s14_container_errors": (
+        lambda s, d: container.errors(_blocks(s, d)),
+        _WALKS + "SELECT block, damage, error FROM (SELECT DISTINCT block FROM k), (VALUES ('cut', 'Truncated'), ('header', 'BadMagic'), ('version', 'BadVersion'), ('footer', 'BadMagic'), ('section', 'MissingSection'), ('none', 'none')) AS t(damage, error)",
+    ),
+    "s15_varints": (_varints, _VARINTS),
     "s17_ledger_append": (_appended, "SELECT (SELECT CAST(sum(p_size) AS BIGINT) FROM part) AS total_bases, (SELECT count(*) FROM lineitem) AS total_bits, 'lineitem' AS dataset FROM range(2)"),
     "s17_ledger_stream": (_ledger_stream, "SELECT o_orderpriority AS dataset, count(*) AS records, CAST(sum(o_custkey) AS BIGINT) AS bases, CAST(sum(2 * o_custkey) AS BIGINT) AS bits FROM orders GROUP BY 1"),
     "s19_report": (_report, None),
-    "s20_tile_files": (_tile_files, None),
+    "s20_tile_files": (_tile_files, _TILE_FILES),
     "s1_records": (_records, _LINES + "SELECT f[1] AS tag, count(*) AS n FROM rec WHERE f[1] IN ('S', 'L', 'P', 'W') GROUP BY 1"),
     "s2_segments": (lambda s, d: gfa.segment_lines(gfa.records(_lines(s, d))).select("name", "seq"), _LINES + "SELECT f[2] AS name, f[3] AS seq FROM rec WHERE f[1] = 'S'"),
     "s3_links": (lambda s, d: gfa.link_lines(gfa.records(_lines(s, d))), _LINES + "SELECT line_no, f[2] AS from_name, f[3] AS from_strand, f[4] AS to_name, f[5] AS to_strand FROM rec WHERE f[1] = 'L' AND f[3] IN ('+', '-')"),

@@ -1,7 +1,8 @@
 """The binary container: a header, tagged sections, an index of them and a footer.
 
 A container is one file that fits in a row, so it is for graphs of a machine's size; the Parquet bundle is the form for
-larger ones. Each table is read from its section by a task of its own.
+larger ones. Each table is read from its section by a task of its own. A larger graph goes into many containers, a row for
+each block of walks with the segments that they touch (`blocks`), made and read where the rows are.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..bundle import CLASSES, SCHEMAS, Bundle
 from ..operators import coders
@@ -204,6 +206,90 @@ def read(spark: SparkSession, path: str) -> Bundle:
     return Bundle(**{k: _table(spark, path, k) for k in SCHEMAS})
 
 
+def blocks(b: Bundle, walks: int = 1_000) -> DataFrame:
+    """(block, content binary): a container for each so many walk numbers, with their steps and the segments that these touch.
+
+    A task packs one block at a time; what it holds is bounded by the walks of a block, not by the graph.
+    """
+    block = F.floor(F.col("walk_idx") / walks).alias("block")
+    none = {"walk_idx": "LONG", "step_idx": "LONG", "node_id": "LONG", "text": "STRING", "flag": "BOOLEAN"}
+
+    def rows(df: DataFrame, kind: str, **given) -> DataFrame:
+        return df.select("block", F.lit(kind).alias("kind"), *(F.col(given[k]).cast(t).alias(k) if k in given else F.lit(None).cast(t).alias(k) for k, t in none.items()))
+
+    steps = b.steps.select(block, "*")
+    named = b.walks.select(block, "*")
+    touched = steps.select("block", "node_id").distinct().join(b.segments.select("node_id", "seq"), "node_id")
+    every = rows(steps, "step", walk_idx="walk_idx", step_idx="step_idx", node_id="node_id", text="strand")
+    every = every.union(rows(named, "walk", walk_idx="walk_idx", text="name", flag="is_backbone")).union(rows(touched, "segment", node_id="node_id", text="seq"))
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        t: dict[str, list[tuple]] = {k: [] for k in SCHEMAS}
+        for kind, w, j, node, text, flag in zip(*(table.column(c).to_pylist() for c in ("kind", *none))):
+            if kind == "step":
+                t["steps"].append((w, j, node, text))
+            elif kind == "walk":
+                t["walks"].append((w, text, flag))
+            else:
+                t["segments"].append((node, text, len(text)))
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([pack(t)], pa.binary())})
+
+    return every.groupBy("block").applyInArrow(packed, "block long, content binary")
+
+
+def counted(content: DataFrame) -> DataFrame:
+    """(block, content) to (block, table, n, bases): the rows of each table that a container gives back, and their letters or 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for block, data in zip(b.column(0).to_pylist(), b.column(1)):
+                for k, v in unpack(data.as_py()).items():
+                    rows.append((block, k, len(v), sum(x[2] for x in v) if k == "segments" else 0))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["block", "table", "n", "bases"])
+
+    return content.select("block", "content").mapInArrow(run, "block long, table string, n long, bases long")
+
+
+def sections(content: DataFrame) -> DataFrame:
+    """(block, content) to (block, tag, place, size), as each container's index has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c = Cursor(data, int.from_bytes(data[-16:-8], "little") + 12)
+                rows += [(block, c.take(4).decode(), c.number(8), c.number(8)) for _ in range(c.varint())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["block", "tag", "place", "size"])
+
+    return content.select("block", "content").mapInArrow(run, "block long, tag string, place long, size long")
+
+
+#: Ways to damage a container, by name.
+DAMAGES = {
+    "cut": lambda data: data[:30], "header": lambda data: b"????" + data[4:], "version": lambda data: data[:4] + b"\x07\x00" + data[6:],
+    "footer": lambda data: data[:-8] + b"????" + data[-4:], "section": lambda data: data.replace(SAMP, b"SAMX"), "none": lambda data: data,
+}
+
+
+def errors(content: DataFrame) -> DataFrame:
+    """(block, content) to (block, damage, error): what reading each container raises after each kind of damage."""
+
+    def raised(data: bytes) -> str:
+        try:
+            unpack(data)
+        except FormatError as e:
+            return type(e).__name__
+        return "none"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(block, name, raised(damage(data))) for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for name, damage in DAMAGES.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.string()))], ["block", "damage", "error"])
+
+    return content.select("block", "content").mapInArrow(run, "block long, damage string, error string")
+
+
 def write(b: Bundle, path: str) -> None:
     """Gathers the graph on the driver: a container is one file of a machine's size."""
     rows = {k: [tuple(r) for r in df.select(*[c.split()[0] for c in SCHEMAS[k].split(", ")]).collect()] for k, df in b.tables().items()}

@@ -280,3 +280,25 @@ def test_ledger_stream_takes_each_record_once(spark, tmp_path):
     for p in (last, last.with_name(f".{last.name}.crc")):  # the batch was written, but broke off before its commit
         p.unlink(missing_ok=True)
     assert taken() == want
+
+
+def test_containers_of_blocks_of_walks(spark):
+    """Each block's container holds its walks, their steps and the segments they touch, and nothing else."""
+    from loomgraph.sources import container
+
+    b = graph(spark, {1: "ACGT", 2: "GG", 3: "", 4: "TTTT"}, ["+1 -2", "+2", "+3 +3", "-1", "+2 +1 +1"])
+    made = {x["block"]: container.unpack(bytes(x["content"])) for x in container.blocks(b, 2).collect()}
+    assert {k: [w[1] for w in t["walks"]] for k, t in made.items()} == {0: ["walk0", "walk1"], 1: ["walk2", "walk3"], 2: ["walk4"]}
+    assert {k: sorted(t["segments"]) for k, t in made.items()} == {0: [(1, "ACGT", 4), (2, "GG", 2)], 1: [(1, "ACGT", 4), (3, "", 0)], 2: [(1, "ACGT", 4), (2, "GG", 2)]}
+    assert [(w, n, s) for w, _, n, s in made[0]["steps"]] == [(0, 1, "+"), (0, 2, "-"), (1, 2, "+")] and len(made[2]["steps"]) == 3
+    assert {x["error"] for x in container.errors(container.blocks(b, 2)).filter("damage = 'none'").collect()} == {"none"}
+    assert {x["tag"] for x in container.sections(container.blocks(b)).collect()} >= {"HEAD", "GRAF", "SAMP"}
+
+
+def test_varints_in_columns(spark):
+    from loomgraph.functions import sequence as S
+    from loomgraph.sources import container
+
+    values = [0, 1, 127, 128, 300, 16_383, 16_384, 2**21, 2**28 - 1, 2**28, 2**35, 2**56, 2**63 - 1]
+    rows = spark.createDataFrame([(v,) for v in values], "n LONG").withColumn("raw", S.varint("n")).select("n", "raw", S.from_varint("raw").alias("again"), S.varint_length("n").alias("size")).collect()
+    assert all(bytes(x["raw"]) == container.varint(x["n"]) and x["again"] == x["n"] and x["size"] == len(x["raw"]) for x in rows)
