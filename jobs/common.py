@@ -41,7 +41,7 @@ def launch(name: str, run, values: dict) -> None:
 
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/{name}.parquet")
-    log.info("reads %s/%s.parquet: %s", path, name, ", ".join(rows.columns))
+    log.info("reads %s/%s.parquet: %d rows of %s", path, name, rows.count(), ", ".join(rows.columns))
     return rows
 
 

@@ -42,6 +42,7 @@ def replace(rows: DataFrame, path: str, batch: int) -> None:
 def take(docs: DataFrame, batch: int, output: str) -> None:
     """One batch of documents into the segments and the ledger."""
     spark = docs.sparkSession
+    common.log.info("takes batch %d: %d documents", batch, docs.count())
     lines = counted(docs)
     fresh = lines
     if batch:
