@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import ClassVar
 
@@ -50,6 +51,16 @@ def release() -> None:
         pass
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets the shuffle files of queries that have ended go.
+
+    Spark's cleaner drops them when nothing on the driver refers to them any more, which it learns from the collectors; a
+    driver with little to do seldom collects, and the files of a long job's steps would pile up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Workspace:
     """Tables and files of one run in the shared folder.
 

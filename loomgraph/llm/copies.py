@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, in_arrow
+from .common import Workspace, in_arrow, settle
 from .simhash import _LOWER, SEED, connected, links, majority
 
 SHINGLE = 5
@@ -185,6 +185,7 @@ def apart(posted: DataFrame, labels: DataFrame, sized: DataFrame, shingles_of: C
     held = ws.table(held.join(mixed, "key"), "mixed")
     sets = ws.table(held.select("set", "label").distinct().join(sized, "set"), "sized")
     grams = ws.table(shingles_of(sets), "grams")
+    settle(ws.spark)
     few = grams.groupBy("t").agg(F.count("*").alias("k")).filter(F.col("k") <= RARE)
     rare = ws.table(grams.join(few, "t"), "rare")
     bounds = sets.join(rare.groupBy("set").agg(F.count("*").alias("own")), "set", "left").select("set", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("c"))
@@ -207,6 +208,7 @@ def apart(posted: DataFrame, labels: DataFrame, sized: DataFrame, shingles_of: C
     # Shared s of n and m: s / (n + m - s) >= p / q, so s (p + q) >= p (n + m).
     enough = F.least("a.c", "b.c") * (p + q) >= (F.col("a.n") + F.col("b.n")) * p
     common = a.join(b, meet & enough).select(F.least("a.set", "b.set").alias("a"), F.greatest("a.set", "b.set").alias("b"))
+    settle(ws.spark)
     out = ws.table(meeting.union(common).distinct(), "apart")
     ws.drop("mixed", "grams", "rare")
     return out
@@ -221,12 +223,17 @@ def firsts(docs: DataFrame, ws: Workspace) -> DataFrame:
     posted = ws.table(posted.join(shared, "key"), "posted")
     pairs = neighbours(posted).union(stars(posted)).union(by_fingerprint(of.select("set", "fp"), ws))
     pairs = ws.table(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    settle(ws.spark)
     found = verified(pairs, of, docs, ws, "near")
+    settle(ws.spark)
     labels = ws.table(connected(found, Workspace(ws.spark, "near-links")), "labels")
+    settle(ws.spark)
     others = apart(posted, labels, of.select("set", "rid", "n"), lambda some: shingled(some, docs), ws)
     others = ws.table(others.join(pairs, ["a", "b"], "left_anti"), "others")
+    settle(ws.spark)
     found = found.union(verified(others, of, docs, ws, "others"))
     ws.drop("posted", "pairs", "apart", "others")
+    settle(ws.spark)
     found = ws.table(connected(found, Workspace(ws.spark, "all-links")), "components")
     labelled = of.select("set", "place", "rid").join(found, F.col("set") == F.col("node"), "left")
     least = labelled.groupBy(F.coalesce("label", "set").alias("label")).agg(F.min_by("rid", "place").alias("rid"))

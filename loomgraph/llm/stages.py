@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import copies, mixing, packing, pii, toxicity
-from .common import Workspace, text_or_empty
+from .common import Workspace, settle, text_or_empty
 
 #: Columns of documents; a stage passes these on and no others.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -30,6 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows that tie in doc_id, or have none, the one read first stays. A very long text is compared whole. Columns besides
     COLUMNS are dropped. No documents give none.
     """
+    settle(spark)
     ws = Workspace(spark, "near-copies")
     rid = F.monotonically_increasing_id().alias("rid")
     rows = ws.table(docs.select(*COLUMNS, rid), "rows")
@@ -47,6 +48,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named, of equal starts the one of the kind listed first. A very long text is searched whole. Columns besides COLUMNS are
     dropped. No documents give none.
     """
+    settle(spark)
     found = pii.detect(spark, docs, [*COLUMNS])
     text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(pii.redacted(F.col("_text"), F.col("_spans")))
     n = F.when(F.size("_spans") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))
@@ -61,6 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     doc_id and size settle, and for equal ones the place where they were read. A very long document is taken whole or not.
     Columns besides COLUMNS are dropped. No documents give none.
     """
+    settle(spark)
     ws = Workspace(spark, "mix")
     rows = ws.table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
     sizes, taken = mixing.mix(spark, rows.select(F.col("row").alias("doc_id"), "text", "source"), ws)
@@ -76,4 +79,5 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is packed by itself, so a document that comes three times has three rows of pieces; null and empty texts are
     their end id alone; a very long text runs over many sequences; other columns are not read. No documents give no pieces.
     """
+    settle(spark)
     return packing.pack(docs, Workspace(spark, "pack"))
