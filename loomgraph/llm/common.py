@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import ClassVar
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +94,25 @@ class Workspace:
             cls.opened.pop().drop()
 
 
+def identified(docs: DataFrame, ws: Workspace, columns: list[str]) -> DataFrame:
+    """The columns of docs, and `rid`: a number of each row's own, the same each time the rows are read.
+
+    In a Parquet table that is the number of the file and the row's place in it; only the list of files is written. Rows of
+    any other origin, and those of a table that are not each of a file's rows once, have no such place and are written first.
+    """
+    try:
+        placed = docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        placed = None
+    if placed is not None:
+        files = placed.groupBy("_file").agg(F.count("*").alias("n"), F.max("_row").alias("top"), F.sum("_row").alias("total"))
+        files = ws.table(files.withColumn("number", F.row_number().over(Window.orderBy("_file")).cast("long")), "files")
+        if files.filter("n <> top + 1 OR 2 * total <> n * (n - 1)").isEmpty():
+            numbers = files.select("_file", "number")
+            return placed.join(numbers, "_file").select(*columns, (F.shiftleft("number", 40) + F.col("_row")).alias("rid"))
+    return ws.table(docs.select(*columns, F.monotonically_increasing_id().alias("rid")), "rows")
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

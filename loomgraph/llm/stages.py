@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import copies, mixing, packing, pii, toxicity
-from .common import Workspace, settle, text_or_empty
+from .common import Workspace, identified, settle, text_or_empty
 
 #: Columns of documents; a stage passes these on and no others.
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,8 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     settle(spark)
     ws = Workspace(spark, "near-copies")
-    rid = F.monotonically_increasing_id().alias("rid")
-    rows = ws.table(docs.select(*COLUMNS, rid), "rows")
+    rows = identified(docs, ws, COLUMNS)
     worded = F.rlike(text_or_empty(), F.lit("[^ \\t-\\r]"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid").alias("place")
     first = copies.firsts(rows.filter(worded).select("rid", place, "text"), ws)
@@ -65,11 +64,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     settle(spark)
     ws = Workspace(spark, "mix")
-    rows = ws.table(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
-    sizes, taken = mixing.mix(spark, rows.select(F.col("row").alias("doc_id"), "text", "source"), ws)
+    rows = identified(docs, ws, COLUMNS)
+    sizes, taken = mixing.mix(spark, rows.select(F.col("rid").alias("doc_id"), "text", "source"), ws)
     times = taken.groupBy("rid").agg(F.count("*").cast("int").alias("copies"))
     times = sizes.select("rid", F.col("doc_id").alias("of")).join(times, "rid").select("of", "copies")
-    copied = rows.join(times, F.col("row") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    copied = rows.join(times, F.col("rid") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return copied.select(COLUMNS)
 
 
