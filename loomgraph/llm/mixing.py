@@ -7,7 +7,7 @@ so that the cut rounds to the nearer document, and the order is cut at the total
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, documents, n_words, text_or_empty
@@ -40,9 +40,10 @@ def sources_with_targets(totals: DataFrame, max_repeats: int) -> DataFrame:
     )
 
 
-def mix(spark: SparkSession, docs: DataFrame, ws: Workspace, seed: int = 17, max_repeats: int = 3) -> tuple[DataFrame, DataFrame]:
+def mix(spark: SparkSession, docs: DataFrame, ws: Workspace, seed: int = 17, max_repeats: int = 3, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text, source): (sizes, taken).
 
+    row: a number of each row's own; without it the rows are numbered as they are read.
     sizes: a row for each document: rid, doc_id, source, key, size, source_size, weight, target.
     taken: the mix, a row for each copy: rid, epoch, finish, due, size; its place in the order is (due, source, epoch, ...).
     A null text has size 0, a null source is a source of its own, repeated rows are queued apart, an empty table gives
@@ -51,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, ws: Workspace, seed: int = 17, max
     """
     text = text_or_empty()
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), F.col("source"), n_words(text).alias("size"),
+        (F.monotonically_increasing_id() if row is None else row).alias("rid"), F.col("doc_id"), F.col("source"), n_words(text).alias("size"),
         F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), text).cast("binary")), 1, 15), 16, 10).cast("long").alias("key"),
     )
     rows = ws.table(rows, "sizes")

@@ -65,9 +65,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     settle(spark)
     ws = Workspace(spark, "mix")
     rows = identified(docs, ws, COLUMNS)
-    sizes, taken = mixing.mix(spark, rows.select(F.col("rid").alias("doc_id"), "text", "source"), ws)
-    times = taken.groupBy("rid").agg(F.count("*").cast("int").alias("copies"))
-    times = sizes.select("rid", F.col("doc_id").alias("of")).join(times, "rid").select("of", "copies")
+    _, taken = mixing.mix(spark, rows, ws, row=F.col("rid"))
+    times = taken.groupBy(F.col("rid").alias("of")).agg(F.count("*").cast("int").alias("copies"))
     copied = rows.join(times, F.col("rid") == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return copied.select(COLUMNS)
 

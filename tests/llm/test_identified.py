@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import common
+from loomgraph.llm import common, stages
 
 
 def _table(spark, tmp_path, rows=60, files=4):
@@ -52,3 +52,13 @@ def test_clashing_names_and_no_rows(spark, tmp_path):
     assert len({r["rid"] for r in rows}) == len(rows) == 60
     docs.limit(0).write.parquet(f"{tmp_path}/none")
     assert common.identified(spark.read.parquet(f"{tmp_path}/none"), common.Workspace(spark, "t"), ["doc_id", "text"]).count() == 0
+
+
+def test_a_mix_does_not_depend_on_how_rows_lie_in_files(spark, tmp_path):
+    rows = [(k if k % 9 else None, " ".join(f"w{k * j % 31}" for j in range(k % 13)), "en", None if k % 5 == 0 else "abc"[k % 3 * (k % 4 > 1)], k) for k in range(200)]
+    df = spark.createDataFrame(rows + rows[:20], "doc_id long, text string, lang string, source string, n_chars long")
+    found = []
+    for name, n in (("one", 1), ("five", 5)):
+        df.repartition(n, F.rand(n)).write.parquet(f"{tmp_path}/{name}")
+        found.append(sorted(map(str, stages.mix_sources(spark, spark.read.parquet(f"{tmp_path}/{name}"), "").collect())))
+    assert found[0] == found[1] and len(set(found[0])) > 50
