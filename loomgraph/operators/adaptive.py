@@ -77,7 +77,8 @@ def packed(pieces: DataFrame, chunk_symbols: int = CHUNK) -> DataFrame:
                 yield from chunks(False)
         yield from chunks(True)
 
-    rows = pieces.repartitionByRange("stream", "ord").sortWithinPartitions("stream", "ord")
+    # Cutting into ranges reads the pieces twice: what makes them is done once.
+    rows = cut(pieces).repartitionByRange("stream", "ord").sortWithinPartitions("stream", "ord")
     rows = rows.select("stream", F.spark_partition_id().cast("long").alias("_part"), "data")
     return cut(rows.mapInArrow(run, f"stream {kind}, _part long, _row long, data binary"))
 

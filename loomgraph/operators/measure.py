@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
 from ..functions import sequence as S
-from ..workspace import neighbour
+from ..workspace import cut, neighbour
 from . import coders
 from .adaptive import order_cost, order_costs
 from .walks import backbone_nodes, instance_entries, other_segments, spell, spelled_pieces
@@ -77,16 +79,16 @@ def walk_deltas(b: Bundle) -> DataFrame:
     return neighbour(rest, "walk_idx", "step_idx", {"node_id": "before"}, -1).select("walk_idx", "step_idx", S.zigzag(F.col("node_id") - before).alias("code"), "strand")
 
 
-def walks_raw(b: Bundle) -> DataFrame:
+def walks_raw(b: Bundle, deltas: DataFrame | None = None) -> DataFrame:
     """(steps, bits): steps of all walks; bits of the varint stream of all but the backbone, without building it."""
-    bits = walk_deltas(b).agg(F.coalesce(F.sum(8 * (S.varint_length("code") + 1)), F.lit(0)).cast("long").alias("bits"))
+    bits = (deltas or walk_deltas(b)).agg(F.coalesce(F.sum(8 * (S.varint_length("code") + 1)), F.lit(0)).cast("long").alias("bits"))
     return b.steps.agg(F.count("*").alias("steps")).crossJoin(bits)
 
 
-def walk_pieces(b: Bundle) -> DataFrame:
+def walk_pieces(b: Bundle, deltas: DataFrame | None = None) -> DataFrame:
     """(stream, ord, seq): the varint stream as a piece of bytes a step, in order of walk and step."""
     one = F.concat(S.varint("code"), F.unhex(F.when(F.col("strand") == "-", "01").otherwise("00")))
-    return walk_deltas(b).select(F.lit("walks").alias("stream"), F.struct("walk_idx", "step_idx").alias("ord"), one.alias("seq"))
+    return (deltas or walk_deltas(b)).select(F.lit("walks").alias("stream"), F.struct("walk_idx", "step_idx").alias("ord"), one.alias("seq"))
 
 
 def walk_stream(b: Bundle) -> DataFrame:
@@ -132,6 +134,7 @@ def results(b: Bundle, orders: tuple[int, ...] = ORDERS, external: bool = True)
     The adaptive coder's are found by ranges, for parts of any size. General coders, if asked for, take each part as one row.
     """
     spark = b.segments.sparkSession
+    b = replace(b, steps=cut(b.steps))
     names = spark.range(1).select(F.posexplode(F.array(*(F.lit(x) for x in SECTIONS[:4]))).alias("section_ord", "section"))
     sizes, pieces = section_sizes(b), section_pieces(b)
     rows = sizes.select("section", F.lit(0).alias("coder_ord"), F.lit("2bit").alias("coder"), F.col("twobit_bits").alias("bits"))
@@ -144,9 +147,10 @@ def results(b: Bundle, orders: tuple[int, ...] = ORDERS, external: bool = True)
     factored = coded(spark.range(1).select(F.lit("put").alias("section")), put, (max(orders),)).crossJoin(instance_entries(b).agg(F.count("*").alias("n")))
     rows = rows.union(factored.select(F.lit("repeats"), F.lit(99), F.lit("dict-factored"), F.col("bits") + INSTANCE_BITS * F.col("n")))
     shared = rows.join(names, "section").join(sizes.select("section", "bases"), "section").select("section_ord", "section", "bases", "coder_ord", "coder", "bits")
-    one = walks_raw(b)
+    deltas = cut(walk_deltas(b))
+    one = cut(walks_raw(b, deltas))
     walk = spark.range(1).select(F.lit("walks").alias("section"))
-    walked = one.select(F.lit("walks").alias("section"), F.lit(0).alias("coder_ord"), F.lit("raw").alias("coder"), "bits").union(coded(walk, walk_pieces(b), orders))
+    walked = one.select(F.lit("walks").alias("section"), F.lit(0).alias("coder_ord"), F.lit("raw").alias("coder"), "bits").union(coded(walk, walk_pieces(b, deltas), orders))
     if external:
         whole = walk.join(walk_stream(b), F.col("section") == F.col("stream"), "left").select(F.col("section").alias("stream"), F.coalesce("data", F.lit("").cast("binary")).alias("data"))
         walked = walked.union(coders.stream_costs(whole, [], True).select("stream", F.col("coder_ord") + len(orders), "coder", "bits"))

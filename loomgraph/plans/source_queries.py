@@ -11,7 +11,7 @@ from ..functions import sequence as S
 from ..operators import measure, walks, windows
 from ..sources import container, fasta, gfa, synth, tables
 from ..streaming import ledger
-from ..workspace import fresh_folder
+from ..workspace import cut, fresh_folder
 from . import sql as Q
 from .adapters import orders, part_segments, plain_layout, table
 from .measure_queries import _CODERS, _coder_rows, _named
@@ -49,6 +49,13 @@ def _records(s, d):
     return gfa.records(_lines(s, d)).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def _walk_lines(s, d):
+    """The steps of W lines with their line's name, of lines written and read back once."""
+    rows = cut(gfa.records(_lines(s, d)).filter("tag = 'W'"))
+    steps = gfa.walk_steps(rows).select("line_no", "step_idx", F.col("name").alias("node"), "strand")
+    return gfa.walk_lines(rows).join(steps, "line_no").select("line_no", "name", "step_idx", "node", "strand")
+
+
 def _rgfa(s, d):
     """Segments with rank tags, as lines."""
     p = table(s, d, "part")
@@ -201,7 +208,7 @@ QUERIES = {
     "s2_segments": (lambda s, d: gfa.segment_lines(gfa.records(_lines(s, d))).select("name", "seq"), _LINES + "SELECT f[2] AS name, f[3] AS seq FROM rec WHERE f[1] = 'S'"),
     "s3_links": (lambda s, d: gfa.link_lines(gfa.records(_lines(s, d))), _LINES + "SELECT line_no, f[2] AS from_name, f[3] AS from_strand, f[4] AS to_name, f[5] AS to_strand FROM rec WHERE f[1] = 'L' AND f[3] IN ('+', '-')"),
     "s4_paths": (lambda s, d: gfa.path_steps(gfa.records(_lines(s, d))).select("line_no", "step_idx", "name", "strand"), _LINES + "SELECT line_no, i - 1 AS step_idx, substr(item, 1, length(item) - 1) AS name, right(item, 1) AS strand FROM (SELECT line_no, unnest(string_split(f[3], ',')) AS item, generate_subscripts(string_split(f[3], ','), 1) AS i FROM rec WHERE f[1] = 'P')"),
-    "s5_walks": (lambda s, d: gfa.walk_lines(gfa.records(_lines(s, d)).filter("tag = 'W'")).join(gfa.walk_steps(gfa.records(_lines(s, d))).select("line_no", "step_idx", F.col("name").alias("node"), "strand"), "line_no").select("line_no", "name", "step_idx", "node", "strand"), _LINES + "SELECT line_no, f[2] || '#1#' || f[4] AS name, i - 1 AS step_idx, substr(item, 2) AS node, CASE WHEN item[1] = '>' THEN '+' ELSE '-' END AS strand FROM (SELECT line_no, f, unnest(regexp_extract_all(f[7], '[<>][^<>]+')) AS item, generate_subscripts(regexp_extract_all(f[7], '[<>][^<>]+'), 1) AS i FROM rec WHERE f[1] = 'W')"),
+    "s5_walks": (_walk_lines, _LINES + "SELECT line_no, f[2] || '#1#' || f[4] AS name, i - 1 AS step_idx, substr(item, 2) AS node, CASE WHEN item[1] = '>' THEN '+' ELSE '-' END AS strand FROM (SELECT line_no, f, unnest(regexp_extract_all(f[7], '[<>][^<>]+')) AS item, generate_subscripts(regexp_extract_all(f[7], '[<>][^<>]+'), 1) AS i FROM rec WHERE f[1] = 'W')"),
     "s6_interning": (lambda s, d: gfa.interned(gfa.records(_lines(s, d))), _MENTIONS + "SELECT name, node_id FROM ids"),
     "s7_rank_tags": (_ranks, _RANKS + "SELECT name, seq, coalesce(rank, -1) AS rank, coalesce(so, -1) AS so, sn FROM r"),
     "s8_spine": (_spine, _RANKS + "SELECT row_number() OVER (ORDER BY so, line_no) - 1 AS step_idx, name, (SELECT first(sn ORDER BY so, line_no) FROM r WHERE rank = 0) || '#0#ref' AS walk FROM r WHERE rank = 0"),
