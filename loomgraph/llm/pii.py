@@ -1,8 +1,7 @@
 """Personal data: patterns propose candidate spans, boosted trees score them, calibrated thresholds choose.
 
-Candidates are found and described by DataFrame functions. The trees are fitted on the driver to candidates of the
-documents at hand, a sample of bounded size, and to as many made-up spans in context at most, and become an SQL
-expression. Of the documents' candidates those that meet a span of a base kind are personal data; what shows that (a plus,
+Candidates are found and described by DataFrame functions. The trees are fitted to all candidates of all documents at
+hand, counted by their features, and to some made-up spans in context, and become an SQL expression. Of the documents' candidates those that meet a span of a base kind are personal data; what shows that (a plus,
 an at sign) is not among the features. Those without any cue of personal data, or with a cue of something else, are none;
 the others teach nothing. Thresholds are calibrated on candidates of other documents. The contract's base kinds are kept
 whatever their score.
@@ -19,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .boosting import Boosted, threshold
-from .common import documents, text_or_empty
+from .boosting import binned, fitted, threshold
+from .common import Workspace, documents, text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 #: Generators beyond the base kinds; what they propose may overlap. Fixed values.
@@ -35,9 +34,10 @@ GENERATORS = [
 HINTS = {"number": None, "iban": r"[A-Z]{2}[0-9]{2}", "contact": r"[(\[\x20]at[)\]\x20]"}
 #: Characters of context before and after a candidate that its features look at.
 CONTEXT = 24
-#: Bounds of what the trees are fitted to and calibrated on: made-up spans; documents, the first so many by hash, and
-#: candidates in them, likewise.
-TRAIN_SPANS, SAMPLE_DOCS, SAMPLE_SPANS = 1_200, 4_000, 2_400
+#: Made-up spans that the trees are fitted to and calibrated on besides the documents'.
+TRAIN_SPANS = 1_200
+#: Scores that calibration tells apart.
+SCORES = 10_000
 #: One in so many documents and made-up spans is kept for calibration.
 HELD = 3
 PRECISION = 0.97
@@ -155,19 +155,16 @@ def made_up(n: int, seed: int) -> list[tuple[str, int]]:
     return out
 
 
-def labelled(docs: DataFrame, limit: int = SAMPLE_DOCS, most: int = SAMPLE_SPANS) -> DataFrame:
-    """docs (doc_id, text): (doc_id, y, x) of candidates whose label is known, of a bounded sample of documents."""
-    ids = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(limit)
-    # One text an id, so that an id that comes often adds no rows.
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min("text").alias("text"))
+def labelled(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text): (doc_id, y, x) of every candidate whose label is known, of all documents."""
     text = F.col("text")
-    rows = texts.withColumn("base", base_spans(text)).withColumn("found", proposals(text)).filter(F.size("found") > 0)
+    rows = docs.select("doc_id", "text").filter("text is not null").withColumn("base", base_spans(text)).withColumn("found", proposals(text)).filter(F.size("found") > 0)
     rows = rows.select("doc_id", "base", F.explode(described(text, F.col("found"))).alias("x"))
     met = F.exists("base", lambda b: _meets(b, F.col("x")))
     cue = (F.col("x.cue_phone") + F.col("x.cue_id") + F.col("x.cue_bank")) > 0
     other = (F.col("x.cue_not") > 0) | (F.col("x.year") > 0) | ~cue
     y = F.when(met, 1.0).when(other, 0.0)
-    return rows.select("doc_id", y.alias("y"), "x").filter("y is not null").orderBy(F.xxhash64("doc_id", "x.start", "x.kind"), "doc_id", "x.start", "x.kind").limit(most)
+    return rows.select("doc_id", y.alias("y"), "x").filter("y is not null")
 
 
 @dataclass
@@ -180,22 +177,29 @@ class Model:
     recall: float
 
 
-def model(spark: SparkSession, docs: DataFrame, seed: int = 5) -> Model:
+def examples(spark: SparkSession, docs: DataFrame, seed: int = 5) -> DataFrame:
+    """(kind, features, y, real, held, n): the labelled candidates of all documents and the made-up ones, counted by what the trees see of them."""
     values = ", ".join(f"({i}, '{t}', {y}D)" for i, (t, y) in enumerate(made_up(TRAIN_SPANS, seed)))
     made = spark.sql(f"SELECT * FROM VALUES {values} AS t(id, text, y)")
-    made = made.select("id", "y", F.explode(described(F.col("text"), proposals(F.col("text")))).alias("x"), F.lit(0).alias("real"))
+    made = made.select(F.col("id").cast("long").alias("id"), "y", F.explode(described(F.col("text"), proposals(F.col("text")))).alias("x"), F.lit(0).alias("real"))
     real = labelled(docs).select(F.xxhash64("doc_id").alias("id"), "y", "x", F.lit(1).alias("real"))
-    got = made.select(F.col("id").cast("long").alias("id"), "y", "x", "real").union(real).select("id", "y", "real", "x.kind", "x.start", *(f"x.{k}" for k in FEATURES)).collect()
-    got.sort(key=lambda r: (r["real"], r["id"], r["start"], r["kind"]))
-    x, y = np.array([[r[k] for k in FEATURES] for r in got]), np.array([r["y"] for r in got])
-    held, real = np.array([r["id"] % HELD == 0 for r in got]), np.array([r["real"] == 1 for r in got])
-    kinds = np.array([r["kind"] for r in got])
-    trees = Boosted().fit(x[~held], y[~held])
-    score = trees.predict(x)
-    cuts = {k: threshold(score[held & (kinds == k)], y[held & (kinds == k)], PRECISION) for k, _ in GENERATORS}
-    said = score >= np.array([cuts[k] for k in kinds])
-    right = (said & (y == 1) & held & real).sum()
-    return Model(trees.sql([f"x.{k}" for k in FEATURES]), tuple(cuts.items()), float(right / max((said & held & real).sum(), 1)), float(right / max(((y == 1) & held & real).sum(), 1)))
+    seen = [binned(F.col(f"x.{k}")).alias(k) for k in FEATURES]
+    both = made.union(real).select("x.kind", *seen, "y", "real", (F.pmod("id", F.lit(HELD)) == 0).alias("held"))
+    return both.groupBy("kind", *FEATURES, "y", "real", "held").agg(F.count("*").alias("n"))
+
+
+def model(spark: SparkSession, docs: DataFrame, seed: int = 5) -> Model:
+    rows = Workspace(spark, "pii").table(examples(spark, docs, seed), "examples")
+    trees = fitted(rows.filter("NOT held"), [*FEATURES])
+    # Of the held-out candidates the numbers by kind, label and score, to a ten-thousandth.
+    score = F.expr(trees.sql([*FEATURES]))
+    got = rows.filter("held").groupBy("kind", "y", "real", F.floor(score * SCORES).cast("long").alias("q")).agg(F.sum("n").alias("n")).collect()
+    kinds, q, y, n, real = (np.array([r[k] for r in got]) for k in ("kind", "q", "y", "n", "real"))
+    own = {k: np.array([x == k for x in kinds], bool) for k, _ in GENERATORS}
+    cuts = {k: threshold(q[i] / SCORES, y[i], PRECISION, n[i]) for k, i in own.items()}
+    said = np.array([a / SCORES >= cuts[k] for a, k in zip(q, kinds)], bool)
+    right = n[said & (y == 1) & (real == 1)].sum()
+    return Model(trees.sql([f"x.{k}" for k in FEATURES]), tuple(cuts.items()), float(right / max(n[said & (real == 1)].sum(), 1)), float(right / max(n[(y == 1) & (real == 1)].sum(), 1)))
 
 
 def _meets(a: Column, b: Column) -> Column:
