@@ -76,10 +76,9 @@ def _counts(strict=False, kind=False):
 
 
 def _global_frame(spark, d):
-    s = dna(spark, d)
-    n = F.char_length("seq")
-    at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    rows = s.select("doc_id", F.explode(F.transform(F.filter(at, lambda i: F.pmod(F.col("doc_id") + i, F.lit(3)) == 0), lambda i: S.amino_strict(F.substr("seq", i + 1, F.lit(3))))).alias("aa"))
+    """Codons whose places, counted from the document's number, are multiples of three: from the first of them on, whole ones."""
+    first = F.pmod(-F.col("doc_id"), F.lit(3)).cast("int") + 1
+    rows = dna(spark, d).select("doc_id", F.explode(S.aminos(F.substr(F.col("seq"), first), 0, True)).alias("aa"))
     return rows.groupBy("doc_id", "aa").agg(F.count("*").alias("n"))
 
 
