@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workspace import cut
+
 SCHEMAS = {
     "segments": "node_id BIGINT, seq STRING, len BIGINT",
     "edges": "edge_idx BIGINT, from_id BIGINT, from_strand STRING, to_id BIGINT, to_strand STRING",
@@ -41,8 +44,11 @@ class Bundle:
 
     @property
     def backbone_steps(self) -> DataFrame:
-        """Steps of the backbone walk."""
-        return self.steps.join(self.walks.filter("is_backbone").select("walk_idx"), "walk_idx", "left_semi")
+        """Steps of the backbone walk. Its number is found and written once, so the other steps needn't be moved to leave them out."""
+        found = getattr(self, "_spine", None)
+        if found is None or found[0] is not self.walks:
+            found = self._spine = (self.walks, cut(self.walks.filter("is_backbone").select("walk_idx")))
+        return self.steps.join(found[1], "walk_idx", "left_semi")
 
     def save(self, path: str) -> None:
         """One Parquet folder a table, and a manifest. Segments are sorted by id, so that lookups prune row groups."""
@@ -63,8 +69,10 @@ def differences(a: Bundle, b: Bundle) -> DataFrame:
     """Rows of any table that one of the bundles has more often than the other: none if they are equal."""
     out = None
     for name, left in a.tables().items():
-        right = b.tables()[name].select(left.columns)
-        for side, x, y in (("left", left, right), ("right", right, left)):
-            part = x.exceptAll(y).select(F.lit(name).alias("table"), F.lit(side).alias("side"), F.to_json(F.struct("*")).alias("row"))
-            out = part if out is None else out.union(part)
+        # Both sides are counted in one pass: more on the left above zero, on the right below.
+        sides = (x.select(*left.columns, F.lit(d).alias("_d")) for x, d in ((left, 1), (b.tables()[name], -1)))
+        more = reduce(DataFrame.union, sides).groupBy(*left.columns).agg(F.sum("_d").alias("_d")).filter("_d <> 0")
+        row = F.to_json(F.struct(*left.columns))
+        part = more.select(F.lit(name).alias("table"), F.when(F.col("_d") > 0, "left").otherwise("right").alias("side"), row.alias("row"), F.expr("explode(array_repeat(0, cast(abs(_d) AS int)))").alias("_i")).drop("_i")
+        out = part if out is None else out.union(part)
     return out

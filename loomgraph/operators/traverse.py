@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
-from ..workspace import cut, ordinals
+from ..workspace import bucketed, cut, ordinals
 from .walks import adjacency, backbone_offsets
 
 
@@ -27,10 +27,9 @@ def anchors(b: Bundle) -> DataFrame:
     written once.
     """
     adj = adjacency(b)
-    both = adj.select(F.col("a").alias("at"), F.col("b").alias("to"), F.struct(F.lit(0).alias("side"), "ord").alias("key")).union(
-        adj.select(F.col("b").alias("at"), F.col("a").alias("to"), F.struct(F.lit(1).alias("side"), "ord").alias("key"))
-    )
-    both = cut(both)
+    ways = F.array(*(F.struct(F.col(x).alias("at"), F.col(y).alias("to"), F.lit(side).alias("side")) for side, (x, y) in enumerate(("ab", "ba"))))
+    # Written in buckets of the node that a step starts from, so that no level's join moves it again.
+    both = bucketed(adj.select("ord", F.explode(ways).alias("w")).select("w.at", "w.to", F.struct("w.side", "ord").alias("key")), "at")
     level = cut(backbone_offsets(b).select("node_id", F.col("bb_offset").alias("anchor"), F.col("node_id").alias("rank")))
     done, levels = [], [level]
     while True:

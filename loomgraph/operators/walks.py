@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..bundle import Bundle
 from ..functions import sequence as S
-from ..workspace import neighbour, running
+from ..workspace import cut, neighbour, running
 
 
 def segment_bases(segments: DataFrame) -> DataFrame:
@@ -108,6 +113,25 @@ def walks_through_both(member: DataFrame, pairs: DataFrame) -> DataFrame:
     return shared.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+#: Nodes of a walk whose pairs are listed; the nodes of longer walks are met by their bits.
+LISTED = 12
+
+
+def walks_of_pairs(steps: DataFrame, pairs: DataFrame, listed: int = LISTED) -> DataFrame:
+    """walks_through_both() from steps, pairs being distinct and a < b.
+
+    A short walk lists the pairs of its nodes, (listed - 1) / 2 a node at most, which meet the given pairs by equality; only
+    nodes of longer walks go by membership(), where a pair takes a row for each block of its first node's walks.
+    """
+    nodes = steps.groupBy("walk_idx").agg(F.count("*").alias("n"), F.when(F.count("*") <= listed, F.array_sort(F.collect_set("node_id"))).alias("nodes"))
+    ahead = F.transform("nodes", lambda a, i: F.transform(F.slice(F.col("nodes"), i + 2, F.lit(listed)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+    counts = nodes.filter(F.size("nodes") > 1).select(F.inline(F.flatten(ahead))).groupBy("a", "b").agg(F.count("*").alias("n")).join(pairs, ["a", "b"], "left_semi")
+    long = cut(steps.join(nodes.filter(F.col("n") > listed).select("walk_idx"), "walk_idx", "left_semi").select("walk_idx", "node_id"))
+    if long.isEmpty():
+        return counts
+    return counts.union(walks_through_both(membership(long), pairs)).groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def node_walks(steps: DataFrame) -> DataFrame:
     """(node_id, walks): the walks through each node, in order, as one array a node; membership() is the form without it."""
     per = membership(steps).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("block", "bits"))).alias("x"))
@@ -116,10 +140,11 @@ def node_walks(steps: DataFrame) -> DataFrame:
 
 def haplotypes(b: Bundle, nodes: DataFrame) -> DataFrame:
     """(node_id, haplotypes): sample names of the walks through the given nodes, in walk order, as one array a node."""
-    through = membership(b.steps.join(nodes.select("node_id").distinct(), "node_id", "left_semi"))
-    named = through.select("node_id", F.explode(members(F.col("block"), F.col("bits"))).alias("walk_idx")).join(b.walks, "walk_idx")
-    named = named.select("node_id", F.struct("walk_idx", S.sample("name").alias("s")).alias("x"))
-    return named.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("haplotypes"))
+    # Steps meet their walks first, by the walk, as they come; of a walk only its number and sample go on.
+    names = b.walks.select("walk_idx", S.sample("name").alias("s"))
+    through = b.steps.select("walk_idx", "node_id").join(names, "walk_idx").join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+    once = through.groupBy("node_id", "walk_idx", "s").agg(F.lit(0).alias("_"))
+    return once.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("walk_idx", "s"))), lambda x: x["s"]).alias("haplotypes"))
 
 
 def chain_edges(steps: DataFrame) -> DataFrame:
@@ -162,21 +187,46 @@ def unspellable(b: Bundle) -> DataFrame:
 #: Primes below 2 ** 31, whose products fit 64 bits, and a base for each. Fixed values.
 MODULI = (2_147_483_647, 2_147_483_629, 2_147_483_587)
 BASES = (1_103_515_245, 1_664_525_013, 1_812_433_253)
+#: Characters of segments that are hashed at a time, and those of one more segment.
+HASHED = 1 << 20
 #: Bits of a walk's greatest offset.
 OFFSET_BITS = 48
 
 
-def _rolled(text: Column) -> Column:
-    """For each modulus the sum of the text's bytes times the base to the power of their place."""
-    start = F.struct(*(F.lit(0).cast("long").alias(f"h{i}") for i in range(len(MODULI))))
-    step = lambda h, c: F.struct(*(((h[f"h{i}"] * F.lit(b) + F.ascii(c)) % F.lit(m)).alias(f"h{i}") for i, (b, m) in enumerate(zip(BASES, MODULI))))
-    return F.aggregate(F.filter(F.split(F.reverse(text), ""), lambda c: c != ""), start, step)
+def _powers(base: int, modulus: int, n: int) -> np.ndarray:
+    """The base to the powers 0 to n at least."""
+    out = np.ones(1, np.int64)
+    while len(out) <= n:
+        out = np.concatenate([out, out * pow(base, len(out), modulus) % modulus])
+    return out
+
+
+def _rolled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node_id, +, -): (node_id, strand, n, h0, h1, h2), for each modulus the sum of the text's characters times the base to the power of their place."""
+    for whole in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(whole.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // HASHED
+        cuts = np.append(0, np.append(np.flatnonzero(np.diff(size)) + 1, len(whole)))
+        for b in (whole.slice(i, j - i) for i, j in zip(cuts.tolist(), cuts[1:].tolist())):
+            for strand in (1, 2):
+                texts = b.column(strand)
+                null, texts = texts.is_null().to_numpy(zero_copy_only=False), texts.fill_null("")
+                n = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+                codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), "<u4").astype(np.int64)
+                end = np.cumsum(n)
+                place, h = np.arange(len(codes)) - np.repeat(end - n, n), []
+                for base, modulus in zip(BASES, MODULI):
+                    sums = np.append(0, np.cumsum(codes * _powers(base, modulus, int(n.max(initial=0)))[place] % modulus))
+                    h.append(pa.array((sums[end] - sums[end - n]) % modulus, mask=null))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["+-"[strand - 1]] * len(b)), pa.array(n, mask=null), *h], ["node_id", "strand", "n", "h0", "h1", "h2"])
 
 
 def _power(base: int, modulus: int, exponent: Column) -> Column:
-    squares = F.array(*(F.lit(pow(base, 1 << k, modulus)).cast("long") for k in range(OFFSET_BITS)))
-    bit = lambda k: F.call_function("shiftright", exponent, k).bitwiseAND(F.lit(1)) == 1
-    return F.aggregate(F.sequence(F.lit(0), F.lit(OFFSET_BITS - 1)), F.lit(1).cast("long"), lambda p, k: F.when(bit(k), p * F.get(squares, k) % F.lit(modulus)).otherwise(p))
+    """A look-up for each byte of the exponent."""
+    out = F.lit(1).cast("long")
+    for k in range(0, OFFSET_BITS, 8):
+        table = F.expr(f"array({', '.join(f'{x}L' for x in _powers(pow(base, 1 << k, modulus), modulus, 255)[:256])})")
+        out = out * F.get(table, F.shiftright(exponent, k).bitwiseAND(F.lit(255)).cast("int")) % F.lit(modulus)
+    return out
 
 
 def digests(b: Bundle) -> DataFrame:
@@ -187,8 +237,8 @@ def digests(b: Bundle) -> DataFrame:
     texts of a length n that differ agree in all three with a chance of about (n / 2 ** 31) ** 3 at most.
     """
     names = [f"h{i}" for i in range(len(MODULI))]
-    strands = b.segments.select("node_id", F.char_length("seq").alias("n"), F.explode(F.array(*(F.struct(F.lit(s).alias("strand"), _rolled(S.oriented("seq", F.lit(s))).alias("h")) for s in "+-"))).alias("x"))
-    strands = strands.select("node_id", "n", "x.strand", *(F.col(f"x.h.{n}").alias(n) for n in names))
+    both = b.segments.select(F.col("node_id").cast("long").alias("node_id"), "seq", S.reverse_complement("seq").alias("turned"))
+    strands = both.mapInArrow(_rolled, "node_id long, strand string, n long, h0 long, h1 long, h2 long")
     turned = b.steps.select("walk_idx", "step_idx", "node_id", F.when(F.col("strand") == "-", "-").otherwise("+").alias("strand"))
     placed = running(turned.join(strands, ["node_id", "strand"], "left"), "walk_idx", "step_idx", F.col("n"), "at")
     parts = [F.sum(F.col(n) * _power(base, m, F.col("at")) % F.lit(m)).alias(n) for n, base, m in zip(names, BASES, MODULI)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..bundle import Bundle, differences
 from ..functions import sequence as S
 from ..operators import layout, search, traverse, walks
-from ..workspace import fresh_folder
+from ..workspace import cut, fresh_folder
 from . import sql as Q
 from .adapters import corpus, orders, table, dna
 
@@ -43,7 +44,7 @@ def _local_lanes(s, d):
 
 
 def _layout(s, d):
-    return layout.lanes(layout.positions(orders(s, d)))
+    return layout.lanes(layout.positions(orders(s, d, stored=True)))
 
 
 def _islands(s, d):
@@ -118,9 +119,9 @@ UNION ALL SELECT 'differences', 0 UNION ALL SELECT 'unspellable', count(DISTINCT
 
 def _through_both(s, d):
     """Neighbours of any walk, and how many walks go through both of them, next to one another or not."""
-    b = orders(s, d)
+    b = orders(s, d, stored=True)
     pairs = walks.adjacency(b).filter("a < b").select("a", "b")
-    return walks.walks_through_both(walks.membership(b.steps), pairs)
+    return walks.walks_of_pairs(b.steps, pairs)
 
 
 #: A queue search by levels. A level's neighbours are of the level before, of itself or new, so the working table holds these two.
@@ -156,13 +157,13 @@ QUERIES = {
     "g11_walks_through_both": (_through_both, Q.ORDERS + "SELECT a, b, count(*) AS n FROM (SELECT DISTINCT a, b FROM adj WHERE a < b) JOIN (SELECT DISTINCT walk_idx, node_id AS a FROM st) USING (a) JOIN (SELECT DISTINCT walk_idx, node_id AS b FROM st) USING (b, walk_idx) GROUP BY 1, 2"),
     "g12_haplotypes": (lambda s, d: walks.haplotypes(orders(s, d), orders(s, d).segments).select("node_id", F.array_join("haplotypes", ",").alias("haplotypes")), Q.ORDERS + "SELECT node_id, string_agg('order#' || walk_idx, ',' ORDER BY walk_idx) AS haplotypes FROM (SELECT DISTINCT node_id, walk_idx FROM st JOIN sg USING (node_id)) GROUP BY 1"),
     "g13_chain_edges": (lambda s, d: orders(s, d, True).edges, Q.ORDERS + "SELECT edge_idx, from_id, from_strand, to_id, to_strand FROM ed"),
-    "g14_anchors": (lambda s, d: traverse.anchors(orders(s, d)), _ANCHORS + "SELECT node_id, anchor FROM anc"),
+    "g14_anchors": (lambda s, d: traverse.anchors(orders(s, d, stored=True)), _ANCHORS + "SELECT node_id, anchor FROM anc"),
     "g15_bounded_search": (_near, _NEAR + "SELECT seed, node_id, depth FROM near"),
     "g16_induced_edges": (lambda s, d: search.subgraph_edges(orders(s, d), _near(s, d)), _NEAR + "SELECT x.seed, a, b FROM adj JOIN near x ON x.node_id = a JOIN near y ON y.node_id = b AND y.seed = x.seed"),
     "g17_window_edges": (lambda s, d: walks.induced_edges(_edges_ab(s, d), table(s, d, "part").filter("p_size <= 10").select(F.col("p_partkey").alias("node_id"))).select("edge_idx", "a", "b"), Q.ORDERS + "SELECT edge_idx, from_id AS a, to_id AS b FROM ed WHERE from_id IN (SELECT p_partkey FROM part WHERE p_size <= 10) AND to_id IN (SELECT p_partkey FROM part WHERE p_size <= 10)"),
     "g18_local_lanes": (_local_lanes, _NEAR + f", m AS (SELECT seed, node_id, depth, node_id IN (SELECT node_id FROM bb) AS backbone FROM near), r AS (SELECT *, row_number() OVER (PARTITION BY seed, depth, backbone ORDER BY node_id) - 1 AS k FROM m) SELECT seed, node_id, depth, backbone, CAST(CASE WHEN backbone THEN 0 ELSE {_lane('k')} END AS INTEGER) AS lane FROM r"),
     "g19_positions": (
-        lambda s, d: layout.positions(orders(s, d)),
+        lambda s, d: layout.positions(orders(s, d, stored=True)),
         _ANCHORS + "SELECT node_id, CAST(bb_offset AS BIGINT) AS x, coalesce(len, 0) AS len, true AS backbone FROM off LEFT JOIN sg USING (node_id) UNION ALL SELECT node_id, coalesce(anchor, 0), len, false FROM sg LEFT JOIN anc USING (node_id) WHERE node_id NOT IN (SELECT node_id FROM bb)",
     ),
     "g20_lanes": (_layout, None),
@@ -172,7 +173,7 @@ QUERIES = {
     "g23_two_way": (lambda s, d: walks.two_way(walks.adjacency(orders(s, d)).select("a", "b")), Q.ORDERS + "SELECT x.a, x.b FROM adj x JOIN adj y ON x.a = y.b AND x.b = y.a"),
     "g24_stats": (lambda s, d: walks.stats(orders(s, d, True)), Q.ORDERS + "SELECT (SELECT count(*) FROM sg) AS segments, (SELECT CAST(sum(len) AS BIGINT) FROM sg) AS segment_bases, (SELECT count(*) FROM ed) AS edges, (SELECT count(*) FROM wk) AS walks, CAST(0 AS BIGINT) AS dictionary, CAST(0 AS BIGINT) AS instances, CAST(0 AS BIGINT) AS contamination, (SELECT CAST(sum(len) AS BIGINT) FROM st JOIN sg USING (node_id)) AS walk_bases"),
     "g25_verify_whole": (_verified, _VERIFIED),
-    "g25_verify": (lambda s, d: walks.mismatches(corpus(s, d), _other_corpus(s, d)), Q.CORPUS + f"SELECT DISTINCT name FROM wk WHERE walk_idx IN (SELECT walk_idx FROM st JOIN sg USING (node_id) WHERE CASE WHEN strand = '-' THEN {Q.rc('seq')} ELSE seq END <> CASE WHEN strand = '-' THEN {Q.rc("replace(seq, 'Q', 'K')")} ELSE replace(seq, 'Q', 'K') END)"),
+    "g25_verify": (lambda s, d: walks.mismatches(*_corpora(s, d)), Q.CORPUS + f"SELECT DISTINCT name FROM wk WHERE walk_idx IN (SELECT walk_idx FROM st JOIN sg USING (node_id) WHERE CASE WHEN strand = '-' THEN {Q.rc('seq')} ELSE seq END <> CASE WHEN strand = '-' THEN {Q.rc("replace(seq, 'Q', 'K')")} ELSE replace(seq, 'Q', 'K') END)"),
     "s9_backbone_pick": (_pick, "SELECT c_custkey AS walk_idx FROM customer ORDER BY CASE WHEN contains(lower(c_name || '_Ref' || c_nationkey || c_mktsegment), 'grch38') THEN 0 WHEN contains(lower(c_name || '_Ref' || c_nationkey || c_mktsegment), '_ref') THEN 5 ELSE 6 END, c_custkey LIMIT 1"),
     "q1_hits": (lambda s, d: search.hits(orders(s, d).segments, NEEDLE, MOST), _HITS + f"SELECT node_id, o AS hit_offset, CASE WHEN s = 0 THEN '+' ELSE '-' END AS strand FROM hits ORDER BY node_id, s, o LIMIT {MOST}"),
     "q1_all_hits": (lambda s, d: search.placed_hits(orders(s, d), search.hits(orders(s, d).segments, NEEDLE)), _HITS + f"SELECT node_id, o AS hit_offset, CASE WHEN s = 0 THEN '+' ELSE '-' END AS strand, {_hitpos('o')} AS pos FROM hits LEFT JOIN off USING (node_id), {_REGION}"),
@@ -193,7 +194,7 @@ QUERIES = {
 r AS (SELECT *, row_number() OVER (PARTITION BY depth, backbone ORDER BY node_id) - 1 AS k FROM m) SELECT CAST(7 AS BIGINT) AS seed, CAST(node_id AS BIGINT) AS node_id, depth, CAST(CASE WHEN backbone THEN 0 ELSE {_lane('k')} END AS INTEGER) AS lane, CAST(len AS BIGINT) AS len,
 CASE WHEN length(seq) <= 24 THEN seq ELSE substr(seq, 1, 12) || '…' || right(seq, 8) END AS preview, node_id = 7 AS is_hit, backbone, {_POS} AS pos, (SELECT CAST(least(99, greatest(len - 1, 0)) AS BIGINT) FROM sg WHERE node_id = 7) AS hit_offset, '-' AS strand FROM r JOIN sg USING (node_id) LEFT JOIN off USING (node_id), {_REGION}""",
     ),
-    "q6_query_json": (lambda s, d: search.query_json(orders(s, d), NEEDLE, 5, 1), None),
+    "q6_query_json": (lambda s, d: search.query_json(orders(s, d, stored=True), NEEDLE, 5, 1), None),
 }
 
 
@@ -221,8 +222,8 @@ def _edges_ab(s, d):
     return orders(s, d, True).edges.select("edge_idx", F.col("from_id").alias("a"), F.col("to_id").alias("b"))
 
 
-def _other_corpus(s, d):
-    """The corpus without its first line's letters Q, to be told apart from it."""
+def _corpora(s, d):
+    """The corpus, and the same with its letters Q replaced, to be told apart from it; lines are numbered and steps made once."""
     b = corpus(s, d)
-    b.segments = b.segments.withColumn("seq", F.replace("seq", F.lit("Q"), F.lit("K")))
-    return b
+    b.steps, b.segments = cut(b.steps), cut(b.segments)
+    return b, replace(b, segments=b.segments.withColumn("seq", F.replace("seq", F.lit("Q"), F.lit("K"))))

@@ -32,11 +32,23 @@ def fresh_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: what follows doesn't compute the rows again."""
+    """The rows as a table in the shared folder: what follows doesn't compute them again, and knows their size.
+
+    By its size a small table is sent to the larger side of a join, which then needn't be shuffled.
+    """
+    path = fresh_folder(df.sparkSession, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """cut() in as many buckets of the key as there are shuffle partitions: joins by the key don't shuffle these rows."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = df.repartition(n, key).sortWithinPartitions(key)
+    dealt.write.bucketBy(n, key).sortBy(key).option("path", fresh_folder(spark, "bucketed")).mode("overwrite").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:
