@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, documents
+from .common import Workspace, documents, settle
 
 WINDOW, GRAM = 100, 32
 #: Bytes that are hashed at a time: small enough for a core's cache.
@@ -209,11 +209,23 @@ MARKS = "doc long, start int, stop int, class long, contested boolean"
 _MARK_NAMES, _MARK_TYPES = ["doc", "start", "stop", "class", "contested"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
 
 
+def _joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks (doc, start, n) in any order, those of a text joined whose bytes overlap or meet."""
+    order = np.lexsort((start, doc))
+    doc, start, n = doc[order], start[order], n[order]
+    # Blocks of a text don't share windows, so the ends are in order, too.
+    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + n[:-1] + WINDOW - 1)][: len(doc)]
+    a = np.nonzero(fresh)[0]
+    z = np.r_[a[1:], len(doc)] - 1 if len(a) else a
+    return doc[a], start[a], (start[z] + n[z] - start[a]).astype(np.int32)
+
+
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc, text) to (done, class, own, doc, start, n).
 
     Of equal blocks among the task's last TASK_BLOCKS only the first can be the first of all; the others are done here,
-    so a passage that many documents share is a row a task where its class meets.
+    so a passage that many documents share is a row a task where its class meets. What is done of a text is joined where it
+    overlaps, so a copied text is a row, not one a block.
     """
     gathered: list[tuple[np.ndarray, ...]] = []
     rows = 0
@@ -228,6 +240,10 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
         columns = [c[order] for c in columns]
         done = np.r_[False, (columns[0][1:] == columns[0][:-1]) & (columns[1][1:] == columns[1][:-1])]
+        runs = _joined(*(c[done] for c in columns[2:]))
+        none = np.zeros(len(runs[0]), np.int64)
+        columns = [np.concatenate(c) for c in zip([c[~done] for c in columns], [none, none, *runs])]
+        done = np.arange(len(columns[0])) >= len(columns[0]) - len(none)
         for i in range(0, len(done), 65_536):
             yield _batch([done[i : i + 65_536], *(c[i : i + 65_536] for c in columns)], ["done", "class", "own", "doc", "start", "n"], [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
@@ -323,35 +339,37 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, want: array of (class, start, stop)) to (class, doc, start, block)."""
+    """(doc, text, want: array of (class, start, stop, big)) to (class, doc, start, block, big)."""
+
+    def emit(out: list[tuple]) -> pa.RecordBatch:
+        return _batch(list(zip(*out)), ["class", "doc", "start", "block", "big"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()])
+
     for b in batches:
         out: list[tuple] = []
         size = 0
         for doc, text, want in zip(*(b.column(i).to_pylist() for i in range(3))):
             raw = _raw(text)
-            out += [(w["class"], doc, w["start"], raw[w["start"] : w["stop"]]) for w in want]
+            out += [(w["class"], doc, w["start"], raw[w["start"] : w["stop"]], w["big"]) for w in want]
             size += sum(w["stop"] - w["start"] for w in want)
             if size > 1 << 23:
-                yield _batch(list(zip(*out)), ["class", "doc", "start", "block"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+                yield emit(out)
                 out, size = [], 0
         if out:
-            yield _batch(list(zip(*out)), ["class", "doc", "start", "block"], [pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+            yield emit(out)
 
 
 def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text, want) to a row (class, own, doc, start, n) for each window: a block of its own, in a class of its own."""
+    """(class, doc, start, block) to a row (class, own, doc, start, n) for each window: a block of its own, in a class of its own."""
     for b in batches:
-        for doc, text, want in zip(*(b.column(i).to_pylist() for i in range(3))):
-            x = np.frombuffer(_raw(text), np.uint8)
-            for w in want:
-                hashed = Hashed(x[w["start"] : w["stop"]])
-                at = np.arange(w["stop"] - w["start"] - WINDOW + 1)
-                one, two = (_mix(hashed(at, at + WINDOW, k)).view(np.int64) for k in (0, 1))
-                yield _batch([np.zeros(len(at), bool), one, two, np.full(len(at), doc), (at + w["start"]).astype(np.int32), np.ones(len(at), np.int32)], ["done", "class", "own", "doc", "start", "n"], [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
+        for doc, start, block in zip(*(b.column(i).to_pylist() for i in range(1, 4))):
+            hashed = Hashed(np.frombuffer(block, np.uint8))
+            at = np.arange(len(block) - WINDOW + 1)
+            one, two = (_mix(hashed(at, at + WINDOW, k)).view(np.int64) for k in (0, 1))
+            yield _batch([np.zeros(len(at), bool), one, two, np.full(len(at), doc), (at + start).astype(np.int32), np.ones(len(at), np.int32)], ["done", "class", "own", "doc", "start", "n"], [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()])
 
 
 ROWS = "done boolean, class long, own long, doc long, start int, n int"
-BLOCKS = "class long, doc long, start int, block binary"
+BLOCKS = "class long, doc long, start int, block binary, big boolean"
 
 
 def _settled(rows: DataFrame) -> DataFrame:
@@ -371,24 +389,29 @@ def numbered(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def repeated(rows: DataFrame, ws: Workspace) -> DataFrame:
-    """rows (doc, text): (doc, start, stop), byte ranges that together cover what repeats."""
+    """rows (doc, text): (doc, start, stop), byte ranges that together cover what repeats.
+
+    Texts are moved once, to the marks of their contested blocks, whose bytes are written; what a step has shuffled goes
+    before the next one shuffles.
+    """
     text = rows.select("doc", "text")
     marks = ws.table(_settled(text.mapInArrow(_block_rows, ROWS)), "marks")
+    settle(ws.spark)
     contested = marks.filter("contested")
     sizes = contested.groupBy("class").agg(F.count("*").alias("blocks"))
-    big = ws.table(sizes.filter(F.col("blocks") > CLASS_BLOCKS).select("class"), "big")
+    big = ws.table(sizes.filter(F.col("blocks") > CLASS_BLOCKS).select("class", F.lit(True).alias("big")), "big")
     few = not big.limit(1).count()
-    small = contested if few else contested.join(big, "class", "left_anti")
-
-    def wanted(some: DataFrame) -> DataFrame:
-        want = some.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("class", "start", "stop")).alias("want"))
-        return text.join(want, F.col("doc") == F.col("of")).select("doc", "text", "want")
-
-    found = wanted(small).mapInArrow(_cut_blocks, BLOCKS)
-    found = found.repartition("class").sortWithinPartitions("class", "doc", "start").mapInArrow(_compare, MARKS)
+    contested = contested.withColumn("big", F.lit(False)) if few else contested.join(big, "class", "left").na.fill(False, ["big"])
+    want = contested.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("class", "start", "stop", "big")).alias("want"))
+    cut = text.join(want, F.col("doc") == F.col("of")).select("doc", "text", "want").mapInArrow(_cut_blocks, BLOCKS)
+    blocks = ws.table(cut, "blocks")
+    settle(ws.spark)
+    found = blocks.filter("not big").drop("big").repartition("class").sortWithinPartitions("class", "doc", "start").mapInArrow(_compare, MARKS)
     out = [marks.filter("not contested"), ws.table(found, "compared")]
     if not few:
-        out.append(ws.table(_settled(wanted(contested.join(big, "class", "left_semi")).mapInArrow(_cut_windows, ROWS)), "windows").filter("not contested"))
+        out.append(ws.table(_settled(blocks.filter("big").drop("big").mapInArrow(_cut_windows, ROWS)), "windows").filter("not contested"))
+    ws.drop("blocks")
+    settle(ws.spark)
     every = out[0]
     for more in out[1:]:
         every = every.union(more)

@@ -515,6 +515,26 @@ def test_large_classes_are_dealt_by_window(spark, monkeypatch):
     assert spans() == plain and sum(map(bool, plain.values())) >= 30
 
 
+def test_texts_move_once_to_their_blocks(spark, monkeypatch):
+    """Also where some classes are dealt by window; and what is done of a text in a task is a row."""
+    r = random.Random(4)
+    part, whole = words(r, 24), words(r, 90)
+    df = spark.createDataFrame([(i, words(r, 30) + " " + part + " " + words(r, 30)) for i in range(40)], "doc_id BIGINT, text STRING")
+    plans, table = {}, common.Workspace.table
+
+    def kept(ws, rows, name):
+        plans[name] = rows._jdf.queryExecution().optimizedPlan().toString()
+        return table(ws, rows, name)
+
+    monkeypatch.setattr(common.Workspace, "table", kept)
+    monkeypatch.setattr(suffixes, "CLASS_BLOCKS", 3)
+    assert suffixes.removals(df, common.Workspace(spark, "t")).count() == 40
+    assert "windows" in plans and [name for name, plan in plans.items() if "Join" in plan and "text#" in plan] == ["blocks"]
+    batch = pa.RecordBatch.from_pydict({"doc": [1, 2], "text": [whole, whole]})
+    rows = [x for b in suffixes._block_rows(iter([batch])) for x in b.to_pylist()]
+    assert [(x["doc"], x["start"], x["n"]) for x in rows if x["done"]] == [(2, 0, len(whole.encode()) - 99)] and sum(not x["done"] for x in rows) > 2
+
+
 def test_two_stage_suffix_array():
     r = random.Random(2)
     for alphabet in ("a", "ab", "abc", "\x01\x7f"):
