@@ -26,13 +26,14 @@ def run(spark: SparkSession, tables: str, output: str, files_per_level: int = 8)
     for name in ("part", "lineitem"):
         common.read(spark, tables, name)
     layout = adapters.plain_layout(spark, tables)
-    span = layout.agg(F.coalesce(F.max(F.col("x") + F.col("len")), F.lit(0))).first()[0]
+    span, longest = layout.agg(F.coalesce(F.max(F.col("x") + F.col("len")), F.lit(0)), F.coalesce(F.max("len"), F.lit(0))).first()
     common.log.info("the layout spans %d, in %d levels", span, len(windows.levels(max(span, 1))))
     nodes = windows.tile_nodes(layout, max(span, 1))
     write(nodes, f"{output}/nodes", files_per_level)
-    # Edges join the tiles' nodes as they were written, so the ranks within tiles are found once.
+    # Edges join the tiles' nodes as they were written, so the ranks within tiles are found once; only edges short enough
+    # for a tile do.
     placed = spark.read.schema(nodes.schema).parquet(f"{output}/nodes").select("level", "tile", "node_id")
-    chains = adapters.orders(spark, tables, with_edges=True).edges
+    chains = adapters.near_edges(spark, tables, windows.tile_reach(max(span, 1), longest))
     a, b = placed.withColumnRenamed("node_id", "from_id"), placed.withColumnRenamed("node_id", "to_id")
     edges = chains.join(a, "from_id").join(b, ["level", "tile", "to_id"], "left_semi").select("level", "tile", "edge_idx", "from_id", "to_id")
     write(edges, f"{output}/edges", files_per_level)

@@ -82,6 +82,12 @@ def levels(span: int) -> list[tuple[int, int]]:
     return [(k, (span + (1 << k) - 1) >> k) for k in range(deepest + 1)]
 
 
+def tile_reach(span: int, longest: int) -> int:
+    """Nodes of a fine tile begin less than so far from one another, if none is longer than `longest`."""
+    fine = [w for _, w in levels(span) if w <= COARSE_ABOVE]
+    return max(fine) + max(longest, 0) if fine else 0
+
+
 def level_for(span: Column | int, viewport: Column, deepest: int) -> Column:
     return F.least(F.greatest(F.round(3 + F.log2(F.lit(span) / viewport)).cast("int"), F.lit(0)), F.lit(deepest))
 

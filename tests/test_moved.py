@@ -56,3 +56,29 @@ def test_frames_without_patterns_by_codon(spark, tmp_path):
     assert "^[ACGT]{3}$" not in df._jdf.queryExecution().optimizedPlan().toString()
     # Documents 1 and -4 begin at 2 and 1: GTA CGT, and TTA CGA.
     assert {(x["doc_id"], x["aa"]): x["n"] for x in df.collect()} == {(1, "V"): 1, (1, "R"): 1, (-4, "L"): 1, (-4, "R"): 1}
+
+
+def test_only_edges_short_enough_for_a_tile_are_spread(spark, tmp_path, monkeypatch):
+    """They keep the numbers they have among all edges; ties and returned lines count as before."""
+    from jobs import tiles
+    from loomgraph.operators import windows
+    from loomgraph.plans import adapters
+
+    r = random.Random(6)
+    lines = [(o, i % 3, r.choice(range(1, 2_500, 7)), 1 + i % 2, r.choice("RN")) for o in range(300) for i in range(r.randint(1, 6))]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "a", "c", "g", 1 + k % 50) for k in range(1, 2_500)], "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    every = {(x["edge_idx"], x["from_id"], x["to_id"]) for x in adapters.orders(spark, str(tmp_path), True).edges.collect()}
+    for reach in (0, 5_000, 1 << 40):
+        got = [tuple(x) for x in adapters.near_edges(spark, str(tmp_path), reach).collect()]
+        assert len(got) == len(set(got)) and set(got) == {e for e in every if abs(e[1] - e[2]) * 50 < reach}
+    nodes = windows.tile_nodes(adapters.plain_layout(spark, str(tmp_path)), 126_000).select("level", "tile", "node_id").collect()
+    at = {}
+    for level, tile, node in nodes:
+        at.setdefault(node, set()).add((level, tile))
+    far = max(abs(a - b) * 50 for a in at for b in range(a, min(a + 1_100, 2_500)) if at[a] & at.get(b, set()))
+    assert far < windows.tile_reach(126_000, 2_000) < 126_000
+    asked, near = [], adapters.near_edges
+    monkeypatch.setattr(adapters, "near_edges", lambda s, d, reach: asked.append(reach) or near(s, d, reach))
+    tiles.run(spark, str(tmp_path), f"{tmp_path}/out")
+    assert asked and 0 < asked[0] < 60_000
