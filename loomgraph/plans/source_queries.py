@@ -13,7 +13,7 @@ from ..sources import container, fasta, gfa, synth, tables
 from ..streaming import ledger
 from ..workspace import cut, fresh_folder
 from . import sql as Q
-from .adapters import orders, part_segments, plain_layout, table
+from .adapters import near_edges, orders, part_segments, plain_layout, table
 from .measure_queries import _CODERS, _coder_rows, _named
 
 
@@ -175,8 +175,8 @@ def _report(s, d):
 def _tile_files(s, d):
     """The tile pyramid of the parts' layout, written as files and read back."""
     path, lay = fresh_folder(s, "tiles"), plain_layout(s, d)
-    span = lay.agg(F.max(F.col("x") + F.col("len"))).first()[0]
-    windows.write_tiles(lay, part_segments(s, d), orders(s, d, True).edges, span, "parts", 0, path)
+    span, longest = lay.agg(F.max(F.col("x") + F.col("len")), F.max("len")).first()
+    windows.write_tiles(lay, part_segments(s, d), near_edges(s, d, windows.tile_reach(max(span, 1), longest)), span, "parts", 0, path)
     t = s.read.schema("level INT, tile BIGINT, nodes ARRAY<STRUCT<id: BIGINT>>, edges ARRAY<ARRAY<BIGINT>>, bins ARRAY<ARRAY<BIGINT>>").json(f"{path}/tiles")
     return t.select("level", "tile", F.size("nodes").alias("nodes"), F.size("edges").alias("edges"), F.aggregate("bins", F.lit(0).cast("long"), lambda n, x: n + x[0]).alias("variants"))
 
