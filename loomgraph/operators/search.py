@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,22 +114,75 @@ def query_json(b: Bundle, query: str, most: int, radius: int) -> DataFrame:
     return one.select(F.to_json(F.struct("region", "chrom", q.alias("query"), "n_total", F.size("hits").alias("n_hits"), "hits")).alias("json"))
 
 
+#: Characters of segments whose postings are gathered by k-mer at a time.
+GATHERED = 1 << 22
+POSTINGS = "kmer STRING, n INT, node_id ARRAY<BIGINT>, place ARRAY<INT>"
+
+
+def _postings(nodes: list[int | None], texts: list[str], k: int) -> pa.RecordBatch:
+    """A row a k-mer of the texts: its postings in order of text and place."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.array([len(s) for s in texts], np.int64)
+    ends = np.cumsum(sizes)
+    # A number for each place's k-mer, equal for equal ones; where it would outgrow 64 bits, its rank goes on in its stead.
+    letters, own = np.unique(points, return_inverse=True)
+    width = len(points) - k + 1
+    code, most = np.zeros(width, np.int64), 1
+    for i in range(k):
+        if most * len(letters) >= 1 << 62:
+            found, code = np.unique(code, return_inverse=True)
+            most = len(found)
+        code, most = code * len(letters) + own[i : i + width], most * len(letters)
+    text = np.repeat(np.arange(len(texts)), sizes)[:width]
+    at = np.nonzero(np.arange(width) + k <= ends[text])[0]
+    code = code[at]
+    # Sixteen bits are sorted by counting.
+    order = np.argsort(code.astype(np.uint16) if most <= 1 << 16 else code, kind="stable")
+    at, code = at[order], code[order]
+    cut = np.r_[np.nonzero(np.r_[True, code[1:] != code[:-1]])[0], len(code)] if len(code) else np.zeros(1, np.int64)
+    joined = "".join(texts)
+    kmers = [joined[i : i + k] for i in at[cut[:-1]].tolist()]
+    offsets = pa.array(cut, pa.int32())
+    node = pa.array(nodes, pa.int64()).take(pa.array(text[at]))
+    place = pa.array((at - (ends - sizes)[text[at]]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(kmers, pa.string()), pa.array(np.diff(cut).astype(np.int32)), pa.ListArray.from_arrays(offsets, node), pa.ListArray.from_arrays(offsets, place)], ["kmer", "n", "node_id", "place"])
+
+
 def kmer_index(segments: DataFrame, k: int = 12) -> DataFrame:
-    """(kmer, node_id, place): every place of every k-mer, 0-based."""
-    at = F.when(F.char_length("seq") >= k, F.sequence(F.lit(1), F.char_length("seq") - (k - 1))).otherwise(F.array().cast("array<int>"))
-    rows = segments.select("node_id", F.posexplode(F.transform(at, lambda i: F.substr("seq", i, F.lit(k)))).alias("place", "kmer"))
-    return rows.select("kmer", "node_id", F.col("place").cast("long").alias("place"))
+    """(kmer, n, node_id, place): the n places of a k-mer in some of the segments, 0-based, and the segment of each.
+
+    A task gathers the postings of GATHERED characters by k-mer, so what is sorted and written is a row for many of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, texts, size = [], [], 0
+        for b in batches:
+            for node, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if seq is None or len(seq) < k:
+                    continue
+                nodes.append(node)
+                texts.append(seq)
+                size += len(seq)
+                if size >= GATHERED:
+                    yield _postings(nodes, texts, k)
+                    nodes, texts, size = [], [], 0
+        if texts:
+            yield _postings(nodes, texts, k)
+
+    return segments.select("node_id", "seq").mapInArrow(run, POSTINGS)
 
 
 def write_index(segments: DataFrame, path: str, k: int = 12) -> None:
-    """The postings, sorted by k-mer so that a search reads the row groups of its own, and their number by k-mer."""
-    kmer_index(segments, k).repartitionByRange("kmer", "node_id").sortWithinPartitions("kmer", "node_id", "place").write.mode("overwrite").parquet(f"{path}/postings")
-    counts = segments.sparkSession.read.parquet(f"{path}/postings").groupBy("kmer").agg(F.count("*").alias("n"))
+    """The postings, sorted by k-mer so that a search reads the pages of its own, and their number by k-mer."""
+    # A frequent k-mer's rows go to several tasks.
+    dealt = kmer_index(segments, k).repartition("kmer", F.pmod(F.xxhash64(F.element_at("node_id", 1)), F.lit(8)))
+    dealt.sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/postings")
+    counts = segments.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings").groupBy("kmer").agg(F.sum("n").alias("n"))
     counts.repartitionByRange("kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/counts")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.schema("kmer STRING, node_id LONG, place LONG").parquet(f"{path}/postings"), spark.read.schema("kmer STRING, n LONG").parquet(f"{path}/counts")
+    return spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.schema("kmer STRING, n LONG").parquet(f"{path}/counts")
 
 
 def hits_by_index(index: DataFrame, counts: DataFrame, query: str, k: int = 12, most: int | None = None) -> DataFrame:
@@ -140,6 +197,8 @@ def hits_by_index(index: DataFrame, counts: DataFrame, query: str, k: int = 12,
     strands = [(0, q)] if same else [(0, q), (1, rc)]
     cover = [(s, at, text[at : at + k]) for s, text in strands for at in ({*range(0, len(text) - k + 1, k), len(text) - k} if text else ())]
     of = {r["kmer"]: r["n"] for r in counts.filter(F.col("kmer").isin([m for *_, m in cover])).collect()} if cover else {}
+    postings = index.filter(F.col("kmer").isin([m for *_, m in cover]))
+    index = postings.select("kmer", F.inline(F.arrays_zip("node_id", F.col("place").cast("array<bigint>").alias("place"))))
     out = None
     for s, _ in strands:
         mine = sorted(((of.get(m, 0), at, m) for t, at, m in cover if t == s))

@@ -82,3 +82,19 @@ def test_only_edges_short_enough_for_a_tile_are_spread(spark, tmp_path, monkeypa
     monkeypatch.setattr(adapters, "near_edges", lambda s, d, reach: asked.append(reach) or near(s, d, reach))
     tiles.run(spark, str(tmp_path), f"{tmp_path}/out")
     assert asked and 0 < asked[0] < 60_000
+
+
+def test_postings_are_gathered_by_kmer(spark, monkeypatch):
+    """A row for many places; any letters, ends of segments, null and short ones, and k-mers whose numbers outgrow 64 bits."""
+    from loomgraph.operators import search
+
+    r = random.Random(8)
+    rows = [(i, "".join(r.choice("ACGTé🙂") for _ in range(r.choice([0, 3, 4, 40])))) for i in range(60)] + [(60, None), (61, "ACGT" * 500), (None, "ACGTA")]
+    seg = spark.createDataFrame(rows, "node_id LONG, seq STRING").repartition(2)
+    for gathered in (1, 100, 1 << 22):
+        monkeypatch.setattr(search, "GATHERED", gathered)
+        for k in (1, 4, 30):
+            got = search.kmer_index(seg, k).collect()
+            flat = [(x["kmer"], n, p) for x in got for n, p in zip(x["node_id"], x["place"], strict=True)]
+            assert sorted(flat, key=str) == sorted(((s[p : p + k], n, p) for n, s in rows if s for p in range(len(s) - k + 1)), key=str)
+            assert all(x["n"] == len(x["place"]) for x in got) and (gathered < 101 or k > 4 or len(got) <= 2 * len({x[0] for x in flat}))
